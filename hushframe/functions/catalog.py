@@ -116,11 +116,20 @@ def _words(values: tuple[str, ...]) -> str:
     return "|".join(values)
 
 
-def _words_by_initial(values: tuple[str, ...]) -> str:
-    """The same alternation grouped by first letter, which fails faster on other text."""
-    initials = sorted({v[0] for v in values})
-    groups = (_words(tuple(v[1:] for v in values if v[0] == c)) for c in initials)
-    return "|".join(f"{c}(?:{g})" for c, g in zip(initials, groups))
+def _capitalised(words: tuple[str, ...]) -> str:
+    """A fast test for texts that may hold one of some capitalised words.
+
+    Any capital followed by the rest of any word passes; the rests are grouped
+    by their first letter, so that most capitals fail after one comparison.
+    """
+    rests = sorted({w[1:] for w in words})
+    seconds = sorted({r[0] for r in rests})
+    groups = (_words(tuple(r[1:] for r in rests if r[0] == c)) for c in seconds)
+    return "[A-Z](?:" + "|".join(f"{c}(?:{g})" for c, g in zip(seconds, groups)) + ")"
+
+
+# The test shared by the default name and place rules: one pass over the text for both.
+CAPITALISED = _capitalised(GIVEN_NAMES + PLACES)
 
 
 def name_rule(given_names=GIVEN_NAMES, priority: int = 3_060) -> Rule:
@@ -128,16 +137,18 @@ def name_rule(given_names=GIVEN_NAMES, priority: int = 3_060) -> Rule:
     words = _words(tuple(sorted(given_names)))
     return Rule(
         "name", "NAME", rf"\b(?:{words}) [A-Z][a-z]+\b", priority,
-        gate=rf"(?=[A-Z])(?:{_words_by_initial(tuple(sorted(given_names)))}) [A-Z][a-z]",
+        gate=_capitalised(tuple(given_names)) + " [A-Z][a-z]",
+        family=CAPITALISED if set(given_names) <= set(GIVEN_NAMES) else None,
     )
 
 
 def location_rule(places=PLACES, priority: int = 3_070) -> Rule:
-    """Places from a short list; the lookahead in the gate skips lower-case text fast."""
+    """Places from a short list."""
     words = _words(tuple(sorted(places)))
     return Rule(
         "location", "LOCATION", rf"\b(?:{words})\b", priority,
-        gate=rf"(?=[A-Z])(?:{_words_by_initial(tuple(sorted(places)))})",
+        gate=_capitalised(tuple(places)),
+        family=CAPITALISED if set(places) <= set(PLACES) else None,
     )
 
 
@@ -154,10 +165,10 @@ _SECRETS = (
     Rule("secret_kv", "SECRET",
          r"(?i)\b(?:DB|POSTGRES|REDIS|MYSQL|AWS|SECRET|PASSWORD|TOKEN|API|KEY)[A-Z0-9_]*"
          r"[ \t]*[:=][ \t]*[\"']?[^ \t\r\n\"']{8,}[\"']?", 2_060,
-         gate=r"[:=][ \t]*[\"']?[^ \t\r\n\"']{8}"),
+         hints=("=", ":"), gate=r"[:=][ \t]*[\"']?[^ \t\r\n\"']{8}"),
     Rule("secret_kv_spaced", "SECRET",
          r"(?i)\b(?:API|SECRET|ACCESS|PRIVATE)[ _-](?:KEY|TOKEN)[ \t]*[:=][ \t]*[\"']?[^ \t\r\n\"']{8,}[\"']?",
-         2_055, gate=r"[:=][ \t]*[\"']?[^ \t\r\n\"']{8}"),
+         2_055, hints=("=", ":"), gate=r"[:=][ \t]*[\"']?[^ \t\r\n\"']{8}"),
 )
 
 _BASE = (

@@ -205,7 +205,7 @@ _DETECTOR_GATES = {
     "JSON Web Token (JWT)": "contains({t}, 'eyJ')",
     "API Token/Key (GitHub/Slack/NPM)": "rlike({t}, '[-_][A-Za-z0-9_]{{10}}')",
     "Stripe API Key": "(contains({t}, 'k_test_') OR contains({t}, 'k_live_'))",
-    "Database/API Secret": "rlike({t}, '[:=]\\\\s*[^ \\\\t\\\\r\\\\n\"\\']{{8}}')",
+    "Database/API Secret": "(contains({t}, '=') OR contains({t}, ':')) AND rlike({t}, '[:=]\\\\s*[^ \\\\t\\\\r\\\\n\"\\']{{8}}')",
 }
 
 

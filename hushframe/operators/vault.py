@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.columns import detect_secrets, has_secret
 
 VAULT_COLUMNS = ("session_id", "token", "entity_type", "value")
-BUCKETS = 256
+BUCKETS = 64
 
 
 def session_key(session_cols: Sequence[str]) -> Column:
@@ -62,6 +62,8 @@ def write_vault(pairs: DataFrame, path: str, key: bytes | None = None) -> None:
     (
         fresh.withColumn("value", value)
         .withColumn("bucket", session_bucket("session_id"))
+        # Few files per bucket; an oversized bucket is split again.
+        .hint("rebalance", "bucket")
         .write.mode("append")
         .partitionBy("bucket")
         .parquet(path)

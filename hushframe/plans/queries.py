@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns
 from hushframe.functions.catalog import (
     BINARY_SNIFF_BYTES,
-    MAX_FILE_BYTES,
     PROFILES,
     Rule,
-    base_rules,
     rules_for,
 )
 from hushframe.operators import detect, guards, mask, policy, report, reveal, vault
 from hushframe.operators.skew import spread
 from hushframe.plans import oracle, samples, texts
-from hushframe.sources import files, office
+from hushframe.sources import files
 from hushframe.streaming import lines
 
+cloudpickle.register_pickle_by_value(samples)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

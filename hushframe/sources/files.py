@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.operators.guards import is_binary, max_file_size, route_by_format
 from hushframe.operators.mask import mask_columns
+from hushframe.sources import office
 from hushframe.sources.office import parse_docx, parse_xlsx
 
+# Send the parsers themselves to the workers, which then need no copy of this package.
+cloudpickle.register_pickle_by_value(office)
+
 _TEXT_OUT = "path string, text string, reason string"
 _SHEETS_OUT = "path string, sheet_no int, sheet string, csv string, reason string"
 

@@ -99,7 +99,15 @@ def mask_session_batch(
     unseen = names.join(
         known.select("_session", "entity_type", "value"), ["_session", "entity_type", "value"], "left_anti"
     ).select(mentions.columns)
-    highest = known.groupBy("_session", "entity_type").agg(F.max("n").alias("_highest"))
+    reserved = (
+        names.filter("taken IS NOT NULL")
+        .groupBy("_session", "entity_type")
+        .agg(F.max(F.col("taken").cast("long")).alias("n"))
+    )
+    highest = (
+        known.select("_session", "entity_type", "n").unionByName(reserved)
+        .groupBy("_session", "entity_type").agg(F.max("n").alias("_highest"))
+    )
     firsts = (
         unseen.filter("taken IS NULL")
         .groupBy(*keys, "value")
@@ -108,28 +116,42 @@ def mask_session_batch(
             F.count(F.lit(1)).alias("mentions"),
         )
     )
-    numbered = mask_ops.number_within(firsts, keys, ["_first", "value"], "_rank").withColumn(
+    numbered = mask_ops.number_within(firsts, keys, ["_first", "value"], "_next").withColumn(
         "_session", F.col(session_col).cast("string")
     )
     fresh = cut_lineage(
         join_null_safe(numbered, highest, ["_session", "entity_type"], "left")
-        .withColumn("n", F.col("_rank") + F.coalesce("_highest", F.lit(0)))
+        .withColumn("n", F.col("_next") + F.coalesce("_highest", F.lit(0)))
         .withColumn("token", F.expr("concat('[', entity_type, '_', n, ']')"))
     )
     numbers = fresh.select(session_col, "entity_type", "value", "mentions", "token").unionByName(old)
     masked = mask_ops.apply_numbers(
         found_df, "_found", mentions, numbers, id_cols, [session_col], text_col, "masked_text"
     )
+    entries = fresh.select(F.col("_session").alias("session_id"), "token", "entity_type", "value", "n")
+    # A placeholder that stood in the text is kept without a value, so its number stays taken.
+    taken = reserved.filter("n > 0").select(
+        F.col("_session").alias("session_id"),
+        F.expr("concat('[', entity_type, '_', n, ']')").alias("token"),
+        "entity_type",
+        F.lit(None).cast("string").alias("value"),
+        "n",
+    )
     (
-        fresh.select(
-            F.col("_session").alias("session_id"), "token", "entity_type", "value", "n",
-            session_bucket("_session").alias("bucket"),
-        )
+        entries.unionByName(taken)
+        .withColumn("bucket", session_bucket("session_id"))
+        .hint("rebalance", "bucket")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{vault_path}/batch_id={batch_id}")
     )
     masked.drop(text_col).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 
+def read_stream_vault(spark: SparkSession, vault_path: str) -> DataFrame:
+    """The vault a session stream has built up so far."""
+    entries = spark.read.schema(_VAULT_SCHEMA).parquet(vault_path)
+    return entries.filter("value IS NOT NULL").select("session_id", "token", "entity_type", "value")
+
+
 def mask_session_stream(
     lines: DataFrame,
     out_path: str,
