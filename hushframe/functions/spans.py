@@ -76,6 +76,19 @@ def all_findings(text: str, rules: Sequence[Rule]) -> str:
     return f"concat({', '.join(parts)})"
 
 
+def any_match(text: str, rules: Sequence[Rule]) -> str:
+    """True when some rule matches; stops at the first one that does."""
+    families: dict[str | None, list[str]] = {}
+    for rule in rules:
+        families.setdefault(rule.family, []).append(
+            f"({gate(text, rule)} AND rlike({text}, {quote(rule.pattern)}))"
+        )
+    tests = families.pop(None, [])
+    for needed, members in families.items():
+        tests.append(f"(rlike({text}, {quote(needed)}) AND ({' OR '.join(members)}))")
+    return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
+
+
 def without_values(findings: str, values: Iterable[str]) -> str:
     """Drop findings whose value is on the allow list."""
     values = list(values)
@@ -118,6 +131,32 @@ def distinct_values(findings: str) -> str:
     )
 
 
+def value_spans(findings: str) -> str:
+    """Each distinct value once, in order of first appearance, with all its spans."""
+    places = (
+        "transform(filter(_vf, _f -> _f.entity_type = _v.entity_type AND _f.value = _v.value),"
+        " _f -> named_struct('start', _f.start, 'end', _f.end))"
+    )
+    row = (
+        "named_struct('entity_type', _v.entity_type, 'value', _v.value, 'place', _i,"
+        f" 'taken', cast(null AS int), 'spans', {places})"
+    )
+    return bind(findings, "_vf", f"transform({distinct_values('_vf')}, (_v, _i) -> {row})")
+
+
+def type_counts(findings: str) -> str:
+    """Per entity type and rule, the number of findings in this text."""
+    hits = "size(filter(_tf, _f -> _f.entity_type = _k.entity_type AND _f.rule_id = _k.rule_id))"
+    kinds = (
+        "array_distinct(transform(_tf, _f ->"
+        " named_struct('entity_type', _f.entity_type, 'rule_id', _f.rule_id)))"
+    )
+    return bind(
+        findings, "_tf",
+        f"transform({kinds}, _k -> named_struct('entity_type', _k.entity_type, 'rule_id', _k.rule_id, 'hits', {hits}))",
+    )
+
+
 def reserved_tokens(text: str) -> str:
     """Placeholders already written in the text; their numbers are not given out again."""
     return (

@@ -19,9 +19,6 @@ from hushframe.operators.skew import (
     salted_lookup,
 )
 
-_TABLE_TYPE = "array<struct<token:string,entity_type:string,value:string>>"
-
-
 def sanitize(
     df: DataFrame,
     text_col: str = "text",
@@ -94,17 +91,17 @@ def value_mentions(
 ) -> DataFrame:
     """One row per row and distinct value (never one per hit), plus reserved placeholders.
 
-    ``place`` orders values inside a row.  The text is not carried along.
+    ``found`` is a findings expression.  ``place`` orders values inside a row and
+    ``spans`` says where they stand.  The text is not carried along.
     """
     kept = [*dict.fromkeys([*id_cols, *session_cols, *order_cols])]
-    values = f"transform({spans.distinct_values(found)}, (_v, _i) -> named_struct('entity_type', _v.entity_type,"
-    values += " 'value', _v.value, 'place', _i, 'taken', cast(null AS int)))"
     taken = (
         f"transform(array_distinct({spans.reserved_tokens(text_col)}), _t -> named_struct("
         "'entity_type', regexp_extract(_t, '^\\\\[(.+)_[0-9]+\\\\]$', 1), 'value', _t, 'place', 0,"
-        " 'taken', coalesce(try_cast(regexp_extract(_t, '_([0-9]+)\\\\]$', 1) AS int), 0)))"
+        " 'taken', coalesce(try_cast(regexp_extract(_t, '_([0-9]+)\\\\]$', 1) AS int), 0),"
+        " 'spans', cast(array() AS array<struct<start:int,end:int>>)))"
     )
-    return df.select(*kept, F.expr(f"inline(concat({values}, {taken}))"))
+    return df.select(*kept, F.expr(f"inline(concat({spans.value_spans(found)}, {taken}))"))
 
 
 def number_values(
@@ -137,41 +134,42 @@ def number_values(
 
 
 def apply_numbers(
-    found_df: DataFrame,
-    found: str,
+    df: DataFrame,
     mentions: DataFrame,
     numbers: DataFrame,
     id_cols: Sequence[str],
     session_cols: Sequence[str],
     text_col: str,
-    name: str,
+    rules: Sequence[Rule],
+    name: str = "masked_text",
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Write the tokens into the texts.
 
     Tokens reach each row through a salted join on (session, type, value).  Only
-    texts that have findings are shuffled; all others pass straight through.
+    texts that some rule matches are shuffled; all others pass straight through.
     """
     keys = [*session_cols, "entity_type", "value"]
     heavy = heavy_keys(numbers, keys, "mentions", rows_per_salt)
     kept = [*dict.fromkeys([*id_cols, *session_cols])]
     placed = salted_lookup(
-        mentions.filter(F.col("taken").isNull()).select(*kept, "entity_type", "value"),
+        mentions.filter("taken IS NULL").select(*kept, "entity_type", "value", "spans"),
         numbers.select(*keys, "token"),
         keys,
         heavy,
         keys,
         id_cols,
     )
-    tables = placed.groupBy(*id_cols).agg(
-        F.collect_list(F.struct("token", "entity_type", "value")).alias("_tokens")
+    token_spans = F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.col("token").alias("token")))
+    edits = placed.groupBy(*id_cols).agg(
+        F.sort_array(F.flatten(F.collect_list(token_spans))).alias("_edits")
     )
-    edited = F.expr(spans.rewrite(text_col, spans.edits_from(found, "_tokens")))
-    columns_out = [c for c in found_df.columns if c != found]
-    clean = found_df.filter(F.size(found) <= 0).select(*columns_out, F.col(text_col).alias(name))
-    touched = join_null_safe(found_df.filter(F.size(found) > 0), tables, id_cols, "inner").select(
-        *columns_out, edited.alias(name)
+    matched = F.expr(spans.any_match(text_col, rules))
+    clean = df.filter(~matched).withColumn(name, F.col(text_col))
+    edited = F.when(F.col("_edits").isNull(), F.col(text_col)).otherwise(
+        F.expr(spans.rewrite(text_col, "_edits"))
     )
+    touched = join_null_safe(df.filter(matched), edits, id_cols, "left").withColumn(name, edited).drop("_edits")
     return clean.unionByName(touched)
 
 
@@ -191,17 +189,16 @@ def sanitize_scope(
     first.  Returns the masked rows (``masked_text``) and the numbered values
     (session columns, token, entity_type, value).
 
-    The texts are read for detection once into a small table of mentions
-    (checkpointed), then once more to be rewritten.
+    Detection runs once, into a small table of mentions (checkpointed).  The texts
+    are then read again to be rewritten, with no more than a match test per text.
     """
     valid_text_columns(df, [text_col])
-    found_df = df.withColumn("_found", columns.detect(text_col, rules, exclusions))
-    mentions = cut_lineage(
-        value_mentions(found_df, id_cols, session_cols, order_cols, "_found", text_col)
-    )
-    numbers = number_values(mentions, session_cols, order_cols)
+    rules = rules or rules_for()
+    found = spans.resolved_findings(text_col, rules, exclusions)
+    mentions = cut_lineage(value_mentions(df, id_cols, session_cols, order_cols, found, text_col))
+    numbers = cut_lineage(number_values(mentions, session_cols, order_cols))
     masked = apply_numbers(
-        found_df, "_found", mentions, numbers, id_cols, session_cols, text_col, "masked_text", rows_per_salt
+        df, mentions, numbers, id_cols, session_cols, text_col, rules, rows_per_salt=rows_per_salt
     )
     return masked, numbers.select(*session_cols, "token", "entity_type", "value")
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions import columns
-from hushframe.functions.catalog import Rule
+from hushframe.functions import columns, spans
+from hushframe.functions.catalog import Rule, rules_for
 
 # Entity types named first in a summary, with their display names.
 SUMMARY_NAMES = {"NAME": "Name", "EMAIL": "Email", "PHONE": "Phone", "ID": "ID", "CUSTOM": "Custom"}
@@ -57,6 +57,21 @@ def request_counts(df: DataFrame, session_cols: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*session_cols).agg(F.count(F.lit(1)).alias("requests"))
 
 
+def entity_totals(
+    df: DataFrame, by: Sequence[str], text_col: str = "text", rules: Sequence[Rule] | None = None
+) -> DataFrame:
+    """Findings and texts with findings, per group, entity type and rule.
+
+    Each text is counted by itself first, so the shuffle carries partial sums only.
+    """
+    counts = spans.type_counts(spans.resolved_findings(text_col, rules or rules_for()))
+    return (
+        df.select(*by, F.expr(f"inline({counts})"))
+        .groupBy(*by, "entity_type", "rule_id")
+        .agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("docs"))
+    )
+
+
 def entity_profile(
     df: DataFrame, by: Sequence[str], text_col: str = "text", rules: Sequence[Rule] | None = None
 ) -> DataFrame:

@@ -38,45 +38,40 @@ def reveal(
     column alone.
     """
     pattern = spans.quote(spans.TOKEN_PATTERN)
-    marked = df.withColumn("_marked", F.expr(f"contains({text_col}, '[') AND rlike({text_col}, {pattern})"))
-    wanted = marked.filter("_marked").select(
-        *id_cols,
-        F.col(session_col).cast("string").alias("session_id"),
-        F.explode(F.expr(f"array_distinct(regexp_extract_all({text_col}, {pattern}, 0))")).alias("token"),
-    )
-    sizes = df.groupBy(F.col(session_col).cast("string").alias("session_id")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    heavy = heavy_keys(sizes, ["session_id"], "_rows", rows_per_salt)
+    has_token = F.expr(f"coalesce(contains({text_col}, '[') AND rlike({text_col}, {pattern}), false)")
+    session = F.col(session_col).cast("string").alias("session_id")
+    # The empty token asks whether the session has a vault at all.
+    tokens = f"array_union(array(''), regexp_extract_all({text_col}, {pattern}, 0))"
+    wanted = df.filter(has_token).select(*id_cols, session, F.explode(F.expr(tokens)).alias("token"))
     entries = vault.select(F.col("session_id").cast("string").alias("session_id"), "token", "value")
-    placed = salted_lookup(wanted, entries, ["session_id", "token"], heavy, ["session_id"], id_cols)
+    present = entries.select("session_id", F.lit("").alias("token"), F.lit("").alias("value")).distinct()
+    entries = entries.unionByName(present)
+    if list(id_cols) == [session_col]:
+        placed = join_null_safe(wanted, entries, ["session_id", "token"], "left")
+    else:
+        sizes = df.groupBy(session).agg(F.count(F.lit(1)).alias("_rows"))
+        heavy = heavy_keys(sizes, ["session_id"], "_rows", rows_per_salt)
+        placed = salted_lookup(wanted, entries, ["session_id", "token"], heavy, ["session_id"], id_cols)
+    is_token = F.col("token") != ""
+    found = is_token & F.col("value").isNotNull()
     tables = placed.groupBy(*id_cols).agg(
-        F.first("session_id").alias("_session"),
-        F.collect_list(F.struct("token", "value")).alias("_pairs"),
-        F.count("value").alias("_known"),
-        F.count(F.lit(1)).alias("_wanted"),
+        F.collect_list(F.when(found, F.struct("token", "value"))).alias("_pairs"),
+        F.count(F.when(is_token, 1)).alias("_wanted"),
+        F.bool_or(F.col("value").isNotNull()).alias("_has_vault"),
     )
-    # Whether a session is known at all only matters for texts of which no token was found.
-    known = entries.select(F.col("session_id").alias("_session"), F.lit(True).alias("_has_vault")).distinct()
-    lost = tables.filter("_known = 0")
-    lost = join_null_safe(
-        lost.withColumn("_salted", F.col("_session")), known, ["_session"], "left"
-    ).drop("_salted")
-    tables = tables.filter("_known > 0").withColumn("_has_vault", F.lit(True)).unionByName(lost)
-    lookup = "map_from_entries(filter(transform(_pairs, _p -> struct(_p.token, _p.value)), _p -> _p.value IS NOT NULL))"
-    restored = F.expr(columns.restored(text_col, lookup))
+    restored = F.expr(columns.restored(text_col, "map_from_entries(_pairs)"))
     status = (
-        F.when(F.col("_known") == F.col("_wanted"), "restored")
-        .when(F.col("_known") > 0, "partial")
-        .when(F.col("_has_vault").isNull(), "empty_vault")
-        .otherwise("unknown_tokens")
+        F.when(F.size("_pairs") == F.col("_wanted"), "restored")
+        .when(F.size("_pairs") > 0, "partial")
+        .when(F.col("_has_vault"), "unknown_tokens")
+        .otherwise("empty_vault")
     )
-    touched = join_null_safe(marked.filter("_marked"), tables, id_cols, "inner").withColumn("_restored", restored)
-    plain = marked.filter("NOT coalesce(_marked, false)").select(
+    plain = df.filter(~has_token).select(
         *df.columns,
         columns.dedupe_scheme(text_col).alias("revealed_text"),
         F.lit("unchanged").alias("status"),
     )
+    touched = join_null_safe(df.filter(has_token), tables, id_cols, "inner").withColumn("_restored", restored)
     return plain.unionByName(
         touched.select(
             *df.columns, columns.dedupe_scheme("_restored").alias("revealed_text"), status.alias("status")

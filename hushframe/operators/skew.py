@@ -77,8 +77,10 @@ def salted_lookup(
     Left rows of a heavy key get one of its salts; right rows of that key are
     repeated once per salt.  All other keys keep salt 0 and are not repeated.
     ``heavy`` comes from ``heavy_keys``, so it has at most ``MAX_HEAVY_KEYS`` rows
-    and may be broadcast.
+    and may be broadcast; when it is empty this is a plain join.
     """
+    if heavy.isEmpty():
+        return join_null_safe(left, right, keys, how)
     hint = F.broadcast(heavy)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     probe = (

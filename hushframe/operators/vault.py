@@ -33,7 +33,9 @@ def token_map(masked: DataFrame, session_cols: Sequence[str], tokens_col: str =
     Each row's token array is already distinct, so when ``session_cols`` identify
     a row this is a narrow ``explode``.
     """
-    return masked.select(session_key(session_cols).alias("session_id"), F.inline(tokens_col))
+    # The outer form: the plain one makes Spark infer filters that run detection again.
+    entries = masked.select(session_key(session_cols).alias("session_id"), F.inline_outer(tokens_col))
+    return entries.filter("token IS NOT NULL")
 
 
 def as_vault(numbers: DataFrame, session_cols: Sequence[str] = ()) -> DataFrame:

@@ -53,7 +53,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_texts(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
     """``(c_custkey, text)`` with a text built from the key."""
-    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(expression).alias("text"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return spread(customers, ["c_custkey"]).select("c_custkey", F.expr(expression).alias("text"))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -81,13 +82,7 @@ OVERLAP_TEXT = texts.pick(texts.OVERLAP_SENTENCES, "c_custkey")
 )
 def entity_counts_by_lang(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
-    # Counting rows and distinct documents inside each row first keeps the shuffle to one row per document and rule.
-    per_doc = docs.select("lang", F.explode(columns.detect("text")).alias("f"), "doc_id").groupBy(
-        "lang", "f.entity_type", "f.rule_id", "doc_id"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("lang", "entity_type", "rule_id").agg(
-        F.sum("n").alias("hits"), F.count(F.lit(1)).alias("docs")
-    )
+    return report.entity_totals(docs, ["lang"])
 
 
 @query(
@@ -335,7 +330,7 @@ _COLUMN_SQL = f"c_name || ' / ' || {_CONTACT}"
     ),
 )
 def mask_columns(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"]).select(
         "c_custkey", F.expr(_COLUMN_SQL).alias("contact"), F.expr(OVERLAP_TEXT).alias("note")
     )
     return mask.mask_columns(rows, ["contact", "note"]).select("c_custkey", "contact", "note")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hushframe.functions import columns
-from hushframe.functions.catalog import Rule
+from hushframe.functions import columns, spans
+from hushframe.functions.catalog import Rule, rules_for
 from hushframe.operators import mask as mask_ops
 from hushframe.operators.reveal import reveal
 from hushframe.operators.skew import cut_lineage, join_null_safe
@@ -73,9 +73,10 @@ def mask_session_batch(
     """
     spark = batch.sparkSession
     keys = [session_col, "entity_type"]
-    found_df = batch.withColumn("_found", columns.detect(text_col, rules))
+    rules = rules or rules_for()
+    found = spans.resolved_findings(text_col, rules)
     mentions = cut_lineage(
-        mask_ops.value_mentions(found_df, id_cols, [session_col], order_cols, "_found", text_col)
+        mask_ops.value_mentions(batch, id_cols, [session_col], order_cols, found, text_col)
     )
     if vault_exists(spark, vault_path):
         earlier = spark.read.schema(_VAULT_SCHEMA).parquet(vault_path).filter(F.col("batch_id") < batch_id)
@@ -125,9 +126,7 @@ def mask_session_batch(
         .withColumn("token", F.expr("concat('[', entity_type, '_', n, ']')"))
     )
     numbers = fresh.select(session_col, "entity_type", "value", "mentions", "token").unionByName(old)
-    masked = mask_ops.apply_numbers(
-        found_df, "_found", mentions, numbers, id_cols, [session_col], text_col, "masked_text"
-    )
+    masked = mask_ops.apply_numbers(batch, mentions, numbers, id_cols, [session_col], text_col, rules)
     entries = fresh.select(F.col("_session").alias("session_id"), "token", "entity_type", "value", "n")
     # A placeholder that stood in the text is kept without a value, so its number stays taken.
     taken = reserved.filter("n > 0").select(
