@@ -18,6 +18,11 @@ from hushframe.operators.skew import (
     number_within,
     salted_lookup,
 )
+# Room one edit (two offsets and a token) takes in a broadcast table, generously.
+EDIT_BYTES = 128
+# Edit tables up to this size are broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def sanitize(
     df: DataFrame,
@@ -143,11 +148,14 @@ def apply_numbers(
     rules: Sequence[Rule],
     name: str = "masked_text",
     rows_per_salt: int = ROWS_PER_SALT,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Write the tokens into the texts.
 
-    Tokens reach each row through a salted join on (session, type, value).  Only
-    texts that some rule matches are shuffled; all others pass straight through.
+    Tokens reach each row through a salted join on (session, type, value), which
+    gives a table of edits per row.  Its size is measured: a small one is
+    broadcast and the texts stay where they are; else the texts that some rule
+    matches are shuffled to it, and all others pass straight through.
     """
     keys = [*session_cols, "entity_type", "value"]
     heavy = heavy_keys(numbers, keys, "mentions", rows_per_salt)
@@ -161,14 +169,18 @@ def apply_numbers(
         id_cols,
     )
     token_spans = F.transform("spans", lambda s: F.struct(s["start"], s["end"], F.col("token").alias("token")))
-    edits = placed.groupBy(*id_cols).agg(
-        F.sort_array(F.flatten(F.collect_list(token_spans))).alias("_edits")
+    edits = cut_lineage(
+        placed.groupBy(*id_cols).agg(F.sort_array(F.flatten(F.collect_list(token_spans))).alias("_edits"))
     )
-    matched = F.expr(spans.any_match(text_col, rules))
-    clean = df.filter(~matched).withColumn(name, F.col(text_col))
     edited = F.when(F.col("_edits").isNull(), F.col(text_col)).otherwise(
         F.expr(spans.rewrite(text_col, "_edits"))
     )
+    size = edits.agg(F.sum(F.size("_edits") * EDIT_BYTES + EDIT_BYTES).alias("bytes")).first()["bytes"] or 0
+    if size <= broadcast_bytes:
+        joined = join_null_safe(df, F.broadcast(edits), id_cols, "left")
+        return joined.withColumn(name, edited).drop("_edits")
+    matched = F.expr(spans.any_match(text_col, rules))
+    clean = df.filter(~matched).withColumn(name, F.col(text_col))
     touched = join_null_safe(df.filter(matched), edits, id_cols, "left").withColumn(name, edited).drop("_edits")
     return clean.unionByName(touched)
 
@@ -182,6 +194,7 @@ def sanitize_scope(
     rules: Sequence[Rule] | None = None,
     exclusions: Iterable[str] = (),
     rows_per_salt: int = ROWS_PER_SALT,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask with one numbering per session, or one for the whole table without ``session_cols``.
 
@@ -198,7 +211,8 @@ def sanitize_scope(
     mentions = cut_lineage(value_mentions(df, id_cols, session_cols, order_cols, found, text_col))
     numbers = cut_lineage(number_values(mentions, session_cols, order_cols))
     masked = apply_numbers(
-        df, mentions, numbers, id_cols, session_cols, text_col, rules, rows_per_salt=rows_per_salt
+        df, mentions, numbers, id_cols, session_cols, text_col, rules,
+        rows_per_salt=rows_per_salt, broadcast_bytes=broadcast_bytes,
     )
     return masked, numbers.select(*session_cols, "token", "entity_type", "value")
 

@@ -17,7 +17,7 @@ from hushframe.functions.catalog import (
     rules_for,
 )
 from hushframe.operators import detect, guards, mask, policy, report, reveal, vault
-from hushframe.operators.skew import spread
+from hushframe.operators.skew import cut_lineage, spread
 from hushframe.plans import oracle, samples, texts
 from hushframe.sources import files
 from hushframe.streaming import lines
@@ -472,7 +472,7 @@ _LEAK_SQL = (
 
 @query("leak_audit", _LEAK_SQL)
 def leak_audit(spark, sf_dir):
-    masked = mask.sanitize(documents(spark, sf_dir))
+    masked = cut_lineage(mask.sanitize(documents(spark, sf_dir)))
     return report.leak_audit(masked, vault.token_map(masked, ["doc_id"]), "doc_id")
 
 
@@ -543,7 +543,8 @@ def reveal_rows(spark, sf_dir):
     ),
 )
 def reveal_roundtrip(spark, sf_dir):
-    masked = mask.sanitize(documents(spark, sf_dir))
+    # Masked once and written, as it would be before texts come back to be revealed.
+    masked = cut_lineage(mask.sanitize(documents(spark, sf_dir)))
     entries = vault.token_map(masked, ["doc_id"])
     texts_only = masked.select("doc_id", "masked_text")
     back = reveal.reveal(texts_only, entries, ["doc_id"], "masked_text", "doc_id")
