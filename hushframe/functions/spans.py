@@ -19,6 +19,8 @@ FINDINGS_TYPE = (
 )
 TOKEN_PATTERN = r"\[[^\[\] \t\r\n]+_\d+\]"
 NO_FINDINGS = f"cast(array() AS {FINDINGS_TYPE})"
+# Long arrays are built in blocks of this size.
+_BLOCK = 128
 
 
 def quote(value: str) -> str:
@@ -41,21 +43,45 @@ def gate(text: str, rule: Rule) -> str:
     return " AND ".join(tests) or f"{text} IS NOT NULL"
 
 
+def _running(items: str, emit: str, advance: str) -> str:
+    """A running int over ``items``: ``emit`` before and ``advance`` after each ``_x``, from ``_c.at``.
+
+    Built block by block: appending to one long array would copy it every time.
+    """
+    within = (
+        f"aggregate(slice({items}, _b * {_BLOCK} + 1, {_BLOCK}),"
+        " named_struct('at', _a.at, 'out', cast(array() AS array<int>)),"
+        f" (_c, _x) -> named_struct('at', {advance}, 'out', array_append(_c.out, {emit})))"
+    )
+    carried = "named_struct('at', _w.at, 'blocks', array_append(_a.blocks, _w.out))"
+    return (
+        f"aggregate(sequence(0, (size({items}) - 1) div {_BLOCK}),"
+        " named_struct('at', 0, 'blocks', cast(array() AS array<array<int>>)),"
+        f" (_a, _b) -> {bind(within, '_w', carried)},"
+        " _a -> flatten(_a.blocks))"
+    )
+
+
+def _groups(items: str, is_first: str, group: str) -> str:
+    """Cut ``items`` before every index ``_i`` where ``is_first`` holds and map each slice ``_sl`` to ``group``."""
+    stop = f"CASE WHEN _j + 1 < size(_cuts) THEN _cuts[_j + 1] ELSE size({items}) END"
+    each = bind(f"slice({items}, _at + 1, {stop} - _at)", "_sl", group)
+    cuts = f"filter(sequence(0, size({items}) - 1), _i -> _i = 0 OR {is_first})"
+    return bind(cuts, "_cuts", f"transform(_cuts, (_at, _j) -> {each})")
+
+
 def rule_findings(text: str, rule: Rule) -> str:
     """Findings of one rule: the matches, placed by the lengths of the gaps between them."""
     pattern = quote(rule.pattern)
-    starts = (
-        f"aggregate(zip_with(slice(split({text}, {pattern}, -1), 1, size(_m)), _m,"
-        "   (_g, _v) -> named_struct('gap', length(_g), 'len', length(_v))),"
-        " named_struct('pos', 0, 'starts', cast(array() AS array<int>)),"
-        " (_a, _x) -> named_struct('pos', _a.pos + _x.gap + _x.len,"
-        "                          'starts', array_append(_a.starts, _a.pos + _x.gap)),"
-        " _a -> _a.starts)"
+    pieces = (
+        f"zip_with(slice(split({text}, {pattern}, -1), 1, size(_m)), _m,"
+        " (_g, _v) -> named_struct('gap', length(_g), 'len', length(_v)))"
     )
     finding = (
         f"named_struct('start', _s, 'end', _s + length(_v), 'priority', {rule.priority},"
         f" 'entity_type', {quote(rule.entity_type)}, 'rule_id', {quote(rule.rule_id)}, 'value', _v)"
     )
+    starts = bind(pieces, "_z", _running("_z", "_c.at + _x.gap", "_c.at + _x.gap + _x.len"))
     placed = f"CASE WHEN size(_m) > 0 THEN zip_with({starts}, _m, (_s, _v) -> {finding}) ELSE {NO_FINDINGS} END"
     found = bind(f"regexp_extract_all({text}, {pattern}, 0)", "_m", placed)
     return f"CASE WHEN {gate(text, rule)} THEN {found} ELSE {NO_FINDINGS} END"
@@ -98,14 +124,10 @@ def without_values(findings: str, values: Iterable[str]) -> str:
     return f"filter({findings}, _f -> NOT array_contains(array({listed}), _f.value))"
 
 
-def resolve_overlaps(findings: str) -> str:
-    """Keep disjoint findings: best priority first, then leftmost, then longest.
-
-    Most texts have no overlap at all, so the greedy pass only runs where two
-    neighbours in start order touch.
-    """
+def _best_of(cluster: str) -> str:
+    """Greedy choice among findings that touch: best priority, then leftmost, then longest."""
     ranked = (
-        "sort_array(transform(_o, _f -> named_struct("
+        f"sort_array(transform({cluster}, _f -> named_struct("
         "'priority', _f.priority, 'start', _f.start, 'shorter', _f.start - _f.end, 'finding', _f)))"
     )
     greedy = (
@@ -113,8 +135,21 @@ def resolve_overlaps(findings: str) -> str:
         " WHEN exists(_kept, _k -> _k.start < _r.finding.end AND _r.finding.start < _k.end) THEN _kept"
         " ELSE array_append(_kept, _r.finding) END))"
     )
+    return f"CASE WHEN size({cluster}) < 2 THEN {cluster} ELSE {greedy} END"
+
+
+def resolve_overlaps(findings: str) -> str:
+    """Keep disjoint findings: best priority first, then leftmost, then longest.
+
+    Most texts have no overlap at all and are left as they are.  In the others
+    the findings fall into clusters that touch nothing else, and the choice is
+    made within each cluster.
+    """
+    reach = _running("_o", "_c.at", "greatest(_c.at, _x.end)")
+    chosen_each = _groups("_o", "_o[_i].start >= _reach[_i]", _best_of("_sl"))
+    clustered = bind(reach, "_reach", f"flatten({chosen_each})")
     touching = "exists(sequence(1, size(_o) - 1), _i -> _o[_i].start < _o[_i - 1].end)"
-    chosen = f"CASE WHEN size(_o) < 2 THEN _o WHEN {touching} THEN {greedy} ELSE _o END"
+    chosen = f"CASE WHEN size(_o) < 2 THEN _o WHEN {touching} THEN {clustered} ELSE _o END"
     return bind(f"sort_array({findings})", "_o", chosen)
 
 
@@ -123,25 +158,40 @@ def resolved_findings(text: str, rules: Sequence[Rule], exclusions: Iterable[str
     return resolve_overlaps(without_values(all_findings(text, rules), exclusions))
 
 
-def distinct_values(findings: str) -> str:
-    """The distinct (entity_type, value) pairs in order of first appearance."""
-    return (
-        f"array_distinct(transform({findings}, _f -> "
-        "named_struct('entity_type', _f.entity_type, 'value', _f.value)))"
-    )
+def _key(row: str) -> str:
+    """Label and value as one string: strings are compared and hashed faster than structs."""
+    return f"concat(lpad(length({row}.entity_type), 3, '0'), {row}.entity_type, {row}.value)"
+
+
+def distinct_keys(findings: str) -> str:
+    """The distinct (label, value) keys in order of first appearance."""
+    return f"array_distinct(transform({findings}, _f -> {_key('_f')}))"
+
+
+def _label_of(key: str) -> str:
+    return f"substring({key}, 4, cast(substring({key}, 1, 3) AS int))"
+
+
+def _value_of(key: str) -> str:
+    return f"substring({key}, 4 + cast(substring({key}, 1, 3) AS int))"
 
 
 def value_spans(findings: str) -> str:
-    """Each distinct value once, in order of first appearance, with all its spans."""
-    places = (
-        "transform(filter(_vf, _f -> _f.entity_type = _v.entity_type AND _f.value = _v.value),"
-        " _f -> named_struct('start', _f.start, 'end', _f.end))"
+    """Each distinct value once, with all its spans; ``place`` is where it first stands."""
+    sorted_hits = (
+        f"sort_array(transform({findings}, _f -> named_struct('k', {_key('_f')},"
+        " 's', named_struct('start', _f.start, 'end', _f.end))))"
     )
     row = (
-        "named_struct('entity_type', _v.entity_type, 'value', _v.value, 'place', _i,"
-        f" 'taken', cast(null AS int), 'spans', {places})"
+        f"named_struct('entity_type', {_label_of('_sl[0].k')}, 'value', {_value_of('_sl[0].k')},"
+        " 'place', _sl[0].s.start, 'taken', cast(null AS int), 'spans', transform(_sl, _x -> _x.s))"
+    )
+    grouped = _groups("_h", "_h[_i].k <> _h[_i - 1].k", row)
+    empty = (
+        "cast(array() AS array<struct<entity_type:string,value:string,place:int,taken:int,"
+        "spans:array<struct<start:int,end:int>>>>)"
     )
-    return bind(findings, "_vf", f"transform({distinct_values('_vf')}, (_v, _i) -> {row})")
+    return bind(sorted_hits, "_h", f"CASE WHEN size(_h) = 0 THEN {empty} ELSE {grouped} END")
 
 
 def type_counts(findings: str) -> str:
@@ -177,52 +227,90 @@ def highest_reserved(tokens: str, entity_type: str) -> str:
     )
 
 
-def token_table(values: str, reserved: str) -> str:
-    """Number distinct values per label from 1: ``array<struct<token,entity_type,value>>``.
+def token_table(keys: str, reserved: str) -> str:
+    """Number distinct keys per label from 1: ``array<struct<token,entity_type,value>>``.
 
     Equal values share a token.  Numbering starts above any number the text
     already uses for that label.
     """
-    rank = "array_position(filter(_d, _e -> _e.entity_type = _x.entity_type), _x)"
     row = (
-        "named_struct('token', concat('[', _x.entity_type, '_', "
-        f"{rank} + {highest_reserved('_rt', '_x.entity_type')}, ']'),"
-        " 'entity_type', _x.entity_type, 'value', _x.value)"
+        "named_struct('token', concat('[', _lab, '_', _i + 1 + _top, ']'),"
+        f" 'entity_type', _lab, 'value', {_value_of('_x')})"
     )
-    return bind(values, "_d", bind(reserved, "_rt", f"transform(_d, _x -> {row})"))
+    own = f"filter(_d, _x -> {_label_of('_x')} = _lab)"
+    numbered = bind(highest_reserved("_rt", "_lab"), "_top", f"transform({own}, (_x, _i) -> {row})")
+    labels = f"array_distinct(transform(_d, _x -> {_label_of('_x')}))"
+    return bind(keys, "_d", bind(reserved, "_rt", f"flatten(transform({labels}, _lab -> {numbered}))"))
 
 
 def rewrite(text: str, edits: str) -> str:
-    """Replace spans of ``text``; ``edits`` is ``array<struct<start,end,token>>`` in reading order."""
+    """Replace spans of ``text``; ``edits`` is ``array<struct<start,end,token>>`` in reading order.
+
+    Finding a character offset means walking the text from its start, so the
+    text is cut into blocks of edits first and each block is rewritten by itself.
+    """
+    block = f"slice(_e, _b * {_BLOCK} + 1, {_BLOCK})"
+    base = f"CASE WHEN _b = 0 THEN 0 ELSE _e[_b * {_BLOCK} - 1].end END"
     before = (
-        "substring({t}, CASE WHEN _i = 0 THEN 1 ELSE _e[_i - 1].end + 1 END,"
-        " _x.start - CASE WHEN _i = 0 THEN 0 ELSE _e[_i - 1].end END)"
-    ).format(t=text)
-    pieces = f"transform(_e, (_x, _i) -> concat({before}, _x.token))"
+        "substring(_t, CASE WHEN _i = 0 THEN 1 ELSE _k[_i - 1].end - _from + 1 END,"
+        " _x.start - CASE WHEN _i = 0 THEN _from ELSE _k[_i - 1].end END)"
+    )
+    pieces = f"array_join(transform(_k, (_x, _i) -> concat({before}, _x.token)), '')"
+    rewritten = bind(
+        block, "_k",
+        bind(base, "_from", bind(f"substring({text}, _from + 1, _k[size(_k) - 1].end - _from)", "_t", pieces)),
+    )
+    blocks = f"transform(sequence(0, (size(_e) - 1) div {_BLOCK}), _b -> {rewritten})"
     tail = f"substring({text}, _e[size(_e) - 1].end + 1)"
     return bind(
         edits, "_e",
-        f"CASE WHEN size(_e) = 0 THEN {text} ELSE concat(array_join({pieces}, ''), {tail}) END",
+        f"CASE WHEN size(_e) = 0 THEN {text} ELSE concat(array_join({blocks}, ''), {tail}) END",
     )
 
 
 def edits_from(findings: str, table: str) -> str:
     """Pair each finding with its token from a token table."""
-    looked_up = (
-        "filter(_tt, _k -> _k.entity_type = _f.entity_type AND _k.value = _f.value)[0].token"
-    )
+    looked_up = f"_tt[cast(array_position(_tk, {_key('_f')}) AS int) - 1].token"
     return bind(
         table, "_tt",
-        f"transform({findings}, _f -> named_struct('start', _f.start, 'end', _f.end, 'token', {looked_up}))",
+        bind(
+            f"transform(_tt, _x -> {_key('_x')})", "_tk",
+            f"transform({findings}, _f -> named_struct('start', _f.start, 'end', _f.end, 'token', {looked_up}))",
+        ),
     )
 
 
+def numbered_values(findings: str, reserved: str) -> str:
+    """Distinct values of one text with their tokens and spans, numbered per label from 1.
+
+    Numbering starts above any number the text already uses for that label.
+    """
+    first_seen = (
+        f"sort_array(transform({value_spans(findings)}, _v -> named_struct("
+        "'place', _v.place, 'entity_type', _v.entity_type, 'value', _v.value, 'spans', _v.spans)))"
+    )
+    row = (
+        "named_struct('token', concat('[', _lab, '_', _i + 1 + _top, ']'),"
+        " 'entity_type', _lab, 'value', _x.value, 'spans', _x.spans)"
+    )
+    own = "filter(_d, _x -> _x.entity_type = _lab)"
+    numbered = bind(highest_reserved("_rt", "_lab"), "_top", f"transform({own}, (_x, _i) -> {row})")
+    labels = "array_distinct(transform(_d, _x -> _x.entity_type))"
+    return bind(first_seen, "_d", bind(reserved, "_rt", f"flatten(transform({labels}, _lab -> {numbered}))"))
+
+
 def protected(text: str, findings: str) -> str:
     """``struct<masked_text, tokens>`` for one text numbered by itself."""
-    table = token_table(distinct_values("_pf"), reserved_tokens(text))
+    edits = (
+        "sort_array(flatten(transform(_tab, _n -> transform(_n.spans, _s ->"
+        " named_struct('start', _s.start, 'end', _s.end, 'token', _n.token)))))"
+    )
+    tokens = (
+        "transform(_tab, _n -> named_struct('token', _n.token, 'entity_type', _n.entity_type, 'value', _n.value))"
+    )
     body = bind(
-        table, "_tab",
-        f"named_struct('masked_text', {rewrite(text, edits_from('_pf', '_tab'))}, 'tokens', _tab)",
+        numbered_values("_pf", reserved_tokens(text)), "_tab",
+        f"named_struct('masked_text', {rewrite(text, edits)}, 'tokens', {tokens})",
     )
     empty_table = "cast(array() AS array<struct<token:string,entity_type:string,value:string>>)"
     plain = f"named_struct('masked_text', {text}, 'tokens', {empty_table})"

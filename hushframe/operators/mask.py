@@ -75,11 +75,11 @@ def mask_columns(
         "*",
         *[columns.detect(c, rules, exclusions).alias(f) for c, f in zip(text_cols, found)],
     )
-    values = "array_distinct(concat(" + ", ".join(spans.distinct_values(f) for f in found) + "))"
+    keys = "array_distinct(concat(" + ", ".join(spans.distinct_keys(f) for f in found) + "))"
     reserved = "concat(" + ", ".join(
         f"coalesce({spans.reserved_tokens(c)}, cast(array() AS array<string>))" for c in text_cols
     ) + ")"
-    staged = staged.withColumn("tokens", F.expr(spans.token_table(values, reserved)))
+    staged = staged.withColumn("tokens", F.expr(spans.token_table(keys, reserved)))
     masked = {
         c: F.expr(spans.rewrite(c, spans.edits_from(f, "tokens"))) for c, f in zip(text_cols, found)
     }
@@ -126,15 +126,14 @@ def number_values(
         .agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("mentions"))
     )
     highest = (
-        mentions.filter(F.col("taken").isNotNull()).groupBy(*groups).agg(F.max("taken").alias("_highest"))
+        mentions.filter(F.col("taken").isNotNull()).groupBy(*groups).agg(F.max("taken").alias("_start"))
     )
-    numbered = number_within(firsts, groups, ["_first", "value"], "_n")
-    return join_null_safe(numbered, highest, groups, "left").select(
+    return number_within(firsts, groups, ["_first", "value"], "_n", highest).select(
         *session_cols,
         "entity_type",
         "value",
         "mentions",
-        F.expr("concat('[', entity_type, '_', _n + coalesce(_highest, 0), ']')").alias("token"),
+        F.expr("concat('[', entity_type, '_', _n, ']')").alias("token"),
     )
 
 

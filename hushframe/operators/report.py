@@ -112,6 +112,24 @@ def redetect_audit(
     return masked.select(*keep, F.inline(columns.detect(masked_col, rules)))
 
 
+def vault_leaks(
+    masked: DataFrame,
+    vault: DataFrame,
+    session_col: str,
+    masked_col: str = "masked_text",
+    rules: Sequence[Rule] | None = None,
+) -> DataFrame:
+    """Vault values that detection still finds in a masked text of their session.
+
+    For vaults shared by many texts: what is left over (normally nothing) is
+    found first and then looked up, so texts are never paired with values.
+    """
+    left_over = masked.select(
+        F.col(session_col).cast("string").alias("session_id"), F.inline(columns.detect(masked_col, rules))
+    ).select("session_id", "entity_type", "value").distinct()
+    return vault.join(left_over, ["session_id", "entity_type", "value"], "left_semi")
+
+
 def roundtrip_audit(
     original: DataFrame, revealed: DataFrame, id_cols: Sequence[str],
     text_col: str = "text", revealed_col: str = "revealed_text",

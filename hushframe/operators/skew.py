@@ -97,10 +97,17 @@ def salted_lookup(
 
 
 def number_within(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, slices: int | None = None
+    df: DataFrame,
+    groups: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    start: DataFrame | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``, whatever the group sizes.
 
+    ``start`` (group columns and ``_start``) says after which number a group begins.
+
     Rows are range-partitioned by (group, order), so one huge group spans many
     slices.  Each slice is ranked by itself and shifted by the sizes of the
     slices before it; there is at most one shift row per group and slice.  The
@@ -117,6 +124,11 @@ def number_within(
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*groups, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
     )
+    if start is not None:
+        # Added to the few shift rows rather than to the numbered ones, which one group may dominate.
+        shifts = join_null_safe(shifts, start, groups, "left").select(
+            *groups, "_slice", (F.col("_shift") + F.coalesce("_start", F.lit(0))).alias("_shift")
+        )
     in_slice = Window.partitionBy(*groups, "_slice").orderBy(*order)
     ranked = sliced.withColumn("_rank", F.row_number().over(in_slice))
     return (

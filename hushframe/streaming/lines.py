@@ -12,7 +12,7 @@ from hushframe.functions import columns, spans
 from hushframe.functions.catalog import Rule, rules_for
 from hushframe.operators import mask as mask_ops
 from hushframe.operators.reveal import reveal
-from hushframe.operators.skew import cut_lineage, join_null_safe
+from hushframe.operators.skew import cut_lineage, join_null_safe, number_within
 from hushframe.operators.vault import session_bucket, vault_exists
 
 _VAULT_SCHEMA = "session_id string, token string, entity_type string, value string, n bigint, bucket int, batch_id bigint"
@@ -72,7 +72,7 @@ def mask_session_batch(
     the work of a single task.
     """
     spark = batch.sparkSession
-    keys = [session_col, "entity_type"]
+    keys = ["_session", "entity_type"]
     rules = rules or rules_for()
     found = spans.resolved_findings(text_col, rules)
     mentions = cut_lineage(
@@ -87,19 +87,18 @@ def mask_session_batch(
         F.col(session_col).cast("string").alias("session_id"),
         session_bucket(F.col(session_col).cast("string")).alias("bucket"),
     ).distinct()
-    earlier = cut_lineage(earlier.join(sessions, ["session_id", "bucket"], "left_semi"))
+    earlier = cut_lineage(join_null_safe(earlier, sessions, ["session_id", "bucket"], "left_semi"))
     known = earlier.withColumnRenamed("session_id", "_session")
     names = mentions.withColumn("_session", F.col(session_col).cast("string"))
-    old = (
+    value_keys = ["_session", "entity_type", "value"]
+    counted = (
         names.filter("taken IS NULL")
-        .groupBy(session_col, "_session", "entity_type", "value")
+        .groupBy(session_col, *value_keys)
         .agg(F.count(F.lit(1)).alias("mentions"))
-        .join(known.select("_session", "entity_type", "value", "token"), ["_session", "entity_type", "value"])
-        .select(session_col, "entity_type", "value", "mentions", "token")
     )
-    unseen = names.join(
-        known.select("_session", "entity_type", "value"), ["_session", "entity_type", "value"], "left_anti"
-    ).select(mentions.columns)
+    old = join_null_safe(counted, known.select(*value_keys, "token"), value_keys, "inner").select(
+        session_col, "entity_type", "value", "mentions", "token"
+    )
     reserved = (
         names.filter("taken IS NOT NULL")
         .groupBy("_session", "entity_type")
@@ -107,23 +106,22 @@ def mask_session_batch(
     )
     highest = (
         known.select("_session", "entity_type", "n").unionByName(reserved)
-        .groupBy("_session", "entity_type").agg(F.max("n").alias("_highest"))
+        .groupBy("_session", "entity_type").agg(F.max("n").alias("_start"))
     )
     firsts = (
-        unseen.filter("taken IS NULL")
-        .groupBy(*keys, "value")
+        names.filter("taken IS NULL")
+        .groupBy(session_col, *value_keys)
         .agg(
             F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], "place")).alias("_first"),
             F.count(F.lit(1)).alias("mentions"),
         )
     )
-    numbered = mask_ops.number_within(firsts, keys, ["_first", "value"], "_next").withColumn(
-        "_session", F.col(session_col).cast("string")
-    )
+    # Combined per value first, so a value that fills the batch is one row in this join.
+    unseen = join_null_safe(firsts, known.select(*value_keys), value_keys, "left_anti")
     fresh = cut_lineage(
-        join_null_safe(numbered, highest, ["_session", "entity_type"], "left")
-        .withColumn("n", F.col("_next") + F.coalesce("_highest", F.lit(0)))
-        .withColumn("token", F.expr("concat('[', entity_type, '_', n, ']')"))
+        number_within(unseen, keys, ["_first", "value"], "n", highest).withColumn(
+            "token", F.expr("concat('[', entity_type, '_', n, ']')")
+        )
     )
     numbers = fresh.select(session_col, "entity_type", "value", "mentions", "token").unionByName(old)
     masked = mask_ops.apply_numbers(batch, mentions, numbers, id_cols, [session_col], text_col, rules)
