@@ -70,36 +70,46 @@ def _groups(items: str, is_first: str, group: str) -> str:
     return bind(cuts, "_cuts", f"transform(_cuts, (_at, _j) -> {each})")
 
 
-def rule_findings(text: str, rule: Rule) -> str:
-    """Findings of one rule: the matches, placed by the lengths of the gaps between them."""
+def _rule_hits(text: str, rule: Rule) -> str:
+    """The matches of one rule and the gaps between them, or null without a match."""
     pattern = quote(rule.pattern)
-    pieces = (
-        f"zip_with(slice(split({text}, {pattern}, -1), 1, size(_m)), _m,"
-        " (_g, _v) -> named_struct('gap', length(_g), 'len', length(_v)))"
-    )
-    finding = (
-        f"named_struct('start', _s, 'end', _s + length(_v), 'priority', {rule.priority},"
-        f" 'entity_type', {quote(rule.entity_type)}, 'rule_id', {quote(rule.rule_id)}, 'value', _v)"
+    hits = (
+        f"named_struct('priority', {rule.priority}, 'entity_type', {quote(rule.entity_type)},"
+        f" 'rule_id', {quote(rule.rule_id)}, 'm', _m, 'g', split({text}, {pattern}, -1))"
     )
-    starts = bind(pieces, "_z", _running("_z", "_c.at + _x.gap", "_c.at + _x.gap + _x.len"))
-    placed = f"CASE WHEN size(_m) > 0 THEN zip_with({starts}, _m, (_s, _v) -> {finding}) ELSE {NO_FINDINGS} END"
-    found = bind(f"regexp_extract_all({text}, {pattern}, 0)", "_m", placed)
-    return f"CASE WHEN {gate(text, rule)} THEN {found} ELSE {NO_FINDINGS} END"
+    found = bind(f"regexp_extract_all({text}, {pattern}, 0)", "_m", f"CASE WHEN size(_m) > 0 THEN {hits} END")
+    return f"CASE WHEN {gate(text, rule)} THEN {found} END"
 
 
 def all_findings(text: str, rules: Sequence[Rule]) -> str:
-    """Every finding of every rule, overlaps included."""
+    """Every finding of every rule, overlaps included.
+
+    Matches are placed by the lengths of the gaps between them.
+    """
     if not rules:
         return NO_FINDINGS
     families: dict[str | None, list[str]] = {}
     for rule in rules:
-        families.setdefault(rule.family, []).append(rule_findings(text, rule))
-    parts = families.pop(None, [])
+        families.setdefault(rule.family, []).append(_rule_hits(text, rule))
+    hits_type = "array<struct<priority:int,entity_type:string,rule_id:string,m:array<string>,g:array<string>>>"
+    plain = families.pop(None, [])
+    parts = [f"array({', '.join(plain)})"] if plain else []
     for needed, members in families.items():
         parts.append(
-            f"CASE WHEN rlike({text}, {quote(needed)}) THEN concat({', '.join(members)}) ELSE {NO_FINDINGS} END"
+            f"CASE WHEN rlike({text}, {quote(needed)}) THEN array({', '.join(members)})"
+            f" ELSE cast(array() AS {hits_type}) END"
         )
-    return f"concat({', '.join(parts)})"
+    pieces = (
+        "zip_with(slice(_r.g, 1, size(_r.m)), _r.m,"
+        " (_g, _v) -> named_struct('gap', length(_g), 'len', length(_v)))"
+    )
+    starts = bind(pieces, "_z", _running("_z", "_c.at + _x.gap", "_c.at + _x.gap + _x.len"))
+    finding = (
+        "named_struct('start', _s, 'end', _s + length(_v), 'priority', _r.priority,"
+        " 'entity_type', _r.entity_type, 'rule_id', _r.rule_id, 'value', _v)"
+    )
+    placed = f"zip_with({starts}, _r.m, (_s, _v) -> {finding})"
+    return f"flatten(transform(array_compact(concat({', '.join(parts)})), _r -> {placed}))"
 
 
 def any_match(text: str, rules: Sequence[Rule]) -> str:
