@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe.functions.catalog import Rule
 from hushframe.operators.guards import is_binary, max_file_size, route_by_format
-from hushframe.operators.mask import mask_columns
+from hushframe.operators.mask import mask_columns, sanitize
 from hushframe.sources import office
 from hushframe.sources.office import parse_docx, parse_xlsx
 
@@ -89,6 +90,22 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
     return texts, quarantine
 
 
+def sanitize_files(
+    spark: SparkSession,
+    path: str | list[str],
+    profile: str | None = "general",
+    rules: Sequence[Rule] | None = None,
+    exclusions: Iterable[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Mask all readable files under ``path``: ``(path, masked_text, tokens)`` and a quarantine.
+
+    Each file has its own numbering.
+    """
+    texts, quarantine = read_documents(spark, path)
+    masked = sanitize(texts, "text", profile, rules, exclusions)
+    return masked.select("path", "masked_text", "tokens"), quarantine
+
+
 def read_tabular(spark: SparkSession, fmt: str, path: str, schema: T.StructType | str, **options: str) -> DataFrame:
     """A CSV, JSON, ORC or Parquet table under an explicit schema (none is inferred)."""
     return spark.read.schema(schema).options(**options).format(fmt).load(path)

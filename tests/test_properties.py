@@ -1,5 +1,6 @@
 """Properties that must hold for any text, and agreement between the different plans."""
 
+import dataclasses
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -109,6 +110,15 @@ def test_long_texts_equal_row_masking(spark):
     assert {r["id"]: r["masked_text"] for r in cut.collect()} == whole
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="ab1.@-_ é\n+Z:=sk\"'/(", max_size=40) | TEXTS, min_size=60, max_size=80))
+def test_gates_never_hide_a_finding(spark, texts):
+    ungated = [dataclasses.replace(r, hints=(), gate=None, family=None) for r in rules_for()]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    both = df.select("text", columns.detect("text").alias("fast"), columns.detect("text", ungated).alias("slow"))
+    assert both.filter("fast <> slow").collect() == []
+
+
 def test_masking_is_idempotent(spark):
     df = spark.createDataFrame([(r[0], r[3]) for r in _corpus(60)], "id long, text string")
     once = mask.sanitize(df).selectExpr("id", "masked_text AS text")

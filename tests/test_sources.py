@@ -49,6 +49,14 @@ def test_read_documents(spark, folder):
     assert "Alice Smith" not in masked["book.xlsx"] and "alice@company.com" not in masked["book.xlsx"]
 
 
+def test_sanitize_files(spark, folder):
+    masked, quarantine = files.sanitize_files(spark, folder, "General")
+    got = {os.path.basename(r["path"]): r["masked_text"] for r in masked.collect()}
+    assert got["letter.docx"] == "Dear [NAME_1]\n\ncall [PHONE_1]\n\n"
+    assert got["note.TXT"] == "mail [EMAIL_1]\nend é"
+    assert quarantine.count() == 5
+
+
 def test_size_guard_is_pushed_to_the_file_source(spark, folder):
     small, _ = guards.max_file_size(files.list_files(spark, folder))
     plan = small.select("path", "content")._jdf.queryExecution().executedPlan().toString()
