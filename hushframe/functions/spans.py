@@ -194,11 +194,11 @@ def value_spans(findings: str) -> str:
     )
     row = (
         f"named_struct('entity_type', {_label_of('_sl[0].k')}, 'value', {_value_of('_sl[0].k')},"
-        " 'place', _sl[0].s.start, 'taken', cast(null AS int), 'spans', transform(_sl, _x -> _x.s))"
+        " 'place', _sl[0].s.start, 'taken', cast(null AS bigint), 'spans', transform(_sl, _x -> _x.s))"
     )
     grouped = _groups("_h", "_h[_i].k <> _h[_i - 1].k", row)
     empty = (
-        "cast(array() AS array<struct<entity_type:string,value:string,place:int,taken:int,"
+        "cast(array() AS array<struct<entity_type:string,value:string,place:int,taken:bigint,"
         "spans:array<struct<start:int,end:int>>>>)"
     )
     return bind(sorted_hits, "_h", f"CASE WHEN size(_h) = 0 THEN {empty} ELSE {grouped} END")
@@ -225,15 +225,19 @@ def reserved_tokens(text: str) -> str:
     )
 
 
+def reserved_number(digits: str) -> str:
+    """The number of a placeholder; numbers beyond any numbering's reach count as 0."""
+    return f"CASE WHEN length({digits}) <= 15 THEN coalesce(try_cast({digits} AS bigint), 0L) ELSE 0L END"
+
+
 def highest_reserved(tokens: str, entity_type: str) -> str:
     """The highest number a placeholder of ``entity_type`` already carries, else 0."""
-    number = (
-        f"coalesce(try_cast(substring(_t, length({entity_type}) + 3, length(_t) - length({entity_type}) - 3)"
-        " AS int), 0)"
+    number = reserved_number(
+        f"substring(_t, length({entity_type}) + 3, length(_t) - length({entity_type}) - 3)"
     )
     return (
-        f"CASE WHEN size({tokens}) = 0 THEN 0 ELSE coalesce(array_max(transform(filter({tokens},"
-        f" _t -> startswith(_t, concat('[', {entity_type}, '_'))), _t -> {number})), 0) END"
+        f"CASE WHEN size({tokens}) = 0 THEN 0L ELSE coalesce(array_max(transform(filter({tokens},"
+        f" _t -> startswith(_t, concat('[', {entity_type}, '_'))), _t -> {number})), 0L) END"
     )
 
 

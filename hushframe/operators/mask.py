@@ -100,10 +100,11 @@ def value_mentions(
     ``spans`` says where they stand.  The text is not carried along.
     """
     kept = [*dict.fromkeys([*id_cols, *session_cols, *order_cols])]
+    digits = "regexp_extract(_t, '_([0-9]+)\\\\]$', 1)"
     taken = (
         f"transform(array_distinct({spans.reserved_tokens(text_col)}), _t -> named_struct("
         "'entity_type', regexp_extract(_t, '^\\\\[(.+)_[0-9]+\\\\]$', 1), 'value', _t, 'place', 0,"
-        " 'taken', coalesce(try_cast(regexp_extract(_t, '_([0-9]+)\\\\]$', 1) AS int), 0),"
+        f" 'taken', {spans.reserved_number(digits)},"
         " 'spans', cast(array() AS array<struct<start:int,end:int>>)))"
     )
     return df.select(*kept, F.expr(f"inline(concat({spans.value_spans(found)}, {taken}))"))

@@ -17,7 +17,7 @@ from hushframe.functions.catalog import (
     rules_for,
 )
 from hushframe.operators import detect, guards, mask, policy, report, reveal, vault
-from hushframe.operators.skew import cut_lineage, spread
+from hushframe.operators.skew import cut_lineage, shared_folder, spread
 from hushframe.plans import oracle, samples, texts
 from hushframe.sources import files
 from hushframe.streaming import lines
@@ -59,8 +59,7 @@ def customer_texts(spark: SparkSession, sf_dir: str, expression: str) -> DataFra
 
 def scratch(spark: SparkSession) -> str:
     """A new folder path the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hushframe-scratch"
-    return f"{base.rstrip('/')}/hushframe-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/hushframe-{uuid.uuid4().hex}"
 
 
 DOCS = "SELECT doc_id AS id, text FROM documents"

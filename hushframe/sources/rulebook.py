@@ -35,6 +35,8 @@ RULE_SCHEMA = T.StructType([
 ])
 # Texts on which a usable rule must not match the empty string.
 _EMPTY_PROBES = ("", "a", "aA0 _-.", "one two\n3,4")
+# Parts of an expression that take up no text.
+_ZERO_WIDTH = re.compile(r"\(\?<?[=!](?:[^()\\]|\\.)*\)|\\[bBAzZG]|\^|\$")
 _NESTED_REPEAT = re.compile(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]")
 
 
@@ -46,35 +48,39 @@ def normalise_rules(raw: DataFrame) -> DataFrame:
     absent = F.lit("")
     pattern = F.coalesce(F.nullif("pattern", absent), F.nullif("regex", absent))
     label = F.coalesce(F.nullif("label", absent), F.nullif("category", absent), F.lit("CUSTOM"))
-    return raw.select(pattern.alias("pattern"), F.upper(label).alias("label")).filter(F.length("pattern") > 0)
+    others = [c for c in raw.columns if c not in ("pattern", "regex", "label", "category")]
+    named = raw.select(*others, pattern.alias("pattern"), F.upper(label).alias("label"))
+    return named.filter(F.length("pattern") > 0)
 
 
 def read_rule_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Normalised rules (in file order) and exclusions of a rule file; a broken file has none of either."""
     config = spark.read.schema(RULE_FILE_SCHEMA).option("multiLine", True).json(path)
     raw = config.select(F.posexplode("customRules").alias("position", "_rule")).select("position", "_rule.*")
-    absent = F.lit("")
-    rules = raw.select(
-        "position",
-        F.coalesce(F.nullif("pattern", absent), F.nullif("regex", absent)).alias("pattern"),
-        F.upper(F.coalesce(F.nullif("label", absent), F.nullif("category", absent), F.lit("CUSTOM"))).alias("label"),
-    ).filter(F.length("pattern") > 0)
-    return rules, config.select(F.explode("exclusions").alias("value")).distinct()
+    return normalise_rules(raw), config.select(F.explode("exclusions").alias("value")).distinct()
 
 
 def rejection(spark: SparkSession, pattern: str) -> str | None:
     """Why a custom pattern cannot be used, or None."""
     if _NESTED_REPEAT.search(pattern):
         return "nested_repeat"
+    try:
+        if _matches_empty(spark, pattern):
+            return "matches_empty"
+    except PySparkException:
+        return "invalid_regex"
+    try:
+        return "matches_empty" if _matches_empty(spark, _ZERO_WIDTH.sub("", pattern)) else None
+    except PySparkException:
+        return None  # what is left without the zero-width parts need not be an expression
+
+
+def _matches_empty(spark: SparkSession, pattern: str) -> bool:
     probes = F.array(*[F.lit(p) for p in _EMPTY_PROBES])
     empties = F.exists(
         probes, lambda p: F.array_contains(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), F.lit(""))
     )
-    try:
-        matches_empty = spark.range(1).select(empties.alias("e")).first()["e"]
-    except PySparkException:
-        return "invalid_regex"
-    return "matches_empty" if matches_empty else None
+    return spark.range(1).select(empties.alias("e")).first()["e"]
 
 
 def check_rules(

@@ -68,6 +68,8 @@ def test_profiles_per_row_agree_with_fixed_profiles(spark):
     ("a@b.io, c@d.io, a@b.io", "[EMAIL_1], [EMAIL_2], [EMAIL_1]"),
     ("A@b.io and a@b.io", "[EMAIL_1] and [EMAIL_2]"),
     ("seen [EMAIL_4] and new x@y.org", "seen [EMAIL_4] and new [EMAIL_5]"),
+    ("[EMAIL_2147483647] x@y.org", "[EMAIL_2147483647] [EMAIL_2147483648]"),
+    ("[EMAIL_99999999999999999999] x@y.org", "[EMAIL_99999999999999999999] [EMAIL_1]"),
     ("😀é x@y.org ü", "😀é [EMAIL_1] ü"),
 ])
 def test_general_masking(spark, text, expected):

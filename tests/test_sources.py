@@ -89,16 +89,20 @@ def test_rule_file(spark, tmp_path):
         out.write(
             '{"customRules": [{"pattern": "", "regex": "AB-\\\\d+", "label": "", "category": "tag"},'
             ' {"pattern": "x+"}, {"label": "EMPTY"}, {"pattern": "(", "label": "BAD"},'
-            ' {"pattern": "(a+)+b", "label": "SLOW"}, {"pattern": "z*", "label": "NONE"}],'
+            ' {"pattern": "(a+)+b", "label": "SLOW"}, {"pattern": "z*", "label": "NONE"},'
+            ' {"pattern": "(?=q)", "label": "AHEAD"}, {"pattern": "(?<=id=)[0-9]+", "label": "LOOK"}],'
             ' "exclusions": ["localhost", "PORT"]}'
         )
     accepted, rejected, exclusions = rulebook.load_rules(spark, path)
-    assert [(r.entity_type, r.pattern) for r in accepted] == [("TAG", r"AB-\d+"), ("CUSTOM", "x+")]
+    assert [(r.entity_type, r.pattern) for r in accepted] == [
+        ("TAG", r"AB-\d+"), ("CUSTOM", "x+"), ("LOOK", "(?<=id=)[0-9]+"),
+    ]
     assert [(r["label"], r["reason"]) for r in rejected] == [
         ("BAD", "invalid_regex"), ("SLOW", "nested_repeat"), ("NONE", "matches_empty"),
+        ("AHEAD", "matches_empty"),
     ]
     assert exclusions == ["PORT", "localhost"]
-    assert rulebook.rules_table(spark, accepted).count() == 2
+    assert rulebook.rules_table(spark, accepted).count() == 3
     from_table, _ = rulebook.rules_from_table(spark, spark.createDataFrame([("q+", "Q")], "pattern string, label string"))
     assert from_table[0].entity_type == "Q"
 
