@@ -6,11 +6,16 @@ import string
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe import llm
 from hushframe.operators.skew import cut_lineage, shared_folder
 
+# Executors get the code of this subpackage with each task; they need no copy of it.
+cloudpickle.register_pickle_by_value(llm)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

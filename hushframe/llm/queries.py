@@ -1,12 +1,6 @@
 """All registered queries of the training-data operators, with their SQL."""
 
-import pyspark.cloudpickle as cloudpickle
-
-from hushframe.llm import exact_dedup, packing, token_orc, tokens, url_filter
+from hushframe.llm import exact_dedup, license_scan, packing, simhash_pivots, token_orc, toxicity, url_filter  # noqa: F401  (each registers its query)
 from hushframe.llm.common import ORACLES, QUERIES
 
-# Executors get the code of tasks with the task; they need no copy of this package.
-for module in (exact_dedup, packing, token_orc, tokens, url_filter):
-    cloudpickle.register_pickle_by_value(module)
-
 __all__ = ["ORACLES", "QUERIES"]
