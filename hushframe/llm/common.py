@@ -40,6 +40,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# On UTF-8 bytes: all ASCII characters but digits and lower-case letters become spaces.
+_WORD_BYTES = bytes(b if b >= 128 or chr(b) in string.digits + string.ascii_lowercase else 32 for b in range(256))
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The words of a whole text, A-Z lower-cased, as UTF-8; a null text has none."""
+    return (text or "").encode().lower().translate(_WORD_BYTES).split()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; texts without other characters take the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -57,4 +66,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "query", "stored", "table"]
+__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "query", "stored", "table", "word_bytes"]

@@ -10,7 +10,6 @@ holds at least ``o`` of a template's tokens must share one of the template's fir
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -18,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage, query, table
+from hushframe.llm.common import cut_lineage, query, table, word_bytes
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MAX_TEMPLATE_TOKENS = 1_000_000
 
 # Phrases that count wherever their words stand in a row.
@@ -45,7 +43,8 @@ TEMPLATES = (
 
 def words_of(text: str | None) -> list[str]:
     """The words of a whole text, A-Z lower-cased."""
-    return WORD.findall((text or "").encode().lower().decode())
+    words = b" ".join(word_bytes(text)).decode()
+    return words.split(" ") if words else []
 
 
 def phrase_starts(spaced: str, phrase: str) -> list[int]:

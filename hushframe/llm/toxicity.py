@@ -8,7 +8,6 @@ between the two, so that naming a group is not in itself taken for toxicity.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,9 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import query, table
-
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+from hushframe.llm.common import query, table, word_bytes
 
 # Neutral terms for groups of people; terms of one line are swapped for each other.
 IDENTITY_TERMS = (
@@ -58,14 +55,25 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def score(self, text: str | None) -> float:
-        z = self.bias + math.fsum(self.weights[word] for word in self.weights.keys() & distinct_words(text))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+    def scorer(self):
+        """The score of a text, as a function."""
+        by_bytes = {word.encode(): weight for word, weight in self.weights.items()}
+
+        def score(text: str | None) -> float:
+            z = self.bias + math.fsum(by_bytes[word] for word in by_bytes.keys() & word_bytes((text or "").lower()))
+            return sigmoid(z)
+
+        return score
+
+
+def sigmoid(z: float) -> float:
+    """Between 0 and 1."""
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
 def distinct_words(text: str | None) -> set[str]:
     """The lower-case words of a whole text."""
-    return set(WORD.findall(" ".join(set((text or "").lower().split()))))
+    return {word.decode() for word in set(word_bytes((text or "").lower()))}
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -217,7 +225,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
     # The model goes with the task: at most ``max_words`` and the identity terms.
     @F.pandas_udf("double")
     def scored(texts):
-        return texts.map(model.score).astype(float)
+        return texts.map(model.scorer()).astype(float)
 
     return df.withColumn("score", scored(F.col(text_col))).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
