@@ -197,14 +197,21 @@ def drop_repeated_lines(
         repeated_lines(df, id_col, text_col, min_words, k, similarity)
         .groupBy("doc").agg(F.collect_set("line").alias("_gone"))  # of one text
     )
-    # The lines are cut before the join, so that they are cut once a text.
-    cut = df.withColumn(text_col, F.split(F.col(text_col), "\n", -1))
-    joined = cut.join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col) == F.col("_doc"), "left")
-    every = F.sequence(F.lit(0), F.size(text_col) - 1)
-    left = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))))
-    kept = F.transform("_left", lambda i: F.get(F.col(text_col), i))
-    text = F.array_join(F.when(F.col("_left").isNull(), F.col(text_col)).otherwise(kept), "\n")
-    return left.filter(F.col("_left").isNull() | (F.size("_left") > 0)).withColumn(text_col, text).select(df.columns)
+    # The lines are cut before the join, so that they are cut once a text; other columns travel in a struct, whatever their names.
+    others = [c for c in df.columns if c != text_col]
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.col(id_col).alias("id"),
+        F.split(F.col(text_col), "\n", -1).alias("parts"),
+    )
+    joined = rows.join(gone, rows["id"] == gone["doc"], "left")
+    every = F.sequence(F.lit(0), F.size("parts") - 1)
+    left = joined.select("row", "parts", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))).alias("kept"))
+    kept = F.transform("kept", lambda i: F.get(F.col("parts"), i))
+    text = F.array_join(F.when(F.col("kept").isNull(), F.col("parts")).otherwise(kept), "\n")
+    return left.filter(F.col("kept").isNull() | (F.size("kept") > 0)).select(
+        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns]
+    )
 
 
 @query("op4_line_dedup")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import query, table, word_bytes
@@ -219,20 +219,29 @@ def fit(labelled: DataFrame, identity_terms: Sequence[Sequence[str]] = IDENTITY_
     return Model({word: float(w) for word, w in zip(words, weights, strict=True) if abs(w) > 1e-9}, bias)
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``df`` with ``score`` (of the whole text; null is an empty one) and ``predicted`` (columns of these names are replaced)."""
+def score_of(model: Model, text_col: str) -> Column:
+    """The score of a whole text; a null one is empty.  The model goes with the task: at most ``max_words`` and the terms."""
 
-    # The model goes with the task: at most ``max_words`` and the identity terms.
     @F.pandas_udf("double")
     def scored(texts):
         return texts.map(model.scorer()).astype(float)
 
-    return df.withColumn("score", scored(F.col(text_col))).withColumn(
+    return scored(F.col(text_col))
+
+
+def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``df`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
+    return df.withColumn("score", score_of(model, text_col)).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
     )
 
 
-def held_out(id_col: str = "doc_id"):
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` that score below ``threshold``, unchanged."""
+    return df.filter(score_of(model, text_col) < threshold)
+
+
+def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document's label must not be learned from."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

@@ -176,15 +176,15 @@ def filter_urls(
     for verdict in sorted(set(seen.values())):
         listed = spark.createDataFrame([(key,) for key, v in seen.items() if v == verdict], schema)
         cascade = build_cascade(listed, universe)
-        hits.append(listed_hits(F.col("_keys"), cascade, verdict))
+        hits.append(listed_hits(F.col("__url_keys"), cascade, verdict))
     if not hits:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": verdict_of})
     best = F.array_max(F.concat(*hits))
     return (
-        rows.withColumn("_keys", keys)
-        .withColumn("_best", best)
-        .withColumns({"rule": F.col("_best.key"), "verdict": F.coalesce(F.col("_best.verdict"), verdict_of)})
-        .drop("_keys", "_best")
+        rows.withColumn("__url_keys", keys)
+        .withColumn("__url_best", best)
+        .withColumns({"rule": F.col("__url_best.key"), "verdict": F.coalesce(F.col("__url_best.verdict"), verdict_of)})
+        .drop("__url_keys", "__url_best")
     )
 
 
