@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut_lineage, query, table
-from hushframe.llm.tokens import ChunkEncoder, public_path
+from hushframe.llm.tokens import public_path, worker_encoder
 from hushframe.operators.skew import number_within
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -33,7 +33,7 @@ def token_pieces(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, word_ends=True, end_id=end_id)
+        encoder = worker_encoder(tokenizer, word_ends=True, end_id=end_id)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut_lineage, fresh_folder, query, table
-from hushframe.llm.tokens import ChunkEncoder, public_path
+from hushframe.llm.tokens import public_path, worker_encoder
 
 ROWS_AT_ONCE = 500
 
@@ -44,7 +44,7 @@ def write_token_files(
     id_type = df.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, word_ends=False, end_id=end_id)
+        encoder = worker_encoder(tokenizer, word_ends=False, end_id=end_id)
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(first, ROWS_AT_ONCE)

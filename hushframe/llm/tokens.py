@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 
 # Chunks kept, in two halves: when the newer one is full, the older one goes.
-CACHE_CHUNKS = 1_400_000
+CACHE_CHUNKS = 1_000_000
 MISSES_AT_ONCE = 2_000
 
 WORD_CUT = re.compile(r"[ \n\t\r]+")
@@ -155,3 +157,12 @@ class ChunkEncoder:
             return self._look_up(chunks) + self.end
         except OddSpace:
             return self._odd(text) + self.end
+
+
+def worker_encoder(path: str, word_ends: bool, end_id: int | None = 0) -> ChunkEncoder:
+    """This worker process's encoder of a vocabulary; its cache serves the worker's later tasks as well."""
+    kept = sys.modules.setdefault("_chunk_encoders", types.ModuleType("_chunk_encoders")).__dict__
+    key = repr((path, word_ends, end_id, os.getpid()))
+    if key not in kept:
+        kept[key] = ChunkEncoder(path, word_ends, end_id)
+    return kept[key]
