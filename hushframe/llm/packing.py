@@ -196,14 +196,14 @@ def pack(df: DataFrame, capacity: int, keys: list[str], size_col: str = "length"
         base += times
     table_ = np.array(sorted(places), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table_)  # bounded by the capacity, not by the rows
-    ranked = number_within(df, [size_col], keys, "_rank")
+    ranked = number_within(df, [size_col], keys, "_nth")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_of, first, base_of, each_of, offset_of = shared.value.T
         starts = np.searchsorted(size_of, np.arange(capacity + 2))
         for batch in batches:
             sizes = batch.column(batch.schema.get_field_index(size_col)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ranks = batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False) - 1
+            ranks = batch.column(batch.schema.get_field_index("_nth")).to_numpy(zero_copy_only=False) - 1
             at = np.zeros(len(sizes), np.int64)
             for size in np.unique(sizes):
                 low, high = starts[size], starts[size + 1]
@@ -212,13 +212,13 @@ def pack(df: DataFrame, capacity: int, keys: list[str], size_col: str = "length"
             nth = ranks - first[at]
             sequence = base_of[at] + nth // each_of[at]
             offset = offset_of[at] + nth % each_of[at] * sizes
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_rank"]
-            names = [name for name in batch.schema.names if name != "_rank"]
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_nth"]
+            names = [name for name in batch.schema.names if name != "_nth"]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*names, "sequence_id", "offset"]
             )
 
-    columns = ranked.drop("_rank").schema
+    columns = ranked.drop("_nth").schema
     return ranked.mapInArrow(place, columns.add("sequence_id", "long").add("offset", "long"))
 
 
