@@ -8,6 +8,7 @@ between the two, so that naming a group is not in itself taken for toxicity.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -114,12 +115,12 @@ def telling_words(labelled: DataFrame, rows: int, toxic: int, settings: Settings
     return [row["word"] for row in found]
 
 
-def swapped(words: set[str], identity_terms: Sequence[Sequence[str]]) -> set[str]:
-    """The words with each identity term turned into the next one of its line."""
+def swapped(words: set[str], identity_terms: Sequence[Sequence[str]], turn: int) -> set[str]:
+    """The words with each identity term turned into another one of its line, ``turn`` deciding which."""
     turned = {}
     for line in identity_terms:
         for at, term in enumerate(line):
-            turned[term] = line[(at + 1) % len(line)]
+            turned[term] = line[(at + 1 + turn % (len(line) - 1)) % len(line)]
     return {turned.get(word, word) for word in words}
 
 
@@ -130,9 +131,10 @@ def feature_rows(labelled: DataFrame, words: Sequence[str], identity_terms: Sequ
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             here, twins = [], []
-            for text in batch.column(0):
-                found = distinct_words(text.as_py())
-                other = swapped(found, identity_terms)
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                found = distinct_words(text)
+                other = swapped(found, identity_terms, zlib.crc32(text.encode()))
                 here.append(sorted(index[w] for w in found & index.keys()))
                 twins.append(sorted(index[w] for w in other & index.keys()) if other != found else None)
             kind = pa.list_(pa.int32())
