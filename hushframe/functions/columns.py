@@ -18,19 +18,19 @@ from hushframe.functions.catalog import (
     PROFILES,
     Rule,
     base_rules,
+    chosen_rules,
     pack_rules,
-    rules_for,
 )
 
 
 def detect(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
     """Disjoint findings in reading order."""
-    return F.expr(spans.resolved_findings(text, rules or rules_for(), exclusions))
+    return F.expr(spans.resolved_findings(text, chosen_rules(rules), exclusions))
 
 
 def protect(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
     """``struct<masked_text, tokens>``: the masked text and the tokens that restore it."""
-    return F.expr(spans.protected(text, spans.resolved_findings(text, rules or rules_for(), exclusions)))
+    return F.expr(spans.protected(text, spans.resolved_findings(text, chosen_rules(rules), exclusions)))
 
 
 def mask(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
@@ -40,7 +40,7 @@ def mask(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[st
 
 def redact(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
     """The text with bare labels such as ``[EMAIL]``; cannot be undone."""
-    return F.expr(spans.labelled(text, spans.resolved_findings(text, rules or rules_for(), exclusions)))
+    return F.expr(spans.labelled(text, spans.resolved_findings(text, chosen_rules(rules), exclusions)))
 
 
 def detect_by_profile(text: str, profile: str) -> Column:

@@ -226,8 +226,8 @@ def reserved_tokens(text: str) -> str:
 
 
 def reserved_number(digits: str) -> str:
-    """The number of a placeholder; numbers beyond any numbering's reach count as 0."""
-    return f"CASE WHEN length({digits}) <= 15 THEN coalesce(try_cast({digits} AS bigint), 0L) ELSE 0L END"
+    """The number of a placeholder; what no long can hold counts as 0, its token is stepped over instead."""
+    return f"CASE WHEN length({digits}) <= 18 THEN coalesce(try_cast({digits} AS bigint), 0L) ELSE 0L END"
 
 
 def highest_reserved(tokens: str, entity_type: str) -> str:
@@ -241,18 +241,21 @@ def highest_reserved(tokens: str, entity_type: str) -> str:
     )
 
 
+def free_tokens(reserved: str, entity_type: str, count: str) -> str:
+    """The next ``count`` tokens of a label that do not stand in the text yet, compared as strings."""
+    numbers = f"transform(sequence(1, {count} + size({reserved})), _n -> concat('[', {entity_type}, '_', _top + _n, ']'))"
+    return bind(highest_reserved(reserved, entity_type), "_top", f"slice(array_except({numbers}, {reserved}), 1, {count})")
+
+
 def token_table(keys: str, reserved: str) -> str:
     """Number distinct keys per label from 1: ``array<struct<token,entity_type,value>>``.
 
     Equal values share a token.  Numbering starts above any number the text
     already uses for that label.
     """
-    row = (
-        "named_struct('token', concat('[', _lab, '_', _i + 1 + _top, ']'),"
-        f" 'entity_type', _lab, 'value', {_value_of('_x')})"
-    )
+    row = f"named_struct('token', _free[_i], 'entity_type', _lab, 'value', {_value_of('_x')})"
     own = f"filter(_d, _x -> {_label_of('_x')} = _lab)"
-    numbered = bind(highest_reserved("_rt", "_lab"), "_top", f"transform({own}, (_x, _i) -> {row})")
+    numbered = bind(own, "_own", bind(free_tokens("_rt", "_lab", "size(_own)"), "_free", f"transform(_own, (_x, _i) -> {row})"))
     labels = f"array_distinct(transform(_d, _x -> {_label_of('_x')}))"
     return bind(keys, "_d", bind(reserved, "_rt", f"flatten(transform({labels}, _lab -> {numbered}))"))
 
@@ -303,12 +306,9 @@ def numbered_values(findings: str, reserved: str) -> str:
         f"sort_array(transform({value_spans(findings)}, _v -> named_struct("
         "'place', _v.place, 'entity_type', _v.entity_type, 'value', _v.value, 'spans', _v.spans)))"
     )
-    row = (
-        "named_struct('token', concat('[', _lab, '_', _i + 1 + _top, ']'),"
-        " 'entity_type', _lab, 'value', _x.value, 'spans', _x.spans)"
-    )
+    row = "named_struct('token', _free[_i], 'entity_type', _lab, 'value', _x.value, 'spans', _x.spans)"
     own = "filter(_d, _x -> _x.entity_type = _lab)"
-    numbered = bind(highest_reserved("_rt", "_lab"), "_top", f"transform({own}, (_x, _i) -> {row})")
+    numbered = bind(own, "_own", bind(free_tokens("_rt", "_lab", "size(_own)"), "_free", f"transform(_own, (_x, _i) -> {row})"))
     labels = "array_distinct(transform(_d, _x -> _x.entity_type))"
     return bind(first_seen, "_d", bind(reserved, "_rt", f"flatten(transform({labels}, _lab -> {numbered}))"))
 

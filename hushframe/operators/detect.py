@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
-from hushframe.functions.catalog import Rule
+from hushframe.functions.catalog import Rule, chosen_rules
+from hushframe.operators.skew import join_null_safe
 
 
 def with_findings(
@@ -33,9 +34,47 @@ def findings(
     return df.select(*keep, F.inline(columns.detect(text_col, rules, exclusions)))
 
 
-def exclude_listed(found: DataFrame, allow_list: DataFrame, value_col: str = "value") -> DataFrame:
-    """Drop findings whose value is in an allow-list table."""
-    return found.join(allow_list.select(F.col(value_col)).distinct(), value_col, "left_anti")
+def allowed_values(
+    df: DataFrame,
+    id_cols: Sequence[str],
+    allow_list: DataFrame,
+    text_col: str = "text",
+    rules: Sequence[Rule] | None = None,
+    value_col: str = "value",
+) -> DataFrame:
+    """``df`` with ``allowed``: the row's own candidate values that stand in an allow-list table (null: none).
+
+    Candidates are taken before overlaps are resolved, so an allowed value never
+    hides another finding.  Only candidate values are shuffled, not texts, and
+    Spark picks the joins from the real sizes.
+    """
+    candidates = f"array_distinct(transform({spans.all_findings(text_col, chosen_rules(rules))}, _f -> _f.value))"
+    seen = df.select(*id_cols, F.explode(F.expr(candidates)).alias("_value"))
+    listed = allow_list.select(F.col(value_col).alias("_value")).distinct()
+    hits = seen.join(listed, "_value", "left_semi").groupBy(*id_cols).agg(F.collect_set("_value").alias("allowed"))
+    return join_null_safe(df, hits, id_cols, "left")
+
+
+def not_allowed(text_col: str, rules: Sequence[Rule] | None = None, allowed: str = "allowed") -> str:
+    """Resolved findings of a text without the values that the ``allowed`` column lists."""
+    found = spans.all_findings(text_col, chosen_rules(rules))
+    return spans.resolve_overlaps(
+        f"CASE WHEN {allowed} IS NULL THEN {found} ELSE"
+        f" filter({found}, _f -> NOT array_contains({allowed}, _f.value)) END"
+    )
+
+
+def findings_excluding(
+    df: DataFrame,
+    id_cols: Sequence[str],
+    allow_list: DataFrame,
+    text_col: str = "text",
+    rules: Sequence[Rule] | None = None,
+    value_col: str = "value",
+) -> DataFrame:
+    """One row per finding whose value is not in an allow-list table."""
+    rows = allowed_values(df.select(*id_cols, text_col), id_cols, allow_list, text_col, rules, value_col)
+    return rows.select(*id_cols, F.inline(F.expr(not_allowed(text_col, rules))))
 
 
 def detect_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -44,26 +83,31 @@ def detect_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def detect_places(df: DataFrame, gazetteer: DataFrame, keep: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Find places from a gazetteer table of any size (column ``place``, up to three words).
+    """Find places from a gazetteer table of any size (column ``place``), of any number of words.
 
-    Each text gives up its distinct capitalised words, word pairs and triples,
-    which are joined with the table.  Spark picks the join from the real sizes;
-    no side is forced to broadcast.
+    Words end at white space; marks around a phrase do not count, those inside do,
+    so ``St. Louis`` and ``Winston-Salem`` are found.  A phrase starts with a
+    capital.  Each text gives up its distinct phrases of the lengths that the
+    gazetteer has, which are joined with the table.  Spark picks the join from the
+    real sizes; no side is forced to broadcast.
     """
-    word = r"\p{Lu}\p{L}+"
-    runs = spans.quote(rf"{word}(?: {word})*")
-    phrases = ", ".join(
-        f"transform(sequence(0, size(_w) - {n}), _i -> array_join(slice(_w, _i + 1, {n}), ' '))"
-        if n == 1
-        else f"CASE WHEN size(_w) < {n} THEN cast(array() AS array<string>) ELSE"
-        f" transform(sequence(0, size(_w) - {n}), _i -> array_join(slice(_w, _i + 1, {n}), ' ')) END"
-        for n in (1, 2, 3)
-    )
-    candidates = (
-        f"explode(array_distinct(flatten(transform(regexp_extract_all({text_col}, {runs}, 0),"
-        f" _r -> {spans.bind("split(_r, ' ')", '_w', f'concat({phrases})')}))))"
-    )
-    places = gazetteer.select("place").distinct()
+    space, marks = spans.quote(r"\s+"), spans.quote(r"^\p{P}+|\p{P}+$")
+
+    def trimmed(phrase: str) -> str:
+        return f"regexp_replace({phrase}, {marks}, '')"
+
+    places = gazetteer.select(F.expr(trimmed(f"array_join(split(trim(place), {space}), ' ')")).alias("place"))
+    places = places.filter("place <> ''").distinct()
+    # The different lengths: a few small numbers, however long the table is.
+    lengths = sorted(row["n"] for row in places.select(F.size(F.split("place", " ")).alias("n")).distinct().collect())
+    if not lengths:
+        return df.select(*keep, F.lit("LOCATION").alias("entity_type"), F.lit("").alias("value")).limit(0)
+    phrase = f"{trimmed("array_join(slice(_w, _i + 1, _n), ' ')")}"
+    # A word opens a phrase if it starts with a capital once the marks before it are gone.
+    openers = f"filter(sequence(0, size(_w) - 1), _i -> rlike(_w[_i], {spans.quote(r'^\p{P}*\p{Lu}')}))"
+    fitting = f"filter(array({', '.join(map(str, lengths))}), _n -> _i + _n <= size(_w))"
+    phrases = f"flatten(transform({openers}, _i -> transform({fitting}, _n -> {phrase})))"
+    candidates = f"explode(array_distinct({spans.bind(f'split({text_col}, {space})', '_w', phrases)}))"
     seen = df.select(*keep, F.expr(candidates).alias("place"))
     return seen.join(places, "place", "inner").select(
         *keep, F.lit("LOCATION").alias("entity_type"), F.col("place").alias("value")

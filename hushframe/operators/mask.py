@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
-from hushframe.functions.catalog import Rule, rules_for
+from hushframe.functions.catalog import Rule, chosen_rules
+from hushframe.operators import detect
 from hushframe.operators.guards import valid_text_columns
+from hushframe.operators.vault import session_key
 from hushframe.operators.skew import (
     ROWS_PER_SALT,
     cut_lineage,
@@ -36,10 +38,27 @@ def sanitize(
     One narrow stage: no shuffle, no Python worker.  Works on streams too.
     """
     valid_text_columns(df, [text_col])
-    protected = columns.protect(text_col, rules or rules_for(profile), exclusions)
+    protected = columns.protect(text_col, chosen_rules(rules, profile), exclusions)
     return df.withColumn("_protected", protected).select(*df.columns, "_protected.*")
 
 
+def sanitize_excluding(
+    df: DataFrame,
+    id_cols: Sequence[str],
+    allow_list: DataFrame,
+    text_col: str = "text",
+    profile: str | None = "general",
+    rules: Sequence[Rule] | None = None,
+    value_col: str = "value",
+) -> DataFrame:
+    """``sanitize`` with the exclusions in a table: the same masked texts as with the same values in a list."""
+    valid_text_columns(df, [text_col])
+    rules = chosen_rules(rules, profile)
+    rows = detect.allowed_values(df, id_cols, allow_list, text_col, rules, value_col)
+    protected = F.expr(spans.protected(text_col, detect.not_allowed(text_col, rules)))
+    return rows.withColumn("_protected", protected).select(*df.columns, "_protected.*")
+
+
 def sanitize_by_profile(df: DataFrame, text_col: str = "text", profile_col: str = "profile") -> DataFrame:
     """Like ``sanitize`` with the profile named per row (see ``guards.require_profile``)."""
     found = columns.findings_by_profile(text_col, profile_col)
@@ -69,7 +88,7 @@ def mask_columns(
     Numbers follow column order.  Adds ``tokens``.
     """
     valid_text_columns(df, text_cols)
-    rules = rules or rules_for()
+    rules = chosen_rules(rules)
     found = [f"_found_{i}" for i in range(len(text_cols))]
     staged = df.select(
         "*",
@@ -138,6 +157,52 @@ def number_values(
     )
 
 
+TOKEN_NUMBER = r"_(\d{1,18})\]$"
+
+
+def number_against(
+    mentions: DataFrame, session_cols: Sequence[str], order_cols: Sequence[str], known: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Number what ``known`` (session_id, token, entity_type, value) does not hold yet.
+
+    A value that is known in its session keeps its token; new ones go on from the
+    highest number of their session and label, in ``known`` or in the texts.  Known
+    rows with a null value only keep their number taken.  Returns the tokens of
+    all values that the texts mention (as ``number_values`` does), and the new
+    vault rows (session_id, token, entity_type, value).  Values are combined per
+    session before any join, so a frequent one is a single row there.
+    """
+    keys = ["_session", "entity_type"]
+    named = mentions.withColumn("_session", session_key(session_cols))
+    first = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], "place")
+    firsts = (
+        named.filter(F.col("taken").isNull())
+        .groupBy(*session_cols, *keys, "value")
+        .agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("mentions"))
+    )
+    known = known.withColumnRenamed("session_id", "_session")
+    held = known.filter(F.col("value").isNotNull()).select(*keys, "value", "token")
+    old = join_null_safe(firsts, held, [*keys, "value"], "inner")
+    unseen = join_null_safe(firsts, held.select(*keys, "value"), [*keys, "value"], "left_anti")
+    reserved = (
+        named.filter(F.col("taken").isNotNull()).groupBy(*keys).agg(F.max(F.col("taken").cast("long")).alias("n"))
+    )
+    numbers = F.expr(f"try_cast(regexp_extract(token, {spans.quote(TOKEN_NUMBER)}, 1) AS bigint)")
+    highest = (
+        known.select(*keys, F.coalesce(numbers, F.lit(0)).alias("n")).unionByName(reserved)
+        .groupBy(*keys).agg(F.max("n").alias("_start"))
+    )
+    token = F.expr("concat('[', entity_type, '_', n, ']')")
+    fresh = cut_lineage(number_within(unseen, keys, ["_first", "value"], "n", highest).withColumn("token", token))
+    columns_out = [*session_cols, "entity_type", "value", "mentions", "token"]
+    entries = fresh.select(F.col("_session").alias("session_id"), "token", "entity_type", "value")
+    # A placeholder that stood in a text is kept without a value, so its number stays taken.
+    taken = reserved.filter("n > 0").select(
+        F.col("_session").alias("session_id"), token.alias("token"), "entity_type", F.lit(None).cast("string").alias("value")
+    )
+    return fresh.select(*columns_out).unionByName(old.select(*columns_out)), entries.unionByName(taken)
+
+
 def apply_numbers(
     df: DataFrame,
     mentions: DataFrame,
@@ -195,6 +260,7 @@ def sanitize_scope(
     exclusions: Iterable[str] = (),
     rows_per_salt: int = ROWS_PER_SALT,
     broadcast_bytes: int = BROADCAST_BYTES,
+    vault: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask with one numbering per session, or one for the whole table without ``session_cols``.
 
@@ -202,19 +268,27 @@ def sanitize_scope(
     first.  Returns the masked rows (``masked_text``) and the numbered values
     (session columns, token, entity_type, value).
 
+    With a ``vault`` of earlier runs the numbering goes on from it: known values
+    keep their tokens and no token is given out twice.  The second result is then
+    the vault rows to add (session_id, token, entity_type, value).
+
     Detection runs once, into a small table of mentions (checkpointed).  The texts
     are then read again to be rewritten, with no more than a match test per text.
     """
     valid_text_columns(df, [text_col])
-    rules = rules or rules_for()
+    rules = chosen_rules(rules)
     found = spans.resolved_findings(text_col, rules, exclusions)
     mentions = cut_lineage(value_mentions(df, id_cols, session_cols, order_cols, found, text_col))
-    numbers = cut_lineage(number_values(mentions, session_cols, order_cols))
+    added = None
+    if vault is None:
+        numbers = cut_lineage(number_values(mentions, session_cols, order_cols))
+    else:
+        numbers, added = number_against(mentions, session_cols, order_cols, vault)
     masked = apply_numbers(
         df, mentions, numbers, id_cols, session_cols, text_col, rules,
         rows_per_salt=rows_per_salt, broadcast_bytes=broadcast_bytes,
     )
-    return masked, numbers.select(*session_cols, "token", "entity_type", "value")
+    return masked, numbers.select(*session_cols, "token", "entity_type", "value") if added is None else added
 
 
 def sanitize_long(
@@ -227,12 +301,12 @@ def sanitize_long(
 ) -> tuple[DataFrame, DataFrame]:
     """``sanitize`` for texts of many megabytes, with the same result.
 
-    Work inside one row grows with the square of its findings, so long texts are
-    cut at line ends into parts that are masked in parallel with one numbering
-    per text, then put together again.  Needs rules that never match across
-    lines, as all built-in ones.
+    Texts are cut at line ends into parts that are masked in parallel with one
+    numbering per text, then put together again, so that one very long text is
+    not the work of one task.  Null texts stay null.  Needs rules that never match
+    across lines, as all built-in ones.
     """
-    rules = list(rules or rules_for())
+    rules = chosen_rules(rules)
     crossing = [r.rule_id for r in rules if not r.line_local]
     if crossing:
         raise ValueError(f"rules that may match across lines cannot be used here: {crossing}")
@@ -242,17 +316,16 @@ def sanitize_long(
     )
     parts = df.select(
         *id_cols,
-        F.posexplode(F.expr(spans.bind(f"split({text_col}, '\\n', -1)", "_l", cut))).alias("_part", text_col),
+        F.posexplode_outer(F.expr(spans.bind(f"split({text_col}, '\\n', -1)", "_l", cut))).alias("_part", text_col),
     )
     masked, numbers = sanitize_scope(
         parts, [*id_cols, "_part"], ["_part"], id_cols, text_col, rules, exclusions
     )
+    parts_in_order = F.sort_array(F.collect_list(F.struct("_part", "masked_text")))
+    # A null text has one part, which is null.
     joined = masked.groupBy(*id_cols).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("_part", "masked_text"))), lambda p: p["masked_text"]
-            ),
-            "\n",
+        F.when(
+            F.max("_part").isNotNull(), F.array_join(F.transform(parts_in_order, lambda p: p["masked_text"]), "\n")
         ).alias("masked_text")
     )
     rest = df.drop(text_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import spans
-from hushframe.functions.catalog import Rule, rules_for
+from hushframe.functions.catalog import Rule, chosen_rules
 
 ACTIONS = ("mask", "pass", "flag")
 
@@ -29,7 +29,7 @@ def sanitize_with_policy(
     for action in [*policy.values(), secrets]:
         if action not in ACTIONS:
             raise ValueError(f"unknown action {action!r}; expected one of {ACTIONS}")
-    rules = rules or rules_for()
+    rules = chosen_rules(rules)
     branches = "".join(f" WHEN _f.entity_type = {spans.quote(k)} THEN {spans.quote(v)}" for k, v in policy.items())
     default = f"CASE{branches} ELSE 'mask' END" if branches else "'mask'"
     action = default

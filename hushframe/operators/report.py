@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
-from hushframe.functions.catalog import Rule, rules_for
+from hushframe.functions.catalog import Rule, chosen_rules
 
 # Entity types named first in a summary, with their display names.
 SUMMARY_NAMES = {"NAME": "Name", "EMAIL": "Email", "PHONE": "Phone", "ID": "ID", "CUSTOM": "Custom"}
@@ -64,7 +64,7 @@ def entity_totals(
 
     Each text is counted by itself first, so the shuffle carries partial sums only.
     """
-    counts = spans.type_counts(spans.resolved_findings(text_col, rules or rules_for()))
+    counts = spans.type_counts(spans.resolved_findings(text_col, chosen_rules(rules)))
     return (
         df.select(*by, F.expr(f"inline({counts})"))
         .groupBy(*by, "entity_type", "rule_id")
@@ -87,17 +87,21 @@ def entity_profile(
 
 
 def leak_audit(
-    masked: DataFrame, vault: DataFrame, id_col: str, masked_col: str = "masked_text"
+    masked: DataFrame, by: Sequence[str] = (), masked_col: str = "masked_text", tokens_col: str = "tokens"
 ) -> DataFrame:
-    """Values that still stand in the masked text they were taken from; empty when nothing leaked.
+    """Per group and label, how many masked values were looked for in their own masked text, and how many still stand there.
 
-    ``vault`` is numbered per row (``session_id`` is the row's id), so each text
-    meets only its own values.
+    The tokens lie in the same row as the text, so each row is looked at by itself
+    and only partial sums are shuffled.
     """
-    values = vault.groupBy("session_id").agg(F.collect_list(F.struct("token", "entity_type", "value")).alias("_own"))
-    texts = masked.select(F.col(id_col).cast("string").alias("session_id"), F.col(masked_col).alias("_text"))
-    left_over = F.filter("_own", lambda t: F.col("_text").contains(t["value"]))
-    return values.join(texts, "session_id").select("session_id", F.inline(left_over))
+    checked = F.transform(
+        tokens_col, lambda t: F.struct(t["entity_type"].alias("entity_type"), F.col(masked_col).contains(t["value"]).alias("left"))
+    )
+    return (
+        masked.select(*by, F.inline(checked))
+        .groupBy(*by, "entity_type")
+        .agg(F.count(F.lit(1)).alias("checked"), F.sum(F.col("left").cast("long")).alias("leaked"))
+    )
 
 
 def row_leaks(masked: DataFrame, masked_col: str = "masked_text", tokens_col: str = "tokens") -> DataFrame:
@@ -106,10 +110,13 @@ def row_leaks(masked: DataFrame, masked_col: str = "masked_text", tokens_col: st
 
 
 def redetect_audit(
-    masked: DataFrame, keep: Sequence[str], masked_col: str = "masked_text", rules: Sequence[Rule] | None = None
+    masked: DataFrame, by: Sequence[str] = (), masked_col: str = "masked_text", rules: Sequence[Rule] | None = None
 ) -> DataFrame:
-    """Findings left in masked text: run detection again and expect no rows.  Narrow, any scope."""
-    return masked.select(*keep, F.inline(columns.detect(masked_col, rules)))
+    """Per group, how many masked texts were searched again, and in how many something was found.  Any scope."""
+    left = F.size(columns.detect(masked_col, rules))
+    return masked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("checked"), F.sum(F.when(left > 0, 1).otherwise(0)).cast("long").alias("leaked")
+    )
 
 
 def vault_leaks(
@@ -131,14 +138,10 @@ def vault_leaks(
 
 
 def roundtrip_audit(
-    original: DataFrame, revealed: DataFrame, id_cols: Sequence[str],
-    text_col: str = "text", revealed_col: str = "revealed_text",
+    revealed: DataFrame, by: Sequence[str] = (), text_col: str = "text", revealed_col: str = "revealed_text"
 ) -> DataFrame:
-    """Rows whose revealed text differs from the original; empty when every text came back."""
-    left = original.select(*id_cols, F.col(text_col).alias("_text"))
-    right = revealed.select(*id_cols, F.col(revealed_col).alias("_revealed"))
-    return (
-        left.join(right, list(id_cols), "left")
-        .filter(~F.col("_text").eqNullSafe(F.col("_revealed")))
-        .select(*id_cols)
+    """Per group, how many texts were restored and how many of them differ from the original, in rows that hold both."""
+    differs = ~F.col(text_col).eqNullSafe(F.col(revealed_col))
+    return revealed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("checked"), F.sum(differs.cast("long")).alias("changed")
     )

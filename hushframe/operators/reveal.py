@@ -31,7 +31,8 @@ def reveal(
 
     ``status`` is ``unchanged`` (no tokens in the text), ``restored``, ``partial``
     (some tokens unknown, left as they are), ``unknown_tokens`` (none known) or
-    ``empty_vault`` (the session has no vault entry at all).
+    ``empty_vault`` (the session has no vault entry at all), or ``conflicting_tokens``
+    (the vault has two values for some token, which is left as it is).
 
     Only texts with tokens are shuffled.  Sessions with very many rows are
     spread over several tasks; their sizes come from a scan of the session
@@ -55,13 +56,17 @@ def reveal(
     is_token = F.col("token") != ""
     found = is_token & F.col("value").isNotNull()
     tables = placed.groupBy(*id_cols).agg(
-        F.collect_list(F.when(found, F.struct("token", "value"))).alias("_pairs"),
-        F.count(F.when(is_token, 1)).alias("_wanted"),
+        F.collect_set(F.when(found, F.struct("token", "value"))).alias("_all"),
+        F.count_distinct(F.when(is_token, F.col("token"))).alias("_wanted"),
         F.bool_or(F.col("value").isNotNull()).alias("_has_vault"),
     )
+    # A token with two values is not guessed at: it stays, and the status says so.
+    alone = "filter(_all, _p -> size(filter(_all, _q -> _q.token = _p.token)) = 1)"
+    tables = tables.withColumn("_pairs", F.expr(alone))
     restored = F.expr(columns.restored(text_col, "map_from_entries(_pairs)"))
     status = (
-        F.when(F.size("_pairs") == F.col("_wanted"), "restored")
+        F.when(F.size("_pairs") < F.size("_all"), "conflicting_tokens")
+        .when(F.size("_pairs") == F.col("_wanted"), "restored")
         .when(F.size("_pairs") > 0, "partial")
         .when(F.col("_has_vault"), "unknown_tokens")
         .otherwise("empty_vault")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
-# Only this many keys can each own more than a 1/10,000 share, so the list stays broadcastable.
-MAX_HEAVY_KEYS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,12 +56,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def heavy_keys(
     counts: DataFrame, keys: Sequence[str], count_col: str, rows_per_salt: int = ROWS_PER_SALT
 ) -> DataFrame:
-    """The keys worth salting, at most ``MAX_HEAVY_KEYS``, with their number of salts."""
-    return (
-        counts.filter(F.col(count_col) > rows_per_salt)
-        .orderBy(F.col(count_col).desc(), *keys)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*keys, F.ceil(F.col(count_col) / rows_per_salt).cast("int").alias("_salts"))
+    """The keys worth salting, with their number of salts: at most one key per ``rows_per_salt`` rows counted."""
+    return counts.filter(F.col(count_col) > rows_per_salt).select(
+        *keys, F.ceil(F.col(count_col) / rows_per_salt).cast("int").alias("_salts")
     )
 
 
@@ -80,20 +75,19 @@ def salted_lookup(
 
     Left rows of a heavy key get one of its salts; right rows of that key are
     repeated once per salt.  All other keys keep salt 0 and are not repeated.
-    ``heavy`` comes from ``heavy_keys``, so it has at most ``MAX_HEAVY_KEYS`` rows
-    and may be broadcast; when it is empty this is a plain join.
+    ``heavy`` comes from ``heavy_keys``: every key above the threshold, so a list far
+    shorter than the rows.  Spark picks its join; without heavy keys this is a plain one.
     """
     if heavy.isEmpty():
         return join_null_safe(left, right, keys, how)
-    hint = F.broadcast(heavy)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     probe = (
-        join_null_safe(left, hint, heavy_on, "left")
+        join_null_safe(left, heavy, heavy_on, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread_on), salts).cast("int"))
         .drop("_salts")
     )
     build = (
-        join_null_safe(right, hint, heavy_on, "left")
+        join_null_safe(right, heavy, heavy_on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )

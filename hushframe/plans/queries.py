@@ -17,9 +17,9 @@ from hushframe.functions.catalog import (
     rules_for,
 )
 from hushframe.operators import detect, guards, mask, policy, report, reveal, vault
-from hushframe.operators.skew import cut_lineage, shared_folder, spread
+from hushframe.operators.skew import shared_folder, spread
 from hushframe.plans import oracle, samples, texts
-from hushframe.sources import files
+from hushframe.sources import files, rulebook
 from hushframe.streaming import lines
 
 cloudpickle.register_pickle_by_value(samples)
@@ -147,35 +147,48 @@ def card_luhn_confidence(spark, sf_dir):
     )
 
 
+# Fixed by the query: places are the first word, and the first three words, of each benchmark text.
 @query(
     "places_from_gazetteer",
     r"""
-    WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*')) AS run FROM documents),
-    words AS (SELECT doc_id, unnest(string_split(run, ' ')) AS w FROM runs),
-    gaz AS (SELECT DISTINCT regexp_extract(text, '^\p{Lu}\p{L}+') AS place FROM benchmark)
-    SELECT DISTINCT doc_id, 'LOCATION' AS entity_type, w AS value FROM words JOIN gaz ON gaz.place = w
+    WITH gaz AS (
+      SELECT DISTINCT regexp_replace(array_to_string(string_split_regex(trim(text), '\s+')[1:n], ' '), '^\p{P}+|\p{P}+$', '', 'g') AS place
+      FROM benchmark, (VALUES (1), (3)) v(n)
+    ),
+    lens AS (SELECT DISTINCT len(string_split(place, ' ')) AS n FROM gaz),
+    words AS (SELECT doc_id, string_split_regex(text, '\s+') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+    phrases AS (
+      SELECT DISTINCT doc_id, regexp_replace(array_to_string(w[i:i + n - 1], ' '), '^\p{P}+|\p{P}+$', '', 'g') AS place
+      FROM starts JOIN lens ON i + n - 1 <= len(w) WHERE regexp_matches(w[i], '^\p{P}*\p{Lu}')
+    )
+    SELECT doc_id, 'LOCATION' AS entity_type, place AS value FROM phrases JOIN gaz USING (place)
     """,
 )
 def places_from_gazetteer(spark, sf_dir):
+    words = F.split(F.trim("text"), r"\s+")
     gazetteer = table(spark, sf_dir, "benchmark").select(
-        F.regexp_extract("text", r"^\p{Lu}\p{L}+", 0).alias("place")
-    ).filter("place <> ''")
+        F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (1, 3)])).alias("place")
+    )
     return detect.detect_places(documents(spark, sf_dir), gazetteer, ["doc_id"])
 
 
 # --- profiles -------------------------------------------------------------
 
 def _register_profile(profile: str) -> None:
-    text = texts.sentence(texts.PROFILE_SENTENCES[profile], "c_custkey")
+    # Real text first, where the pack should find nothing much, then a note of its kind.
+    text = "text || chr(10) || " + texts.sentence(texts.PROFILE_SENTENCES[profile], "doc_id")
 
     @query(
         f"profile_pack_{profile}",
         oracle.mask_rows(
-            CUSTOMER.format(text), rules_for(profile), "SELECT id AS c_custkey, masked_text FROM masked"
+            f"SELECT doc_id AS id, {text} AS text FROM documents", rules_for(profile),
+            "SELECT id AS doc_id, masked_text FROM masked",
         ),
     )
     def run(spark, sf_dir):
-        return mask.sanitize(customer_texts(spark, sf_dir, text), profile=profile).select("c_custkey", "masked_text")
+        docs = documents(spark, sf_dir).select("doc_id", F.expr(text).alias("text"))
+        return mask.sanitize(docs, profile=profile).select("doc_id", "masked_text")
 
 
 for _profile in PROFILES:
@@ -267,6 +280,33 @@ def custom_rules(spark, sf_dir):
     return mask.sanitize(documents(spark, sf_dir), rules=rules).select("doc_id", "masked_text")
 
 
+# A rule table as users write it: fall-backs, nothing to look for, a bad expression, a label no placeholder can carry.
+_RULE_TABLE = [
+    (r"\bmail\d+\.example\.com\b", None, "mailbox", None),
+    ("", r"[0-9a-f]{40}", None, "hexkey"),
+    (None, None, "empty", None),
+    ("(", None, "broken", None),
+    (r"\bthe\b", None, "two words", None),
+    (r"(?:o+u)+x", None, "slow", None),
+    (r"\bwhich\b", "", "", ""),
+]
+_ACCEPTED = [
+    Rule("custom_0", "MAILBOX", r"\bmail\d+\.example\.com\b", -3),
+    Rule("custom_1", "HEXKEY", r"[0-9a-f]{40}", -2),
+    Rule("custom_2", "CUSTOM", r"\bwhich\b", -1),
+]
+
+
+@query(
+    "custom_rules_table",
+    oracle.mask_rows(DOCS, rules_for("general", _ACCEPTED), "SELECT id AS doc_id, masked_text FROM masked"),
+)
+def custom_rules_table(spark, sf_dir):
+    raw = spark.createDataFrame(_RULE_TABLE, "pattern string, regex string, label string, category string")
+    accepted, _ = rulebook.rules_from_table(spark, rulebook.normalise_rules(raw))
+    return mask.sanitize(documents(spark, sf_dir), rules=rules_for("general", accepted)).select("doc_id", "masked_text")
+
+
 _EXCLUDED = ("4111-2222-3333-1100", "555-1100", "alice1150@corp.example.com", "bob1150@corp.example.com", "10.0.0.11")
 
 
@@ -290,9 +330,25 @@ def exclusions(spark, sf_dir):
     ),
 )
 def exclusions_from_table(spark, sf_dir):
-    found = detect.findings(documents(spark, sf_dir), ["doc_id"])
-    allowed = found.groupBy("entity_type").agg(F.min("value").alias("value"))
-    return detect.exclude_listed(found, allowed).select("doc_id", "value")
+    docs = documents(spark, sf_dir)
+    allowed = detect.findings(docs, ["doc_id"]).groupBy("entity_type").agg(F.min("value").alias("value"))
+    return detect.findings_excluding(docs, ["doc_id"], allowed).select("doc_id", "value")
+
+
+# Every second customer's assignment is allowed, so the address inside it has to be found instead.
+_ALLOWED = "'token=alice' || lpad(CAST(c_custkey AS STRING), 4, '1') || '@corp.example.com'"
+
+
+@query(
+    "mask_exclusions_table",
+    oracle.mask_rows(
+        CUSTOMER.format(OVERLAP_TEXT), BASE, "SELECT id AS c_custkey, masked_text FROM masked", ("\x00",)
+    ).replace("v NOT IN ('\x00')", f"v NOT IN (SELECT {_ALLOWED} FROM customer WHERE c_custkey % 2 = 0)"),
+)
+def mask_exclusions_table(spark, sf_dir):
+    rows = customer_texts(spark, sf_dir, OVERLAP_TEXT)
+    allowed = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.expr(_ALLOWED).alias("value"))
+    return mask.sanitize_excluding(rows, ["c_custkey"], allowed).select("c_custkey", "masked_text")
 
 
 @query(
@@ -373,6 +429,42 @@ def session_numbering(spark, sf_dir):
     return masked.select("conv_id", "turn", "masked_text")
 
 
+@query(
+    "session_numbering_resumed",
+    _SESSION_MASK + "\nSELECT s.conv_id, s.turn, m.masked_text, s.text AS revealed_text FROM masked m JOIN src s ON s.id = m.id",
+)
+def session_numbering_resumed(spark, sf_dir):
+    """The early turns in one run, the later ones in another that goes on from the vault on disk, all revealed from it."""
+    path, key = f"{scratch(spark)}/vault", b"0123456789abcdef"
+    turns = _turns(spark, sf_dir)
+    nothing = spark.createDataFrame([], "session_id string, token string, entity_type string, value string")
+    early, first = mask.sanitize_scope(
+        turns.filter("turn < 2"), ["conv_id", "turn"], ["turn"], ["conv_id"], vault=nothing
+    )
+    vault.write_vault(first, path, key)
+    late, second = mask.sanitize_scope(
+        turns.filter("turn >= 2"), ["conv_id", "turn"], ["turn"], ["conv_id"], vault=vault.read_vault(spark, path, key)
+    )
+    vault.write_vault(second, path, key)
+    masked = early.unionByName(late).select("conv_id", "turn", "masked_text")
+    back = reveal.reveal(masked, vault.read_vault(spark, path, key), ["conv_id", "turn"], "masked_text", "conv_id")
+    return back.select("conv_id", "turn", "masked_text", "revealed_text")
+
+
+@query(
+    "vault_write_read",
+    f"WITH src AS MATERIALIZED ({_TURNS}),\n{oracle.accepted(BASE)},\n{_SESSION_TOKENS}\n"
+    "SELECT CAST(conv_id AS STRING) AS session_id, token, et AS entity_type, v AS value FROM tok",
+)
+def vault_write_read(spark, sf_dir):
+    path, key = f"{scratch(spark)}/vault", b"0123456789abcdef"
+    _, numbers = mask.sanitize_scope(_turns(spark, sf_dir), ["conv_id", "turn"], ["turn"], ["conv_id"])
+    entries = vault.as_vault(numbers, ["conv_id"])
+    vault.write_vault(entries, path, key)
+    vault.write_vault(entries, path, key)  # adds nothing
+    return vault.read_vault(spark, path, key)
+
+
 @query(
     "session_vault",
     f"WITH src AS MATERIALIZED ({_TURNS}),\n{oracle.accepted(BASE)},\n{_SESSION_TOKENS}\n"
@@ -463,24 +555,26 @@ def entity_profile(spark, sf_dir):
     return report.entity_profile(docs, ["source"]).select("entity_type", "source", "findings")
 
 
-_LEAK_SQL = (
-    oracle.mask_rows(DOCS, BASE, "SELECT CAST(t.id AS STRING) AS session_id, t.token, t.et AS entity_type, t.v AS value"
-                     " FROM tok t JOIN masked m ON m.id = t.id WHERE contains(m.masked_text, t.v)")
+@query(
+    "leak_audit",
+    oracle.mask_rows(
+        DOCS, BASE,
+        "SELECT d.lang, t.et AS entity_type, count(*) AS checked,"
+        " CAST(sum(CASE WHEN contains(m.masked_text, t.v) THEN 1 ELSE 0 END) AS BIGINT) AS leaked"
+        " FROM tok t JOIN masked m ON m.id = t.id JOIN documents d ON d.doc_id = t.id GROUP BY ALL",
+    ),
 )
+def leak_audit(spark, sf_dir):
+    return report.leak_audit(mask.sanitize(_documents_by_lang(spark, sf_dir)), ["lang"])
 
 
-@query("leak_audit", _LEAK_SQL)
-def leak_audit(spark, sf_dir):
-    masked = cut_lineage(mask.sanitize(documents(spark, sf_dir)))
-    return report.leak_audit(masked, vault.token_map(masked, ["doc_id"]), "doc_id")
+def _documents_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
 
 
-@query(
-    "redetect_audit",
-    "SELECT doc_id, text AS value FROM documents WHERE false",
-)
+@query("redetect_audit", "SELECT lang, count(*) AS checked, CAST(0 AS BIGINT) AS leaked FROM documents GROUP BY lang")
 def redetect_audit(spark, sf_dir):
-    return report.redetect_audit(mask.sanitize(documents(spark, sf_dir)), ["doc_id"]).select("doc_id", "value")
+    return report.redetect_audit(mask.sanitize(_documents_by_lang(spark, sf_dir)), ["lang"])
 
 
 _BUILT_VAULT = oracle.mask_rows(
@@ -542,19 +636,16 @@ def reveal_rows(spark, sf_dir):
     ),
 )
 def reveal_roundtrip(spark, sf_dir):
-    # Masked once and written, as it would be before texts come back to be revealed.
-    masked = cut_lineage(mask.sanitize(documents(spark, sf_dir)))
+    masked = mask.sanitize(documents(spark, sf_dir))
     entries = vault.token_map(masked, ["doc_id"])
     texts_only = masked.select("doc_id", "masked_text")
     back = reveal.reveal(texts_only, entries, ["doc_id"], "masked_text", "doc_id")
     return back.select("doc_id", "revealed_text", "status")
 
 
-@query("roundtrip_audit", "SELECT doc_id FROM documents WHERE false")
+@query("roundtrip_audit", "SELECT lang, count(*) AS checked, CAST(0 AS BIGINT) AS changed FROM documents GROUP BY lang")
 def roundtrip_audit(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    back = reveal.reveal_rows(mask.sanitize(docs))
-    return report.roundtrip_audit(docs, back, ["doc_id"])
+    return report.roundtrip_audit(reveal.reveal_rows(mask.sanitize(_documents_by_lang(spark, sf_dir))), ["lang"])
 
 
 _REPLY = (
@@ -579,12 +670,12 @@ def reveal_unknown(spark, sf_dir):
 
 @query(
     "reveal_empty_vault",
-    "SELECT conv_id, turn, 'Please email [EMAIL_1] back.' AS revealed_text, 'empty_vault' AS status FROM conversations",
+    "SELECT conv_id, turn, 'The answer went to [EMAIL_1] today.' AS revealed_text, 'empty_vault' AS status FROM conversations",
 )
 def reveal_empty_vault(spark, sf_dir):
     entries = session_vault(spark, sf_dir).filter("session_id = 'none'")
     replies = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.lit("Please email [EMAIL_1] back.").alias("text")
+        "conv_id", "turn", F.lit("The answer went to [EMAIL_1] today.").alias("text")
     )
     back = reveal.reveal(replies, entries, ["conv_id", "turn"], "text", "conv_id")
     return back.select("conv_id", "turn", "revealed_text", "status")
@@ -723,6 +814,20 @@ def text_files(spark, sf_dir):
     return files.decode_text(listed).selectExpr("CAST(path AS BIGINT) AS doc_id", "text")
 
 
+_LINE = "'u' || CAST(page_id AS STRING) || '@example.com ' || url"
+
+
+@query(
+    "text_file_lines",
+    oracle.mask_rows(f"SELECT page_id AS id, {_LINE} AS text FROM pages", BASE,
+                     "SELECT m.masked_text, s.text FROM masked m JOIN src s ON s.id = m.id"),
+)
+def text_file_lines(spark, sf_dir):
+    path = scratch(spark)
+    table(spark, sf_dir, "pages").select(F.expr(_LINE).alias("value")).write.text(path)
+    return mask.sanitize(files.read_text_files(spark, path, whole=False)).select("text", "masked_text")
+
+
 @query(
     "tabular_csv",
     oracle.mask_rows(
@@ -763,6 +868,30 @@ def sql_findings_function(spark, sf_dir):
     )
 
 
+@query("sql_redact_function", oracle.redacted(DOCS, BASE, "SELECT id AS doc_id, masked_text AS redacted_text FROM masked"))
+def sql_redact_function(spark, sf_dir):
+    columns.register_sql_functions(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("hushframe_documents")
+    return spark.sql("SELECT doc_id, pii_redact(text, 'general') AS redacted_text FROM hushframe_documents")
+
+
+@query("sql_secrets_function", f"SELECT doc_id, {oracle.secret_names('text')} AS secrets FROM documents")
+def sql_secrets_function(spark, sf_dir):
+    columns.register_sql_functions(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("hushframe_documents")
+    return spark.sql("SELECT doc_id, array_join(pii_secrets(text), ',') AS secrets FROM hushframe_documents")
+
+
+@query("sql_reveal_function", "SELECT doc_id, text AS revealed_text FROM documents")
+def sql_reveal_function(spark, sf_dir):
+    columns.register_sql_functions(spark)
+    mask.sanitize(documents(spark, sf_dir)).createOrReplaceTempView("hushframe_masked")
+    return spark.sql(
+        "SELECT doc_id, pii_reveal(masked_text, map_from_entries(transform(tokens, t -> struct(t.token, t.value))))"
+        " AS revealed_text FROM hushframe_masked"
+    )
+
+
 # --- streams --------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -820,3 +949,21 @@ def stream_reveal(spark, sf_dir):
         source, entries, f"{folder}/out", f"{folder}/state", ["conv_id", "turn"], "text", "conv_id"
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "revealed_text")
+
+
+@query(
+    "stream_two_outputs",
+    oracle.mask_rows(
+        f"SELECT page_id AS id, {_LINE} AS text FROM pages", BASE,
+        "SELECT CASE WHEN id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream, masked_text FROM masked",
+    ),
+)
+def stream_two_outputs(spark, sf_dir):
+    folder = scratch(spark)
+    pages = table(spark, sf_dir, "pages")
+    for rest, name in enumerate(("stdout", "stderr")):
+        pages.filter(f"page_id % 2 = {rest}").select(F.expr(_LINE).alias("value")).write.text(f"{folder}/{name}")
+    both = lines.both_streams(*[lines.read_line_stream(spark, f"{folder}/{name}", name) for name in ("stdout", "stderr")])
+    done = lines.mask_stream(both).select("stream", "masked_text")
+    lines.write_append(done, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("stream string, masked_text string").parquet(f"{folder}/out")

@@ -20,31 +20,31 @@ def sentence(template: str, key: str) -> str:
     return " || ".join(parts)
 
 
-# One sample sentence per profile.
+# One note per profile: what its pack should find, then look-alikes that it should leave.
 PROFILE_SENTENCES = {
-    "general": "Call Alice Vance at 555-{4} or email alice{5}@vance.com",
-    "dev": "Production connection mysql://db_admin:P@ssw0rd{4}!@10.0.4.15:3306/prod_db and secret sk-proj-{16}",
-    "medical": "Patient MRN-{6}. Prescribed: Amoxicillin. NPI: {10}",
-    "pharma": "Subject ID SUBJ{4}. Protocol ID IND-{3}. Lot Number LOT-{4}.",
-    "legal": "Case reference CASE-{4} and docket CV-26-{4}.",
-    "compliance": "Audit report GDPR-AUDIT-{4} and DSAR-{4}.",
-    "ccpa": "CCPA Driver License: DL-{6}. Account ID: ACC{6}.",
-    "finance": "Card Number: 4111-2222-3333-{4} Routing: PORTFOLIO-{5}.",
-    "bizops": "Deal: DEAL-{4}. Signed NDA-{4}.",
-    "sales": "Opportunity OPPORTUNITY-{5}. Current ARR ${3}K.",
-    "wealthmgmt": "Routing: {9}. Net Worth: ${2}M.",
-    "insurance": "Claim #POL{6}. VIN: 1FTFW1EF5GFA{5}.",
-    "accounting": "EIN: {2}-{7}. Tax Refund: ${5}.",
-    "hr": "EEID {5}. DOB: 11/12/19{2}.",
-    "security": "Vulnerability CVE-2026-{4} on IP 172.16.254.{2}.",
-    "marketing": "Lead: LEAD-{5}. Campaign: CAMPAIGN-{10}.",
-    "support": "Ticket TICKET-{5}. Zendesk: ZENDESK-{4}.",
-    "realestate": "MLS {6}. GATE CODE {4}.",
-    "agents": "Vector VECTOR-{8}.",
-    "academic": "Student STUDENT-{5}. Policy: FERPA-{5}.",
-    "creative": "This draft DRAFT-{4} is EMBARGOED.",
-    "tech": "Instance INSTANCE-ID-a{6}f2b. Config: KUBECONFIG-PROD{2}.",
-    "personal": "PASSWORD: green{4}monster. MOM: +1-312-555-{4}.",
+    "general": "Desk in Lisbon: Ruth Novak, ref 219-{2}-{4}, r{5}@post.example or 415-{4}; not 1219-{2}-{4}, nor Lisbonne.",
+    "dev": "Pull from amqp://svc{3}:hunter{4}@mq.example.org then retry sk-batch-{12}; not sk-{2}, nor amqp://svc{3}@mq.",
+    "medical": "Chart MRN-{7} and MRN-{3}, signed NPI {10}; not MRN{7}, nor NPI {5}.",
+    "pharma": "Arm B: SUBJ-{5} under IND-{6} from LOT-{5}; not SUBJECT{5}, nor PLOT-{5}.",
+    "legal": "Filed as CASE-{6}, docket CV-{2}-{5}; not CASE {6}, nor CVS-{2}-{5}.",
+    "compliance": "Closed GDPR-AUDIT-{4} after DSAR-{6}; not GDPR-AUDIT-{2}x, nor DSAR {6}.",
+    "ccpa": "Holder DL-{8} pays from ACC{9}; not ADL-{8}, nor ACCT{9}.",
+    "finance": "Move 5500-{4}-{4}-{4} into PORTFOLIO-{7}; not PORTFOLIO {7}.",
+    "bizops": "Stage two of DEAL-{5} waits for NDA-{5}; not IDEAL-{5}, nor NDA {5}.",
+    "sales": "Forecast for OPPORTUNITY-{6} is ${4}.{1}M or ${5}; not USD {5}, nor OPPORTUNITY_{6}.",
+    "wealthmgmt": "Wire by routing {9}, about ${3}K; not routing {5}, nor {3}K.",
+    "insurance": "Loss under POL-{6} on 2HGFG{5}ABCDEFG; not POLE{6}, nor 2HGFG{5}.",
+    "accounting": "Return of {2}-{7} shows ${6},{2}; not {3}-{7}x.",
+    "hr": "Row EEID:{6} born {1}/{2}/19{2}; not EEID-{6}, nor {1}/{2}.",
+    "security": "Patch CVE-20{2}-{5} on 192.0.2.{2}; not CVE-{2}-{5}, nor 192.0.2.",
+    "marketing": "From LEAD-{6} in CAMPAIGN-{8}; not MISLEAD-{6}, nor CAMPAIGN {8}.",
+    "support": "Merge TICKET-{6} into ZENDESK-{6}; not TICKETS-{6}, nor ZENDESK {6}.",
+    "realestate": "Listing MLS#{7}, gate code: {4}; not XMLS {7}, nor gate {4}.",
+    "agents": "Nearest to VECTOR-{9}; not EIGENVECTOR-{9}, nor VECTOR {9}.",
+    "academic": "Release for STUDENT-{6} under FERPA-{4}; not STUDENTS-{6}, nor FERPA {4}.",
+    "creative": "Cut DRAFT-{5} stays EMBARGOED; not DRAFTS-{5}, nor embargoed.",
+    "tech": "Restart INSTANCE-ID-{6}c0ffee with KUBECONFIG-EDGE{3}; not INSTANCE-{6}, nor KUBECONFIG {3}.",
+    "personal": "Router password: owl{5}nest, home +44-212-555-{4}; not passwords, nor +44-212.",
 }
 
 # Sentences with one secret each, a near miss, and one with two secrets.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.catalog import TEMPLATE_EXCLUSIONS, TEMPLATE_RULE, Rule
+from hushframe.functions.catalog import TEMPLATE_EXCLUSIONS, TEMPLATE_RULE, Rule, valid_label
 
 RULE_FILE_SCHEMA = T.StructType([
     T.StructField("customRules", T.ArrayType(T.StructType([
@@ -37,7 +37,40 @@ RULE_SCHEMA = T.StructType([
 _EMPTY_PROBES = ("", "a", "aA0 _-.", "one two\n3,4")
 # Parts of an expression that take up no text.
 _ZERO_WIDTH = re.compile(r"\(\?<?[=!](?:[^()\\]|\\.)*\)|\\[bBAzZG]|\^|\$")
-_NESTED_REPEAT = re.compile(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*{]")
+# Custom rules come before all built-in ones, however many there are.
+_FIRST_PRIORITY = -1_000_000_000
+# What cannot match a line end: plain characters, escapes of one character class or mark, classes that list what they take.
+_LINE_LOCAL = re.compile(
+    r"(?:\(\?i\)|\(\?:|\\[dwbB]|\\[^A-Za-z0-9\n\r]|\[(?!\^)(?:\\[dw]|\\[^A-Za-z0-9\n\r]|[^\\\]\[\n\r&])+\]|(?!\(\?)[^\\\[\]^$\n\r])*"
+)
+
+
+def nested_repeat(pattern: str) -> bool:
+    """Whether an endless repeat stands inside another one, which can take exponential time."""
+    endless = re.compile(r"[+*]|\{\d+,\}")
+    inside = [False]
+    at = 0
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            at += 2
+            continue
+        if char == "[":
+            closing = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(pattern, at)
+            at = closing.end() if closing else at + 1
+            continue
+        if char == "(":
+            inside.append(False)
+        elif char == ")" and len(inside) > 1:
+            repeated = endless.match(pattern, at + 1) is not None
+            had = inside.pop()
+            if had and repeated:
+                return True
+            inside[-1] |= had or repeated
+        elif endless.match(pattern, at):
+            inside[-1] = True
+        at += 1
+    return False
 
 
 def normalise_rules(raw: DataFrame) -> DataFrame:
@@ -62,7 +95,7 @@ def read_rule_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def rejection(spark: SparkSession, pattern: str) -> str | None:
     """Why a custom pattern cannot be used, or None."""
-    if _NESTED_REPEAT.search(pattern):
+    if nested_repeat(pattern):
         return "nested_repeat"
     try:
         if _matches_empty(spark, pattern):
@@ -97,12 +130,12 @@ def check_rules(
         label = (entry.get("label") or entry.get("category") or "CUSTOM").upper()
         if not pattern:
             continue
-        reason = rejection(spark, pattern)
+        reason = rejection(spark, pattern) if valid_label(label) else "invalid_label"
         if reason:
             rejected.append({"pattern": pattern, "label": label, "reason": reason})
             continue
-        crosses = bool(re.search(r"\\[sSWDnRvhHV]|\[\^|\(\?[a-z]*[sm]|\n|\^|\$|\\[AzZG]", pattern))
-        accepted.append(Rule(f"custom_{i}", label, pattern, i, profile="custom", line_local=not crosses))
+        local = _LINE_LOCAL.fullmatch(pattern) is not None
+        accepted.append(Rule(f"custom_{i}", label, pattern, _FIRST_PRIORITY + i, profile="custom", line_local=local))
     return accepted, rejected
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hushframe.functions import columns, spans
-from hushframe.functions.catalog import Rule, rules_for
+from hushframe.functions.catalog import Rule, chosen_rules
 from hushframe.operators import mask as mask_ops
 from hushframe.operators.reveal import reveal
-from hushframe.operators.skew import cut_lineage, join_null_safe, number_within
-from hushframe.operators.vault import session_bucket, vault_exists
+from hushframe.operators.skew import cut_lineage, join_null_safe
+from hushframe.operators.vault import session_bucket, session_key, vault_exists
 
-_VAULT_SCHEMA = "session_id string, token string, entity_type string, value string, n bigint, bucket int, batch_id bigint"
+_VAULT_SCHEMA = "session_id string, token string, entity_type string, value string, bucket int, batch_id bigint"
 
 
 def read_line_stream(spark: SparkSession, path: str, stream: str = "stdout", files_per_batch: int = 1_000) -> DataFrame:
@@ -73,7 +73,7 @@ def mask_session_batch(
     """
     spark = batch.sparkSession
     keys = ["_session", "entity_type"]
-    rules = rules or rules_for()
+    rules = chosen_rules(rules)
     found = spans.resolved_findings(text_col, rules)
     mentions = cut_lineage(
         mask_ops.value_mentions(batch, id_cols, [session_col], order_cols, found, text_col)
@@ -82,61 +82,16 @@ def mask_session_batch(
         earlier = spark.read.schema(_VAULT_SCHEMA).parquet(vault_path).filter(F.col("batch_id") < batch_id)
     else:
         earlier = spark.createDataFrame([], _VAULT_SCHEMA)
-    # Only the vault buckets of sessions in this batch are read.
-    sessions = mentions.select(
-        F.col(session_col).cast("string").alias("session_id"),
-        session_bucket(F.col(session_col).cast("string")).alias("bucket"),
-    ).distinct()
-    earlier = cut_lineage(join_null_safe(earlier, sessions, ["session_id", "bucket"], "left_semi"))
-    known = earlier.withColumnRenamed("session_id", "_session")
-    names = mentions.withColumn("_session", F.col(session_col).cast("string"))
-    value_keys = ["_session", "entity_type", "value"]
-    counted = (
-        names.filter("taken IS NULL")
-        .groupBy(session_col, *value_keys)
-        .agg(F.count(F.lit(1)).alias("mentions"))
+    # Only the vault buckets of sessions in this batch are read: at most as many numbers as there are buckets.
+    sessions = mentions.select(session_key([session_col]).alias("session_id")).distinct()
+    buckets = [row["b"] for row in sessions.select(session_bucket("session_id").alias("b")).distinct().collect()]
+    earlier = join_null_safe(earlier.filter(F.col("bucket").isin(buckets)), sessions, ["session_id"], "left_semi")
+    numbers, added = mask_ops.number_against(
+        mentions, [session_col], order_cols, earlier.select("session_id", "token", "entity_type", "value")
     )
-    old = join_null_safe(counted, known.select(*value_keys, "token"), value_keys, "inner").select(
-        session_col, "entity_type", "value", "mentions", "token"
-    )
-    reserved = (
-        names.filter("taken IS NOT NULL")
-        .groupBy("_session", "entity_type")
-        .agg(F.max(F.col("taken").cast("long")).alias("n"))
-    )
-    highest = (
-        known.select("_session", "entity_type", "n").unionByName(reserved)
-        .groupBy("_session", "entity_type").agg(F.max("n").alias("_start"))
-    )
-    firsts = (
-        names.filter("taken IS NULL")
-        .groupBy(session_col, *value_keys)
-        .agg(
-            F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)], "place")).alias("_first"),
-            F.count(F.lit(1)).alias("mentions"),
-        )
-    )
-    # Combined per value first, so a value that fills the batch is one row in this join.
-    unseen = join_null_safe(firsts, known.select(*value_keys), value_keys, "left_anti")
-    fresh = cut_lineage(
-        number_within(unseen, keys, ["_first", "value"], "n", highest).withColumn(
-            "token", F.expr("concat('[', entity_type, '_', n, ']')")
-        )
-    )
-    numbers = fresh.select(session_col, "entity_type", "value", "mentions", "token").unionByName(old)
     masked = mask_ops.apply_numbers(batch, mentions, numbers, id_cols, [session_col], text_col, rules)
-    entries = fresh.select(F.col("_session").alias("session_id"), "token", "entity_type", "value", "n")
-    # A placeholder that stood in the text is kept without a value, so its number stays taken.
-    taken = reserved.filter("n > 0").select(
-        F.col("_session").alias("session_id"),
-        F.expr("concat('[', entity_type, '_', n, ']')").alias("token"),
-        "entity_type",
-        F.lit(None).cast("string").alias("value"),
-        "n",
-    )
     (
-        entries.unionByName(taken)
-        .withColumn("bucket", session_bucket("session_id"))
+        added.withColumn("bucket", session_bucket("session_id"))
         .hint("rebalance", "bucket")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{vault_path}/batch_id={batch_id}")
     )

@@ -23,7 +23,7 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() == 200
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(entry_point.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     result = entry_point.queries()[name](spark, SF)
     columns = sorted(result.columns)
