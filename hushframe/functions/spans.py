@@ -173,11 +173,6 @@ def _key(row: str) -> str:
     return f"concat(lpad(length({row}.entity_type), 3, '0'), {row}.entity_type, {row}.value)"
 
 
-def distinct_keys(findings: str) -> str:
-    """The distinct (label, value) keys in order of first appearance."""
-    return f"array_distinct(transform({findings}, _f -> {_key('_f')}))"
-
-
 def _label_of(key: str) -> str:
     return f"substring({key}, 4, cast(substring({key}, 1, 3) AS int))"
 
@@ -247,19 +242,6 @@ def free_tokens(reserved: str, entity_type: str, count: str) -> str:
     return bind(highest_reserved(reserved, entity_type), "_top", f"slice(array_except({numbers}, {reserved}), 1, {count})")
 
 
-def token_table(keys: str, reserved: str) -> str:
-    """Number distinct keys per label from 1: ``array<struct<token,entity_type,value>>``.
-
-    Equal values share a token.  Numbering starts above any number the text
-    already uses for that label.
-    """
-    row = f"named_struct('token', _free[_i], 'entity_type', _lab, 'value', {_value_of('_x')})"
-    own = f"filter(_d, _x -> {_label_of('_x')} = _lab)"
-    numbered = bind(own, "_own", bind(free_tokens("_rt", "_lab", "size(_own)"), "_free", f"transform(_own, (_x, _i) -> {row})"))
-    labels = f"array_distinct(transform(_d, _x -> {_label_of('_x')}))"
-    return bind(keys, "_d", bind(reserved, "_rt", f"flatten(transform({labels}, _lab -> {numbered}))"))
-
-
 def rewrite(text: str, edits: str) -> str:
     """Replace spans of ``text``; ``edits`` is ``array<struct<start,end,token>>`` in reading order.
 
@@ -285,16 +267,12 @@ def rewrite(text: str, edits: str) -> str:
     )
 
 
-def edits_from(findings: str, table: str) -> str:
-    """Pair each finding with its token from a token table."""
-    looked_up = f"_tt[cast(array_position(_tk, {_key('_f')}) AS int) - 1].token"
-    return bind(
-        table, "_tt",
-        bind(
-            f"transform(_tt, _x -> {_key('_x')})", "_tk",
-            f"transform({findings}, _f -> named_struct('start', _f.start, 'end', _f.end, 'token', {looked_up}))",
-        ),
-    )
+def edits_within(numbered: str, base: str, length: str) -> str:
+    """The edits of one part of a text, ``length`` characters from ``base`` on, out of its ``numbered_values``."""
+    own = "filter(_n.spans, _s -> _s.start >= _base AND _s.end <= _base + _length)"
+    moved = "named_struct('start', _s.start - _base, 'end', _s.end - _base, 'token', _n.token)"
+    edits = f"sort_array(flatten(transform({numbered}, _n -> transform({own}, _s -> {moved}))))"
+    return bind(base, "_base", bind(length, "_length", edits))
 
 
 def numbered_values(findings: str, reserved: str) -> str:

@@ -94,15 +94,27 @@ def mask_columns(
         "*",
         *[columns.detect(c, rules, exclusions).alias(f) for c, f in zip(text_cols, found)],
     )
-    keys = "array_distinct(concat(" + ", ".join(spans.distinct_keys(f) for f in found) + "))"
     reserved = "concat(" + ", ".join(
         f"coalesce({spans.reserved_tokens(c)}, cast(array() AS array<string>))" for c in text_cols
     ) + ")"
-    staged = staged.withColumn("tokens", F.expr(spans.token_table(keys, reserved)))
+    # The columns count as one text: each starts one character after the end of the one before.
+    bases = ["0", *(" + ".join(f"coalesce(length({c}), 0) + 1" for c in text_cols[:i]) for i in range(1, len(text_cols)))]
+    shifted = (
+        "named_struct('start', _f.start + _base, 'end', _f.end + _base, 'priority', _f.priority,"
+        " 'entity_type', _f.entity_type, 'rule_id', _f.rule_id, 'value', _f.value)"
+    )
+    moved = ", ".join(
+        spans.bind(base, "_base", f"transform({f}, _f -> {shifted})") for f, base in zip(found, bases)
+    )
+    staged = staged.withColumn("_numbered", F.expr(spans.numbered_values(f"concat({moved})", reserved)))
     masked = {
-        c: F.expr(spans.rewrite(c, spans.edits_from(f, "tokens"))) for c, f in zip(text_cols, found)
+        c: F.expr(spans.rewrite(c, spans.edits_within("_numbered", base, f"coalesce(length({c}), 0)")))
+        for c, base in zip(text_cols, bases)
     }
-    return staged.select(*[masked.get(c, F.col(c)).alias(c) for c in df.columns], "tokens")
+    tokens = F.expr(
+        "transform(_numbered, _n -> named_struct('token', _n.token, 'entity_type', _n.entity_type, 'value', _n.value))"
+    )
+    return staged.select(*[masked.get(c, F.col(c)).alias(c) for c in df.columns], tokens.alias("tokens"))
 
 
 def value_mentions(

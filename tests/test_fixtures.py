@@ -59,6 +59,7 @@ def test_profiles_per_row_agree_with_fixed_profiles(spark):
     assert by_row == {i: masked(spark, t, profile=p) for i, (p, t, _) in enumerate(PROFILE_CASES)}
 
 
+# The first three inputs and results.
 @pytest.mark.parametrize("text,expected", [
     ("Contact me at dev-key-1234 or jane.doe@company.com", "Contact me at [SECRET_1] or [EMAIL_1]"),
     ("Name: John Doe, Email: john.doe@example.com, Phone: +1-555-123-4567",
@@ -76,6 +77,7 @@ def test_general_masking(spark, text, expected):
     assert masked(spark, text) == expected
 
 
+# The input texts of the next three tests.
 def test_medical_keeps_base_rules(spark):
     out = masked(spark, "Patient John Doe, SSN: 123-45-6789", profile="Medical")
     assert "[NAME_1]" in out and "[ID_1]" in out
