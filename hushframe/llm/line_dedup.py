@@ -27,11 +27,15 @@ def normalised(line: Column) -> Column:
 
 
 def eligible_lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(doc, line, norm, digest)`` of every line with at least ``min_words`` words, in rows with an id."""
+    """``(doc, line, norm, digest)`` of every line with at least ``min_words`` words, in rows with an id.
+
+    Lines are normalised before they become rows, so that it happens once a line
+    whatever the filters after it ask.
+    """
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised)
     return (
         df.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line", "raw"))
-        .select("doc", "line", normalised(F.col("raw")).alias("norm"))
+        .select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("line", "norm"))
         .filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1)
         .filter(F.col("norm") != "")
         .withColumn("digest", F.substring(F.unhex(F.sha2("norm", 256)), 1, 16))
@@ -89,20 +93,39 @@ def common_prefix(a: Column, b: Column) -> Column:
     )
 
 
+def word_codes(norm: Column) -> Column:
+    """A string with one character per word, so that edits of it are edits of words.
+
+    The character is a hash of the word in 20 bits, beyond the basic plane: two
+    different words look alike once in a million.
+    """
+    code = F.transform(
+        F.split(norm, " "),
+        lambda word: F.lpad(F.hex(F.pmod(F.xxhash64(word), F.lit(1 << 20)) + F.lit(1 << 16)), 8, "0"),
+    )
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+
 def trimmed_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a_text, b_text) with ``a_rest, b_rest`` after the common start and end are cut, and ``longer``."""
-    cut = pairs.withColumn("_p", common_prefix(F.col("a_text"), F.col("b_text"))).withColumns(
-        {c: F.expr(f"substring({c}_text, _p + 1)") for c in ("a", "b")}
-    )
-    ends = cut.withColumn("_s", common_prefix(F.reverse("a"), F.reverse("b")))
+    longer = F.greatest(F.length("a_text"), F.length("b_text"))
+    cut = pairs.select(
+        "x", "y", longer.alias("longer"),
+        F.transform(
+            F.array(F.struct("a_text", "b_text", common_prefix(F.col("a_text"), F.col("b_text")).alias("p"))),
+            lambda t: F.struct(
+                F.substr(t["a_text"], t["p"] + 1).alias("a"), F.substr(t["b_text"], t["p"] + 1).alias("b")
+            ),
+        )[0].alias("left"),
+    ).select("x", "y", "longer", F.col("left.a").alias("a"), F.col("left.b").alias("b"))
+    ends = cut.withColumn("s", common_prefix(F.reverse("a"), F.reverse("b")))
     return ends.select(
-        "x", "y", F.greatest(F.length("a_text"), F.length("b_text")).alias("longer"),
-        F.expr("left(a, length(a) - _s)").alias("a_rest"), F.expr("left(b, length(b) - _s)").alias("b_rest"),
+        "x", "y", "longer", F.expr("left(a, length(a) - s)").alias("a_rest"), F.expr("left(b, length(b) - s)").alias("b_rest")
     )
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) of digests whose lines are similar enough.
+    """The pairs (x, y) of digests whose lines are similar enough: 1 - edited words / words of the longer line.
 
     A Bloom filter of the digests asked for keeps all other lines' texts out of the
     shuffle; where it would be too large to send around, the join alone does it.
@@ -114,12 +137,16 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     if n * 10 // 8 <= MAX_LEVEL_BYTES:
         asked_for = bloom(asked.select(F.col("digest").alias("key")), n, 0.01, 0)
         found = found.filter(asked_for.might_contain(F.col("digest")))
-    texts = cut_lineage(found.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("norm")))
-    left, right = (texts.select(F.col("digest").alias(c), F.col("norm").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
-    both = trimmed_pairs(pairs.join(left, "x").join(right, "y"))
-    allowed = F.floor(F.col("longer") * (1 - similarity) + 1e-9).cast("int")
-    near = F.levenshtein("a_rest", "b_rest") <= allowed
-    return both.filter((F.abs(F.length("a_rest") - F.length("b_rest")) <= allowed) & near).select(
+    coded = found.join(asked, "digest", "left_semi").select("digest", word_codes(F.col("norm")).alias("codes"))
+    texts = cut_lineage(coded.groupBy("digest").agg(F.min("codes").alias("codes")))
+    left, right = (texts.select(F.col("digest").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
+    # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = trimmed_pairs(pairs.join(left, "x").join(right, "y").repartition(tasks, "x", "y")).withColumn(
+        "allowed", F.floor(F.col("longer") * (1 - similarity) + 1e-9).cast("int")
+    )
+    near = F.expr("levenshtein(a_rest, b_rest, allowed) >= 0")
+    return both.filter((F.abs(F.length("a_rest") - F.length("b_rest")) <= F.col("allowed")) & near).select(
         F.col("x").alias("a"), F.col("y").alias("b")
     )
 

@@ -41,11 +41,16 @@ class Level:
 
     def might_contain(self, key: Column) -> Column:
         words = F.lit(list(self.words)) if self.words else F.array().cast("array<bigint>")
-        test = F.lit(True)
-        for bit in self.positions(key):
-            word = F.get(words, F.shiftright(bit, 6).cast("int"))
-            test = test & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-        return test
+
+        def test(key: Column) -> Column:
+            found = F.lit(True)
+            for bit in self.positions(key):
+                word = F.get(words, F.shiftright(bit, 6).cast("int"))
+                found = found & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+            return found
+
+        # The key stands here once, so what it is made from is worked out once a row.
+        return F.exists(F.array(key), test)
 
 
 def bloom(keys: DataFrame, n_keys: int, false_positives: float, seed: int) -> Level:

@@ -255,7 +255,7 @@ def test_line_groups_against_all_pairs(spark):
     for a in range(len(lines)):
         for b in range(a):
             near = (prints[a] ^ prints[b]).bit_count() <= 2
-            if near and distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])):
+            if near and distance(lines[a].split(), lines[b].split()) <= 0.2 * 150:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     want = sorted((i, find(i)) for i in range(len(lines)) if find(i) != i)
     got = sorted((r.doc, r.keep_doc) for r in line_dedup.repeated_lines(df).collect())
