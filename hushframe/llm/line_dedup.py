@@ -18,7 +18,8 @@ from hushframe.llm.common import cut_lineage, query, stored, table
 from hushframe.llm.components import components
 from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
 
-BITS = 64
+LANE = 31
+BITS = 2 * LANE
 
 
 def normalised(line: Column) -> Column:
@@ -43,29 +44,25 @@ def eligible_lines(df: DataFrame, id_col: str, text_col: str, min_words: int) ->
 
 
 def with_simhash(lines: DataFrame) -> DataFrame:
-    """``(doc, line, digest, fp)``: per bit, whether it is set in over half of the words' hashes.
+    """``(doc, line, digest, fp)``: per bit, whether it is set in over half of the words' hashes (62 bits).
 
-    Two bits are counted per long, in 32-bit lanes, which hold any line's words.
+    Bits ``i`` and ``i + 31`` are counted in one long, in lanes of 31 bits, which hold
+    any line of up to half a billion words.  A majority is read off both lanes at once:
+    twice the count plus 2**30 - 1 - n reaches 2**30 exactly when the bit is set in
+    more than half of the n words.
     """
-    half = BITS // 2
-    mask = (1 << half) | 1
+    pair = (1 << LANE) | 1
     words = lines.select("doc", "line", "digest", F.explode(F.split("norm", " ")).alias("word")).select(
         "doc", "line", "digest", F.xxhash64("word").alias("h")
     )
     sums = words.groupBy("doc", "line", "digest").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.expr(f"shiftrightunsigned(h, {bit}) & {mask}L")).alias(f"s{bit}") for bit in range(half)],
+        *[F.sum(F.expr(f"shiftrightunsigned(h, {bit}) & {pair}L")).alias(f"s{bit}") for bit in range(LANE)],
     )
-    parts = []
-    for bit in range(half):
-        low, high = F.col(f"s{bit}").bitwiseAND((1 << half) - 1), F.shiftrightunsigned(f"s{bit}", half)
-        for lane, at in ((low, bit), (high, bit + half)):
-            value = (1 << at) - (1 << BITS if at == BITS - 1 else 0)
-            parts.append(F.when(lane * 2 > F.col("n"), F.lit(value).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    # A flat tree of ORs over halves keeps the expression shallow.
-    while len(parts) > 1:
-        parts = [a.bitwiseOR(b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
-    return sums.select("doc", "line", "digest", parts[0].alias("fp"))
+    top = LANE - 1
+    offset = f"({(1 << top) - 1}L - n) * {pair}L"
+    parts = [f"shiftleft(shiftrightunsigned(shiftleft(s{bit}, 1) + k, {top}) & {pair}L, {bit})" for bit in range(LANE)]
+    return sums.withColumn("k", F.expr(offset)).select("doc", "line", "digest", F.expr(" | ".join(parts)).alias("fp"))
 
 
 def block_keys(fp: Column, k: int) -> Column:
@@ -75,8 +72,7 @@ def block_keys(fp: Column, k: int) -> Column:
     keys = []
     for at, (a, b) in enumerate(itertools.combinations(masks, 2)):
         mask = a | b
-        signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(signed).cast("bigint")), F.lit(at)))
+        keys.append(F.xxhash64(fp.bitwiseAND(F.lit(mask).cast("bigint")), F.lit(at)))
     return F.array(*keys)
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -235,7 +236,10 @@ def test_line_groups_against_all_pairs(spark):
             lines.append(" ".join(changed))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     seen = line_dedup.with_simhash(line_dedup.eligible_lines(df, "doc_id", "text", 5)).collect()
-    prints = {r.doc: r.fp & (2**64 - 1) for r in seen}
+    prints = {r.doc: r.fp for r in seen}
+    for i, line in enumerate(lines[:20]):
+        hashes = [xxhash.xxh64_intdigest(word, 42) for word in line.split()]
+        assert prints[i] == sum(1 << b for b in range(62) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
     def distance(a, b):
         row = list(range(len(b) + 1))
