@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ EXTRA_DIMENSIONS = 48
 # Words in more than this share of passages say too little to look for.
 MAX_SHARE = 0.02
 TERMS_IN_ROW = 64
+ROWS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -72,21 +74,17 @@ def passage_terms(
     A passage is ``2 * stride`` words from a multiple of ``stride`` on, so any run of
     up to ``stride`` words stands whole in one.
     """
-    all_words, of_text, at_word, terms, total = [], [], [], [], 0
-    for number, text in enumerate(texts):
-        words = word_bytes((text or "").lower())
-        all_words.append(words)
-        total += max(1, -(-len(words) // stride) - 1)
-        found = [(at, index[word]) for at, word in enumerate(words) if word in index]
-        if found:
-            places, ids = zip(*found, strict=True)
-            of_text.append(np.full(len(found), number))
-            at_word.append(np.array(places))
-            terms.append(np.array(ids))
-    if not terms:
+    all_words = [word_bytes((text or "").lower()) for text in texts]
+    sizes = np.array([len(words) for words in all_words], np.int64)
+    total = int(np.maximum(1, -(-sizes // stride) - 1).sum())
+    ids = np.fromiter(map(index.get, chain.from_iterable(all_words), repeat(-1)), np.int64, int(sizes.sum()))
+    at = np.flatnonzero(ids >= 0)
+    if not len(at):
         none = np.zeros(0, np.int64)
         return all_words, none, none, none, none, total
-    text_at, place, term = (np.concatenate(x).astype(np.int64) for x in (of_text, at_word, terms))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    text_at = np.repeat(np.arange(len(texts)), sizes)[at]
+    term, place = ids[at], at - starts[text_at]
     slot = place // stride
     text_at = np.concatenate([text_at, text_at[slot > 0]])
     term = np.concatenate([term, term[slot > 0]])
@@ -107,6 +105,20 @@ def vectors(passage: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.nd
     return starts, sizes, (weight / np.repeat(np.maximum(norm, 1e-12), sizes)).astype(np.float32)
 
 
+def weighted_sums(
+    values: np.ndarray, index: np.ndarray, weight: np.ndarray, starts: np.ndarray, sizes: np.ndarray
+) -> np.ndarray:
+    """For each run of ``index`` and ``weight``, the weighted sum of the rows of ``values``; runs of one length go together."""
+    out = np.empty((len(starts), values.shape[1]), np.float32)
+    for size in np.unique(sizes):
+        of = np.flatnonzero(sizes == size)
+        # Many runs at a time, but never more rows than fit easily.
+        for part in np.array_split(of, -(-len(of) * int(size) // ROWS_AT_ONCE)):
+            places = starts[part][:, None] + np.arange(size)[None, :]
+            out[part] = np.matmul(weight[places][:, None, :], values[index[places]])[:, 0, :]
+    return out
+
+
 def runs(of_text: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """One number per passage, ascending."""
     return of_text * (int(slot.max()) + 1 if len(slot) else 1) + slot
@@ -118,9 +130,11 @@ def term_shares(docs: DataFrame, index: dict[bytes, int], stride: int) -> tuple[
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, passages = np.zeros(len(index), np.int64), 0
         for batch in batches:
-            _, _, _, term, _, total = passage_terms(batch.column(0).to_pylist(), index, stride)
-            seen += np.bincount(term, minlength=len(index))
-            passages += total
+            for first in range(0, batch.num_rows, 256):
+                texts = batch.column(0).slice(first, 256).to_pylist()
+                _, _, _, term, _, total = passage_terms(texts, index, stride)
+                seen += np.bincount(term, minlength=len(index))
+                passages += total
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *at], pa.int32()), pa.array([passages, *seen[at]], pa.int64())], names=["term", "n"]
@@ -157,17 +171,15 @@ def sketch(docs: DataFrame, index: dict[bytes, int], idf: np.ndarray, start: np.
             for first in range(0, batch.num_rows, 256):
                 texts = batch.column(0).slice(first, 256).to_pylist()
                 _, of_text, slot, term, count, _ = passage_terms(texts, index, stride)
-                known = idf[term] > 0
-                of_text, slot, term, count = (x[known] for x in (of_text, slot, term, count))
                 if not len(term):
                     continue
                 starts, sizes, weight = vectors(runs(of_text, slot), term, count, idf)
-                near = np.add.reduceat(start[term] * weight[:, None], starts, axis=0)
+                near = weighted_sums(start, term, weight, starts, sizes)
                 order = np.argsort(term, kind="stable")
                 row = np.repeat(np.arange(len(starts)), sizes)[order]
                 by_term = term[order]
                 heads = np.flatnonzero(np.concatenate([[True], by_term[1:] != by_term[:-1]]))
-                total[by_term[heads]] += np.add.reduceat(near[row] * weight[order][:, None], heads, axis=0)
+                total[by_term[heads]] += weighted_sums(near, row, weight[order], heads, np.diff(np.append(heads, len(by_term))))
         yield rows_of(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +218,8 @@ def item_vectors(items: Sequence[Item], index: dict[bytes, int], idf: np.ndarray
     out = np.zeros((len(items), len(index)))
     for at, item in enumerate(items):
         for word in item.words:
-            out[at, index[word]] += 1
+            if word in index:
+                out[at, index[word]] += 1
     out = np.where(out > 0, (1 + np.log(np.maximum(out, 1))) * idf, 0)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
@@ -224,10 +237,13 @@ def leaks_of_block(docs: DataFrame, items: Sequence[Item], settings: Settings) -
         own = np.array([index[word] for word in set(item.words)])
         if common[own].mean() > 0.7:
             common[own] = False
-    idf = np.where(common, 0, np.maximum(idf, 0.01))
+    # From here on only the telling words count.
+    kept = np.flatnonzero(~common)
+    idf = np.maximum(idf, 0.01)[kept]
+    index = {word: at for at, word in enumerate(np.array(list(index), object)[kept])}
     rows = item_vectors(items, index, idf)
     random = np.random.default_rng(8).standard_normal((len(index), EXTRA_DIMENSIONS)) / np.sqrt(len(index))
-    start = np.linalg.qr(np.hstack([rows.T, random * (idf > 0)[:, None]]))[0].astype(np.float32)
+    start = np.linalg.qr(np.hstack([rows.T, random]))[0].astype(np.float32)
     space = latent_space(sketch(docs, index, idf, start, stride), start.astype(np.float64))
     goal = rows @ space
     goal = (goal / np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -242,12 +258,10 @@ def leaks_of_block(docs: DataFrame, items: Sequence[Item], settings: Settings) -
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 words, of_text, slot, term, count, _ = passage_terms(part.column(1).to_pylist(), index, stride)
-                known = idf[term] > 0
-                of_text, slot, term, count = (x[known] for x in (of_text, slot, term, count))
                 found = []
                 if len(term):
-                    starts, _, weight = vectors(runs(of_text, slot), term, count, idf)
-                    latent = np.add.reduceat(space[term] * weight[:, None], starts, axis=0)
+                    starts, sizes, weight = vectors(runs(of_text, slot), term, count, idf)
+                    latent = weighted_sums(space, term, weight, starts, sizes)
                     norm = np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
                     cosine = (latent / norm) @ goal.T
                     for passage, item in np.argwhere(cosine >= settings.cosine).tolist():
