@@ -37,11 +37,16 @@ IDENTITY_TERMS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows``: labelled rows the weights are fitted on, a sample by hash; word counts cover all labelled rows."""
+    """``max_rows``: labelled rows the weights are fitted on, a sample by hash; word counts cover all labelled rows.
+
+    ``least_share``: of the toxic rows a word must stand in, so that the words of one
+    copied text with a doubtful label do not count as telling.
+    """
 
     max_rows: int = 20_000
     max_words: int = 2_000
     least_documents: int = 5
+    least_share: float = 0.003
     least_chi2: float = 20.0
     ridge: float = 1e-5
     counterfactual: float = 1.0
@@ -105,7 +110,7 @@ def telling_words(labelled: DataFrame, rows: int, toxic: int, settings: Settings
     chi2 = (F.col("toxic") - expected) ** 2 / (expected * (1 - share) * (1 - F.col("n") / (rows + 1)))
     found = (
         word_counts(labelled)
-        .filter(F.col("n") >= settings.least_documents)
+        .filter((F.col("n") >= settings.least_documents) & (F.col("n") >= settings.least_share * toxic))
         .withColumn("chi2", chi2)
         .filter(F.col("chi2") >= settings.least_chi2)
         .orderBy(F.desc("chi2"), "word")
