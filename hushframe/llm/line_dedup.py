@@ -120,19 +120,27 @@ def trimmed_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``asked``, by a Bloom filter; a join has to follow.
+
+    It saves shuffling what the join would drop.  Where the filter would be too large
+    to send around, the join alone does it.
+    """
+    n = asked.count()
+    if n * 10 // 8 > MAX_LEVEL_BYTES:
+        return rows
+    level = bloom(asked.select(F.col(key).alias("key")), n, 0.01, 0)
+    return rows.filter(level.might_contain(F.col(key), plain))
+
+
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) of digests whose lines are similar enough: 1 - edited words / words of the longer line.
 
-    A Bloom filter of the digests asked for keeps all other lines' texts out of the
-    shuffle; where it would be too large to send around, the join alone does it.
+    Only the texts of the lines asked for are shuffled.
     """
     pairs = cut_lineage(pairs.distinct())
     asked = cut_lineage(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct())
-    n = asked.count()
-    found = lines.select("digest", "norm")
-    if n * 10 // 8 <= MAX_LEVEL_BYTES:
-        asked_for = bloom(asked.select(F.col("digest").alias("key")), n, 0.01, 0)
-        found = found.filter(asked_for.might_contain(F.col("digest")))
+    found = prefiltered(lines.select("digest", "norm"), asked, "digest", plain=False)
     coded = found.join(asked, "digest", "left_semi").select("digest", word_codes(F.col("norm")).alias("codes"))
     texts = cut_lineage(coded.groupBy("digest").agg(F.min("codes").alias("codes")))
     left, right = (texts.select(F.col("digest").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
@@ -150,8 +158,8 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 def fuzzy_links(nodes: DataFrame, lines: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) between digests of ``nodes`` (digest, fp) that connect what all similar pairs would."""
     points = nodes.select("digest", "fp", F.explode(block_keys(F.col("fp"), k)).alias("key"))
-    repeated = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared = stored(points.join(repeated, "key"), "line-keys")
+    repeated = cut_lineage(points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    shared = stored(prefiltered(points, repeated, "key").join(repeated, "key"), "line-keys")
 
     def near(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k

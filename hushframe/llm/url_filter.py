@@ -9,6 +9,7 @@ the first level that rejects it is an odd one.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -39,8 +40,10 @@ class Level:
         second = F.pmod(F.xxhash64(F.lit(self.seed), key), F.lit(self.bits))
         return [F.pmod(first + F.lit(i) * second, F.lit(self.bits)) for i in range(self.hashes)]
 
-    def might_contain(self, key: Column) -> Column:
-        words = F.lit(list(self.words)) if self.words else F.array().cast("array<bigint>")
+    def might_contain(self, key: Column, plain: bool = False) -> Column:
+        """Whether the filter lets a key through; ``plain`` says that the key is a stored column, cheap to read again."""
+        # One string literal, which is parsed once, when the plan is optimised.
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
 
         def test(key: Column) -> Column:
             found = F.lit(True)
@@ -49,8 +52,8 @@ class Level:
                 found = found & (F.call_function("shiftright", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
             return found
 
-        # The key stands here once, so what it is made from is worked out once a row.
-        return F.exists(F.array(key), test)
+        # Otherwise the key stands here once, so what it is made from is worked out once a row.
+        return test(key) if plain else F.exists(F.array(key), test)
 
 
 def bloom(keys: DataFrame, n_keys: int, false_positives: float, seed: int) -> Level:
