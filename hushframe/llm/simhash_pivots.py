@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage, query, table
+from hushframe.llm.common import cut_lineage, query, stored, table
 from hushframe.llm.components import components
+from hushframe.llm.line_dedup import prefiltered
 
 BITS = 64
 FREE_PIVOTS = 8
 # Fingerprints under one key that are compared with each other; larger keys go by midpoints, without loss.
 PAIRWISE_KEY = 48
+# Candidates of the similarity of shingle sets: 1 - (1 - 0.8**4)**24 of the pairs at 0.8 share a key.
+BANDS, BAND_ROWS = 24, 4
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -187,6 +190,153 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return df.join(dropped, id_col, "left_anti")
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key per band of the smallest values of a set of hashes; two sets share each with probability similarity ** ``BAND_ROWS``."""
+    draw = np.random.default_rng(24)
+    turns = draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+    factors = draw.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, ((hashes[at : at + (1 << 12), None] ^ turns) * factors).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def set_digest(hashes: np.ndarray) -> bytes:
+    """128 bits of a sorted set of shingle hashes."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(hashes.tobytes())
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(id, digest, size, keys)``: each text's set of shingles by digest, its size and its band keys (none without words)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py() or "", shingle)) for text in batch.column(1)]
+            keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([set_digest(x) for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["id", "digest", "size", "keys"],
+            )
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(hashed, f"id {id_type}, digest binary, size long, keys array<long>")
+
+
+def sets_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(digest, hashes)``: the shingle sets of ``nodes`` (digest, id), from one text each; other texts are not shuffled."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                # Rows of one id may have other texts.
+                sets = [np.unique(shingle_hashes(text.as_py() or "", shingle)) for text in part.column(1)]
+                found = [(d, x) for d, x in zip(part.column(0).to_pylist(), sets, strict=True) if set_digest(x) == d]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([d for d, _ in found], pa.binary()),
+                        pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64())),
+                    ],
+                    names=["digest", "hashes"],
+                )
+
+    texts = prefiltered(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), nodes, "id")
+    asked = nodes.join(texts, "id").select("digest", "text")
+    return asked.mapInArrow(hashed, "digest binary, hashes array<long>").dropDuplicates(["digest"])
+
+
+def similar_links(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of digests of ``nodes`` (digest, id, size, keys) that connect what all pairs of similar sets with a common key would.
+
+    Under each key all sets are compared with one head first, then with one set of
+    another group, and only what is in different groups after that pair by pair.
+    """
+    points = cut_lineage(nodes.select("digest", "size", F.explode("keys").alias("key")))
+    repeated = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    shared = cut_lineage(points.join(repeated, "key"))
+    sets = stored(
+        sets_of(nodes.join(shared.select("digest").distinct(), "digest").select("digest", "id"), df, id_col, text_col, shingle),
+        "shingle-sets",
+    )
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter(
+            F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * similarity - 1e-9
+        ).select("a", "b").distinct()
+        left, right = (sets.select(F.col("digest").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        either = F.size("a_set") + F.size("b_set") - common
+        return cut_lineage(
+            pairs.join(left, "a").join(right, "b").filter(common >= either * similarity - 1e-9).select("a", "b")
+        )
+
+    def split(links: DataFrame) -> DataFrame:
+        """The members of the keys that still hold sets of different groups."""
+        joined = components(links)
+        members = shared.join(joined, shared["digest"] == joined["node"], "left").select(
+            "key", F.coalesce("root", "digest").alias("group"), "digest", "size"
+        )
+        members = cut_lineage(members)
+        mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+        return members.join(mixed.select("key"), "key", "left_semi")
+
+    def with_head(members: DataFrame, head: Column) -> DataFrame:
+        heads = members.groupBy("key").agg(head.alias("head"))
+        return members.join(heads, "key").select(
+            F.col("digest").alias("a"), F.col("size").alias("a_size"), F.col("head.digest").alias("b"),
+            F.col("head.size").alias("b_size"), *[F.col(c) for c in members.columns if c == "group"], "head",
+        )
+
+    links = verified(with_head(shared, F.min(F.struct("digest", "size"))).filter("a <> b"))
+    members = split(links)
+    links = links.union(
+        verified(with_head(members, F.max(F.struct("group", "digest", "size"))).filter(F.col("group") != F.col("head.group")))
+    )
+    members = cut_lineage(split(links))
+    left, right = (
+        members.select("key", F.col("group").alias(f"{c}_group"), F.col("digest").alias(c), F.col("size").alias(f"{c}_size"))
+        for c in "ab"
+    )
+    return links.union(verified(left.join(right, "key").filter("a_group > b_group")))
+
+
+def keep_first_similar(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``df`` with the row of the smallest id of each group linked by a Jaccard similarity of shingle sets of at least ``similarity``.
+
+    Fingerprints of 64 bits do not reach that far: at 0.8 they differ in 9 bits on
+    average, often in more than 15, and blocks short enough for that fit any text.  So
+    candidates share the smallest shingle hashes in one of 24 bands of 4, which a pair
+    at 0.8 misses 3 times in a million, and the sets themselves decide.  Equal sets
+    (texts without words, too) are one node; rows without an id stay.
+    """
+    rows = cut_lineage(shingle_sets(df, id_col, text_col, shingle).filter(F.col("id").isNotNull()))
+    nodes = cut_lineage(
+        rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    )
+    roots = components(similar_links(nodes, df, id_col, text_col, shingle, similarity))
+    grouped = cut_lineage(
+        nodes.join(roots, nodes["digest"] == roots["node"], "left")
+        .select("digest", "id", F.coalesce("root", "digest").alias("group"))
+    )
+    keep = grouped.groupBy("group").agg(F.min("id").alias("keep"))
+    labels = grouped.join(keep, "group").select("digest", "keep")
+    dropped = rows.join(labels, "digest").filter(F.col("id") != F.col("keep")).select(F.col("id").alias(id_col)).distinct()
+    return df.join(dropped, id_col, "left_anti")
+
+
 @query("op3_simhash_pivots")
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint over 3-word shingles and its component."""

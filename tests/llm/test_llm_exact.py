@@ -190,6 +190,44 @@ def test_links_of_crowded_keys(spark, pairwise):
     assert {i: found.get(i, i) for i in prints} == roots_of(prints, 2)
 
 
+def test_similar_documents_against_all_pairs(spark):
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(0, ""), (1, None), (2, "one two"), (3, "ONE  two"), (None, "one two"), (4, "one two three")]
+    for size in (20, 60, 100, 200, 500):
+        for _ in range(4):
+            base = [draw.choice(vocabulary) for _ in range(size)]
+            for _ in range(6):
+                words = list(base)
+                for _ in range(draw.randint(0, max(1, size // 40))):
+                    words[draw.randrange(size)] = draw.choice(vocabulary)
+                rows.append((10 + len(rows), " ".join(words)))
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = {" ".join(words[at : at + 5]) for at in range(max(1, len(words) - 4))} - {""}
+    root = {i: i for i in sets if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in root:
+        for b in root:
+            if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted(i for i in root if find(i) == i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = simhash_pivots.keep_first_similar(df)
+    assert left.columns == df.columns
+    got = [r.doc_id for r in left.collect()]
+    assert None in got and sorted(i for i in got if i is not None) == want
+    # Two bits leave most of them in.
+    assert simhash_pivots.keep_first(df).count() > len(want) + 10
+    assert simhash_pivots.keep_first_similar(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "q")], "doc_id long, text string")
     assert rows_of(simhash_pivots.near_duplicates(df), "doc_id", "component_id") == sorted([(None, 4), (4, 4), (None, None)], key=repr)
