@@ -79,11 +79,12 @@ def runs_of(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     places = np.flatnonzero(sliding(around, width, np.maximum) == grams)
     low = np.searchsorted(places, first)
     high = np.searchsorted(places, first + size - 1 + width - 1, side="right")
-    # Two such places with equal grams close together: only there can a run hold a window twice.
+    # Two such places with equal grams close together (in one run they are up to ``width`` apart): only there can a run hold
+    # a window twice.
     order = np.lexsort((places, grams[places]))
     by_gram, by_place = grams[places][order], places[order]
     twin = np.zeros(len(places) + 1, np.int64)
-    twin[order[:-1] + 1] = (by_gram[1:] == by_gram[:-1]) & (by_place[1:] - by_place[:-1] < width)
+    twin[order[:-1] + 1] = (by_gram[1:] == by_gram[:-1]) & (by_place[1:] - by_place[:-1] <= width)
     many = np.cumsum(twin)
     return first, size, digit.view(np.int64), many[high] > many[low]
 

@@ -124,6 +124,21 @@ def test_windows_against_brute_force(spark, threshold):
     assert got == brute_windows(rows, threshold)
 
 
+@pytest.mark.parametrize("threshold", [30, 100])
+@pytest.mark.parametrize("copied", [False, True])
+def test_windows_of_texts_with_a_period(spark, threshold, copied):
+    draw = random.Random(threshold)
+    width = threshold - suffix_windows.GRAM + 1
+    rows = []
+    for period in (width - 1, width, width + 1):
+        for times in (3, 5):
+            line = "".join(draw.choice("abcdefgh ") for _ in range(period - 1)) + "\n"
+            rows += [(len(rows) + at, line * times) for at in range(2 if copied else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_windows.remove_repeats(df, threshold).collect()}
+    assert got == brute_windows(rows, threshold)
+
+
 def test_windows_of_repeated_and_missing_ids(spark):
     draw = random.Random(1)
     long = "".join(draw.choice("abcdef") for _ in range(300))
