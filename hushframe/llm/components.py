@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut_lineage
@@ -56,3 +58,41 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         state.select(F.col("b"), F.col("b")).distinct()
     )
+
+
+def links_under_keys(shared: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect what all verified pairs under the keys of ``shared`` (key, digest, size) would.
+
+    ``verified`` takes pairs (a, a_size, b, b_size) and gives those (a, b) that are links.
+    Under each key all members are compared with one head first, then with one member of
+    another group, and only what is in different groups after that pair by pair.
+    """
+
+    def split(links: DataFrame) -> DataFrame:
+        """The members of the keys that still hold different groups."""
+        joined = components(links)
+        members = shared.join(joined, shared["digest"] == joined["node"], "left").select(
+            "key", F.coalesce("root", "digest").alias("group"), "digest", "size"
+        )
+        members = cut_lineage(members)
+        mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+        return members.join(mixed.select("key"), "key", "left_semi")
+
+    def with_head(members: DataFrame, head: Column) -> DataFrame:
+        heads = members.groupBy("key").agg(head.alias("head"))
+        return members.join(heads, "key").select(
+            F.col("digest").alias("a"), F.col("size").alias("a_size"), F.col("head.digest").alias("b"),
+            F.col("head.size").alias("b_size"), *[F.col(c) for c in members.columns if c == "group"], "head",
+        )
+
+    links = verified(with_head(shared, F.min(F.struct("digest", "size"))).filter("a <> b"))
+    members = split(links)
+    links = links.union(
+        verified(with_head(members, F.max(F.struct("group", "digest", "size"))).filter(F.col("group") != F.col("head.group")))
+    )
+    members = cut_lineage(split(links))
+    left, right = (
+        members.select("key", F.col("group").alias(f"{c}_group"), F.col("digest").alias(c), F.col("size").alias(f"{c}_size"))
+        for c in "ab"
+    )
+    return links.union(verified(left.join(right, "key").filter("a_group > b_group")))

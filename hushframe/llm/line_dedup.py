@@ -1,7 +1,13 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line dedup: candidates by shared word pairs or by SimHash, edit similarity, connected groups.
 
-Everything is DataFrame operations.  Equal normalised lines are one node, known by a
-digest.  Nodes whose fingerprints agree in all but ``k`` of ``k + 2`` blocks share a key.
+Equal normalised lines are one node, known by a digest.
+
+Without a limit on fingerprint bits (``k`` None) every pair of the asked similarity is
+found.  Lines of n and m <= n words within d edits have n - 1 - 2d pairs of neighbouring
+words in common, so in any order of all word pairs they share one of the first few
+(prefix filter).  The order is rarest first by a sample; a poor sample costs time only.
+
+With ``k``, nodes whose fingerprints agree in all but ``k`` of ``k + 2`` blocks share a key.
 Under each key all nodes are first compared with the key's smallest node; what that and
 the other keys have joined need not be compared again, so a second pass compares only
 nodes of different groups.  The links of both passes give the groups that all pairs would.
@@ -10,16 +16,23 @@ nodes of different groups.  The links of both passes give the groups that all pa
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut_lineage, query, stored, table
-from hushframe.llm.components import components
+from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
 
 LANE = 31
 BITS = 2 * LANE
+# Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
+SAMPLE_DOCS = 4_000
+KNOWN_GRAMS = 200_000
 
 
 def normalised(line: Column) -> Column:
@@ -133,16 +146,15 @@ def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True)
     return rows.filter(level.might_contain(F.col(key), plain))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) of digests whose lines are similar enough: 1 - edited words / words of the longer line.
-
-    Only the texts of the lines asked for are shuffled.
-    """
-    pairs = cut_lineage(pairs.distinct())
-    asked = cut_lineage(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct())
+def line_codes(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(digest, codes)`` of the lines asked for; only their texts are shuffled."""
     found = prefiltered(lines.select("digest", "norm"), asked, "digest", plain=False)
     coded = found.join(asked, "digest", "left_semi").select("digest", word_codes(F.col("norm")).alias("codes"))
-    texts = cut_lineage(coded.groupBy("digest").agg(F.min("codes").alias("codes")))
+    return coded.groupBy("digest").agg(F.min("codes").alias("codes"))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) of digests whose lines are similar enough: 1 - edited words / words of the longer line."""
     left, right = (texts.select(F.col("digest").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
     # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -155,6 +167,116 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """``similar_pairs`` with the texts of the lines asked for."""
+    pairs = cut_lineage(pairs.distinct())
+    asked = cut_lineage(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct())
+    return similar_pairs(pairs, cut_lineage(line_codes(asked, lines)), similarity)
+
+
+def word_hashes(norm: Column) -> Column:
+    """The hash of each word."""
+    return F.transform(F.split(norm, " "), lambda word: F.xxhash64(word))
+
+
+def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each line (a list of word hashes), and line and hash of every pair of neighbouring words."""
+    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    inside = line[1:] == line[:-1]
+    grams = (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams ^= grams >> np.uint64(29)
+    return sizes, line[:-1][inside], grams[inside]
+
+
+def prefix_size(n_words: int, similarity: float) -> int:
+    """How many of a line's first word pairs meet those of any similar line, of the same or another length."""
+    longer = np.arange(n_words, math.ceil(n_words / similarity) + 2)
+    edits = np.floor(longer * (1 - similarity) + 1e-9).astype(np.int64)
+    fits = longer - edits <= n_words
+    common = int((longer - 1 - 2 * edits)[fits].min())
+    if common < 1 and n_words > 1:
+        raise ValueError(f"lines of {n_words} words may be similar without two words in a row in common")
+    return n_words - common
+
+
+def common_grams(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the commonest word pairs in a sample of the documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, n = np.unique(grams_of(batch.column(0))[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    n_docs = df.count()
+    some = df.sample(min(1.0, SAMPLE_DOCS / n_docs), 1) if n_docs else df
+    words = eligible_lines(some, id_col, text_col, min_words).select(word_hashes(F.col("norm")).alias("words"))
+    counted = words.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    rows = counted.orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
+    grams, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(grams.view(np.uint64))
+    return grams.view(np.uint64)[order], n[order]
+
+
+def with_grams(lines: DataFrame, known: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """``(doc, line, digest, size, keys)``: the words of each line, and its first word pairs, rarest first, as keys."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, line, grams = grams_of(batch.column(3))
+            # A pair that stands in a line again is another one.
+            order = np.lexsort((grams, line))
+            line, grams = line[order], grams[order]
+            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])])[: len(grams)]
+            heads = np.flatnonzero(new)
+            again = np.arange(len(grams)) - np.repeat(heads, np.diff(np.append(heads, len(grams))))
+            count = np.zeros(len(grams), np.int64)
+            if len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], grams), len(known[0]) - 1)
+                count = np.where(known[0][at] == grams, known[1][at], 0)
+            keys = (grams + again.astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
+            keys ^= keys >> np.uint64(32)
+            order = np.lexsort((keys, count, line))
+            line, keys = line[order], keys[order]
+            per_line = np.bincount(line, minlength=len(sizes))
+            place = np.arange(len(line)) - np.repeat(np.cumsum(per_line) - per_line, per_line)
+            lengths, of = np.unique(sizes, return_inverse=True)
+            most = np.array([prefix_size(int(n), similarity) for n in lengths], np.int64)[of]
+            kept = place < most[line]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[kept], minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), batch.column(2), pa.array(sizes),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys[kept].view(np.int64))),
+                ],
+                names=["doc", "line", "digest", "size", "keys"],
+            )
+
+    id_type = lines.schema["doc"].dataType.simpleString()
+    return lines.select("doc", "line", "digest", word_hashes(F.col("norm")).alias("words")).mapInArrow(
+        cut, f"doc {id_type}, line int, digest binary, size long, keys array<long>"
+    )
+
+
+def similar_links(seen: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between digests of ``seen`` (digest, size, keys) that connect what all similar pairs would."""
+    points = seen.select("digest", "size", F.explode("keys").alias("key"))
+    repeated = cut_lineage(points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
+    members = cut_lineage(prefiltered(points, repeated, "key").join(repeated, "key").distinct())
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
+    shared = stored(members.join(several, "key"), "line-keys")
+    texts = stored(line_codes(cut_lineage(shared.select("digest").distinct()), lines), "line-codes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        longer = F.greatest("a_size", "b_size")
+        fits = F.abs(F.col("a_size") - F.col("b_size")) <= F.floor(longer * (1 - similarity) + 1e-9)
+        pairs = cut_lineage(pairs.filter(fits).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+        return cut_lineage(similar_pairs(pairs, texts, similarity))
+
+    return links_under_keys(shared, verified)
+
+
 def fuzzy_links(nodes: DataFrame, lines: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) between digests of ``nodes`` (digest, fp) that connect what all similar pairs would."""
     points = nodes.select("digest", "fp", F.explode(block_keys(F.col("fp"), k)).alias("key"))
@@ -187,23 +309,27 @@ def fuzzy_links(nodes: DataFrame, lines: DataFrame, k: int, similarity: float) -
 
 
 def repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int = 2, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int | None = 2, similarity: float = 0.8
 ) -> DataFrame:
     """``(doc, line, keep_doc, keep_line)``: every line to remove, with the occurrence of its group that stays.
 
     Lines are numbered from 0 and end at line feeds.  The occurrence with the
-    smallest (id, line) stays.  Lines of fewer than ``min_words`` words, and rows
-    without an id, take no part.  Rows repeated with one id count as one document.
+    smallest (id, line) stays.  Similar lines are linked if their fingerprints
+    are within ``k`` bits, or, with None, whatever their fingerprints.  Lines of
+    fewer than ``min_words`` words, and rows without an id, take no part.  Rows
+    repeated with one id count as one document.
     """
     lines = eligible_lines(df, id_col, text_col, min_words)
-    seen = stored(with_simhash(lines), "lines")
-    nodes = stored(
-        seen.groupBy("digest").agg(
-            F.min("fp").alias("fp"), F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")
-        ),
-        "line-nodes",
-    )
-    groups = components(fuzzy_links(nodes.select("digest", "fp"), lines, k, similarity))
+    node = [F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")]
+    if k is None:
+        seen = stored(with_grams(lines, common_grams(df, id_col, text_col, min_words), similarity), "lines")
+        nodes = stored(seen.groupBy("digest").agg(*node), "line-nodes")
+        links = similar_links(seen, lines, similarity)
+    else:
+        seen = stored(with_simhash(lines), "lines")
+        nodes = stored(seen.groupBy("digest").agg(F.min("fp").alias("fp"), *node), "line-nodes")
+        links = fuzzy_links(nodes.select("digest", "fp"), lines, k, similarity)
+    groups = components(links)
     grouped = cut_lineage(
         nodes.join(groups, nodes["digest"] == groups["node"], "left")
         .filter((F.col("n") > 1) | F.col("root").isNotNull())
@@ -218,7 +344,7 @@ def repeated_lines(
 
 
 def drop_repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int = 2, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int | None = 2, similarity: float = 0.8
 ) -> DataFrame:
     """``df`` without the repeated lines; a document that loses all its lines goes as well.
 
@@ -248,6 +374,6 @@ def drop_repeated_lines(
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated line of the documents, with the occurrence that stays for it."""
-    return repeated_lines(table(spark, sf_dir, "documents")).select(
+    return repeated_lines(table(spark, sf_dir, "documents"), k=None).select(
         F.col("doc").alias("doc_id"), "line", F.col("keep_doc").alias("keep_doc_id"), "keep_line"
     )

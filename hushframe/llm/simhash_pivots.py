@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut_lineage, query, stored, table
-from hushframe.llm.components import components
+from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.line_dedup import prefiltered
 
 BITS = 64
@@ -257,11 +257,7 @@ def sets_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
 
 
 def similar_links(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of digests of ``nodes`` (digest, id, size, keys) that connect what all pairs of similar sets with a common key would.
-
-    Under each key all sets are compared with one head first, then with one set of
-    another group, and only what is in different groups after that pair by pair.
-    """
+    """Links (a, b) of digests of ``nodes`` (digest, id, size, keys) that connect what all pairs of similar sets with a common key would."""
     points = cut_lineage(nodes.select("digest", "size", F.explode("keys").alias("key")))
     repeated = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
     shared = cut_lineage(points.join(repeated, "key"))
@@ -281,34 +277,7 @@ def similar_links(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, s
             pairs.join(left, "a").join(right, "b").filter(common >= either * similarity - 1e-9).select("a", "b")
         )
 
-    def split(links: DataFrame) -> DataFrame:
-        """The members of the keys that still hold sets of different groups."""
-        joined = components(links)
-        members = shared.join(joined, shared["digest"] == joined["node"], "left").select(
-            "key", F.coalesce("root", "digest").alias("group"), "digest", "size"
-        )
-        members = cut_lineage(members)
-        mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-        return members.join(mixed.select("key"), "key", "left_semi")
-
-    def with_head(members: DataFrame, head: Column) -> DataFrame:
-        heads = members.groupBy("key").agg(head.alias("head"))
-        return members.join(heads, "key").select(
-            F.col("digest").alias("a"), F.col("size").alias("a_size"), F.col("head.digest").alias("b"),
-            F.col("head.size").alias("b_size"), *[F.col(c) for c in members.columns if c == "group"], "head",
-        )
-
-    links = verified(with_head(shared, F.min(F.struct("digest", "size"))).filter("a <> b"))
-    members = split(links)
-    links = links.union(
-        verified(with_head(members, F.max(F.struct("group", "digest", "size"))).filter(F.col("group") != F.col("head.group")))
-    )
-    members = cut_lineage(split(links))
-    left, right = (
-        members.select("key", F.col("group").alias(f"{c}_group"), F.col("digest").alias(c), F.col("size").alias(f"{c}_size"))
-        for c in "ab"
-    )
-    return links.union(verified(left.join(right, "key").filter("a_group > b_group")))
+    return links_under_keys(shared, verified)
 
 
 def keep_first_similar(

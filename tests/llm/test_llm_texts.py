@@ -266,6 +266,58 @@ def test_line_groups_against_all_pairs(spark):
     assert got == want and want
 
 
+def similar_roots(lines, similarity=0.8):
+    """The smallest line that each is linked to, by edits of words between all pairs."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            x, y = lines[a].split(), lines[b].split()
+            allowed = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+            if abs(len(x) - len(y)) <= allowed and distance(x, y) <= allowed:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("known", [0, 200_000])
+def test_similar_lines_against_all_pairs(spark, monkeypatch, known):
+    monkeypatch.setattr(line_dedup, "KNOWN_GRAMS", known)
+    draw = random.Random(11)
+    words = LONG.split() + ["".join(draw.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    lines = ["la " * 9 + "la", "la " * 10 + "lo", "la " * 8 + "la"]
+    for size in (5, 6, 8, 9, 10, 14, 20, 29, 40):
+        for _ in range(3):
+            base = [draw.choice(words) for _ in range(size)]
+            for _ in range(4):
+                changed = list(base)
+                for _ in range(draw.randint(0, size // 5)):
+                    at, kind = draw.randrange(len(changed)), draw.random()
+                    changed[at : at + 1] = [] if kind < 0.2 else [draw.choice(words)] if kind < 0.8 else [changed[at], draw.choice(words)]
+                if len(changed) >= 5:
+                    lines.append(" ".join(changed))
+    lines = [line.strip() for line in lines]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    roots = similar_roots(lines)
+    want = sorted((i, r) for i, r in enumerate(roots) if i != r)
+    assert sorted((r.doc, r.keep_doc) for r in line_dedup.repeated_lines(df, k=None).collect()) == want
+    # Two bits find few of them.
+    assert line_dedup.repeated_lines(df).count() < len(want) * 0.8
+
+
 # ---- decontamination
 
 
