@@ -82,11 +82,14 @@ def scan_licenses(
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = BASE_PHRASES,
     containment: float = 0.8,
+    across_lines: bool = False,
 ) -> DataFrame:
     """One row per input row: ``id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, matches``.
 
-    Blocks are the lines of a text, in windows of twice the longest template's words
-    that overlap by half, so a notice is never cut out of all of them.  A block
+    Blocks are windows of twice the longest template's words that overlap by half, over
+    each line by itself, so a notice on one line is never cut out of all of them.  With
+    ``across_lines`` such windows over the words of the whole text, line ends included,
+    come after them, so one wrapped over lines is not either.  A block
     matches a template if it holds at least ``containment`` of its distinct words;
     ``matches`` lists (block, label, containment).  ``score`` is 1 where a phrase
     stands, else the largest containment found, else 0.  A null text is an empty
@@ -120,8 +123,9 @@ def scan_licenses(
     openers = frozenset(token for token, at in rank.items() if at in opening)
 
     def windows(text: str) -> Iterator[list[str]]:
-        for line in text.split("\n"):
-            words = words_of(line)
+        lines = [words for words in map(words_of, text.split("\n")) if words]
+        whole = [[word for words in lines for word in words]] if across_lines and len(lines) > 1 else []
+        for words in lines + whole:
             for first in range(0, max(1, len(words) - span), span):
                 yield words[first : first + 2 * span]
 
@@ -190,4 +194,4 @@ def scan_licenses(
 @query("op2_license_scan")
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license phrases and notices."""
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return scan_licenses(table(spark, sf_dir, "documents"), across_lines=True).drop("matches")

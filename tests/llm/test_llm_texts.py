@@ -2,6 +2,7 @@
 
 import random
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -199,6 +200,22 @@ def test_a_notice_across_windows_is_found(spark):
         assert r.labels == "mit"
 
 
+@pytest.mark.parametrize("width", [30, 45, 75])
+def test_a_notice_wrapped_over_lines_is_found(spark, width):
+    texts = [
+        ["foo bar " * lead + "\n" + "\n * ".join(textwrap.wrap(notice, width)) + "\n\n" + "bar foo\n" * 60 for lead in (0, 9, 40)]
+        for label, notice in license_scan.TEMPLATES if label in ("mit", "bsd", "apache-2.0", "mpl-2.0")
+    ]
+    rows = [(i, text) for i, text in enumerate(t for group in texts for t in group)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = license_scan.scan_licenses(df, across_lines=True).collect()
+    labels = {r.doc_id: r.labels for r in found}
+    assert [labels[i] for i, _ in rows] == [x for x in ("apache-2.0", "bsd", "mit", "mpl-2.0") for _ in range(3)]
+    assert all(r.score == 1 for r in found)
+    # Line by line the longer ones are lost.
+    assert sum(r.labels != "" for r in license_scan.scan_licenses(df).collect()) < len(rows)
+
+
 # ---- lines
 
 LONG = "the river ran past the old mill and the quiet village until it met the wide grey sea beyond the hills "
