@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,9 +147,40 @@ def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True)
     return rows.filter(level.might_contain(F.col(key), plain))
 
 
+def bitmap(asked: DataFrame, key: Column) -> np.ndarray | None:
+    """Bits that let every asked key (a long) through and few others; None where they would be too large to send around."""
+    n = asked.count()
+    bits = 1 << max(10, (16 * n).bit_length())
+    if bits // 8 > MAX_LEVEL_BYTES:
+        return None
+    bit = key.bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = (
+        asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("value")).toArrow()
+    )
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("value").to_numpy().view(np.uint64)
+    return out
+
+
+def let_through(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (int64) the bitmap lets through."""
+    at = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def line_codes(asked: DataFrame, lines: DataFrame) -> DataFrame:
     """``(digest, codes)`` of the lines asked for; only their texts are shuffled."""
-    found = prefiltered(lines.select("digest", "norm"), asked, "digest", plain=False)
+    found = lines.select("digest", "norm")
+    bits = bitmap(asked, F.xxhash64("digest"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(let_through(bits, batch.column(2).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["digest", "norm"])
+
+    if bits is not None:
+        found = found.withColumn("key", F.xxhash64("digest")).mapInArrow(cut, "digest binary, norm string")
     coded = found.join(asked, "digest", "left_semi").select("digest", word_codes(F.col("norm")).alias("codes"))
     return coded.groupBy("digest").agg(F.min("codes").alias("codes"))
 
@@ -263,7 +295,21 @@ def similar_links(seen: DataFrame, lines: DataFrame, similarity: float) -> DataF
     """Links (a, b) between digests of ``seen`` (digest, size, keys) that connect what all similar pairs would."""
     points = seen.select("digest", "size", F.explode("keys").alias("key"))
     repeated = cut_lineage(points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
-    members = cut_lineage(prefiltered(points, repeated, "key").join(repeated, "key").distinct())
+    bits = bitmap(repeated, F.col("key"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            n_keys = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            kept = let_through(bits, keys)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), n_keys)[kept])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept])], names=["digest", "size", "key"]
+            )
+
+    if bits is not None:
+        points = seen.select("digest", "size", "keys").mapInArrow(cut, "digest binary, size long, key long")
+    members = cut_lineage(points.join(repeated, "key").distinct())
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
     shared = stored(members.join(several, "key"), "line-keys")
     texts = stored(line_codes(cut_lineage(shared.select("digest").distinct()), lines), "line-codes")
