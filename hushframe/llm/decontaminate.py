@@ -21,6 +21,8 @@ from hushframe.llm.common import query, table, word_bytes
 
 # Items handled in one pass over the documents; a larger benchmark takes several passes.
 ITEMS_AT_ONCE = 256
+# The longest item of a pass may have so many times the words of the shortest one: passages suit the longest.
+LENGTHS_AT_ONCE = 4
 EXTRA_DIMENSIONS = 48
 # Words in more than this share of passages say too little to look for.
 MAX_SHARE = 0.02
@@ -295,11 +297,13 @@ def benchmark_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[
     block: list[Item] = []
     for row in known.orderBy(F.length("text"), "item_id", "text").toLocalIterator():
         words = tuple(word_bytes(row["text"].lower()))
-        if words:
-            block.append(Item(row["item_id"], words, min(len(words), settings.answer_words)))
-        if len(block) == ITEMS_AT_ONCE:
+        if not words:
+            continue
+        sizes = [len(words), *(len(item.words) for item in block)]
+        if len(block) == ITEMS_AT_ONCE or max(sizes) > LENGTHS_AT_ONCE * min(sizes):
             yield block
             block = []
+        block.append(Item(row["item_id"], words, min(len(words), settings.answer_words)))
     if block:
         yield block
 

@@ -369,6 +369,21 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_items_of_very_different_lengths_do_not_share_a_pass(spark):
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(3)) for _ in range(2000)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 12, 15, 18, 40, 59, 61, 500, 900])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.benchmark_blocks(benchmark, decontaminate.Settings()))
+    assert sorted(item.id for block in blocks for item in block) == list(range(9))
+    for block in blocks:
+        sizes = [len(item.words) for item in block]
+        assert max(sizes) <= 4 * min(sizes)
+    docs = [(i, " ".join(draw.choice(vocabulary) for _ in range(2000)) + f" {text} end") for i, text in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got >= {(i, i) for i in range(1, 9)}
+
+
 def test_common_subsequence():
     draw = random.Random(8)
     for _ in range(200):
