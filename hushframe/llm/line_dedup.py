@@ -31,6 +31,8 @@ from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
 
 LANE = 31
 BITS = 2 * LANE
+# Characters that are words by themselves.
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 # Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
 SAMPLE_DOCS = 4_000
 KNOWN_GRAMS = 200_000
@@ -57,6 +59,28 @@ def eligible_lines(df: DataFrame, id_col: str, text_col: str, min_words: int) ->
     )
 
 
+def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, line, norm, digest)`` of every line that is not blank, in rows with an id.
+
+    Characters of scripts without spaces are words.  A line without letters has an
+    empty ``norm`` and the digest of itself.
+    """
+    spaced = F.trim(F.regexp_replace(F.regexp_replace("norm", SPACELESS, " $0 "), " +", " "))
+    lines = F.transform(
+        F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1),
+        lambda line: F.struct(normalised(line).alias("norm"), line.alias("raw")),
+    )
+    return (
+        df.filter(F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("line", "parts"))
+        .select("doc", "line", "parts.norm", F.when(F.col("parts.norm") == "", F.col("parts.raw")).alias("raw"))
+        .filter(F.col("raw").isNull() | F.col("raw").rlike(r"\S"))
+        .withColumn("norm", F.when(F.length("norm") < F.octet_length("norm"), spaced).otherwise(F.col("norm")))
+        .withColumn("digest", F.substring(F.unhex(F.sha2(F.coalesce("raw", "norm"), 256)), 1, 16))
+        .select("doc", "line", "norm", "digest")
+    )
+
+
 def with_simhash(lines: DataFrame) -> DataFrame:
     """``(doc, line, digest, fp)``: per bit, whether it is set in over half of the words' hashes (62 bits).
 
@@ -233,7 +257,7 @@ def prefix_size(n_words: int, similarity: float) -> int:
     return n_words - common
 
 
-def common_grams(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def common_grams(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of the commonest word pairs in a sample of the documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +267,7 @@ def common_grams(df: DataFrame, id_col: str, text_col: str, min_words: int) -> t
 
     n_docs = df.count()
     some = df.sample(min(1.0, SAMPLE_DOCS / n_docs), 1) if n_docs else df
-    words = eligible_lines(some, id_col, text_col, min_words).select(word_hashes(F.col("norm")).alias("words"))
+    words = every_line(some, id_col, text_col).select(word_hashes(F.col("norm")).alias("words"))
     counted = words.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     rows = counted.orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
     grams, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
@@ -251,8 +275,11 @@ def common_grams(df: DataFrame, id_col: str, text_col: str, min_words: int) -> t
     return grams.view(np.uint64)[order], n[order]
 
 
-def with_grams(lines: DataFrame, known: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """``(doc, line, digest, size, keys)``: the words of each line, and its first word pairs, rarest first, as keys."""
+def with_grams(lines: DataFrame, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float) -> DataFrame:
+    """``(doc, line, digest, size, keys)``: the words of each line, and its first word pairs, rarest first, as keys.
+
+    Lines of fewer than ``min_words`` words have no keys.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +301,7 @@ def with_grams(lines: DataFrame, known: tuple[np.ndarray, np.ndarray], similarit
             per_line = np.bincount(line, minlength=len(sizes))
             place = np.arange(len(line)) - np.repeat(np.cumsum(per_line) - per_line, per_line)
             lengths, of = np.unique(sizes, return_inverse=True)
-            most = np.array([prefix_size(int(n), similarity) for n in lengths], np.int64)[of]
+            most = np.array([prefix_size(int(n), similarity) if n >= min_words else 0 for n in lengths], np.int64)[of]
             kept = place < most[line]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(line[kept], minlength=len(sizes)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -361,17 +388,20 @@ def repeated_lines(
 
     Lines are numbered from 0 and end at line feeds.  The occurrence with the
     smallest (id, line) stays.  Similar lines are linked if their fingerprints
-    are within ``k`` bits, or, with None, whatever their fingerprints.  Lines of
-    fewer than ``min_words`` words, and rows without an id, take no part.  Rows
+    are within ``k`` bits.  With None they are linked whatever their fingerprints,
+    and lines that are not blank but have fewer than ``min_words`` words go if they
+    are equal: once normalised, or, without letters, as they are.  With ``k`` lines of
+    fewer than ``min_words`` words take no part.  Rows without an id never do.  Rows
     repeated with one id count as one document.
     """
-    lines = eligible_lines(df, id_col, text_col, min_words)
     node = [F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")]
     if k is None:
-        seen = stored(with_grams(lines, common_grams(df, id_col, text_col, min_words), similarity), "lines")
+        lines = every_line(df, id_col, text_col)
+        seen = stored(with_grams(lines, common_grams(df, id_col, text_col), min_words, similarity), "lines")
         nodes = stored(seen.groupBy("digest").agg(*node), "line-nodes")
         links = similar_links(seen, lines, similarity)
     else:
+        lines = eligible_lines(df, id_col, text_col, min_words)
         seen = stored(with_simhash(lines), "lines")
         nodes = stored(seen.groupBy("digest").agg(F.min("fp").alias("fp"), *node), "line-nodes")
         links = fuzzy_links(nodes.select("digest", "fp"), lines, k, similarity)

@@ -283,6 +283,21 @@ def test_line_groups_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese, thai = "这条河流过老磨坊和安静的村庄直到大海", "แม่น้ำไหลผ่านโรงสีเก่าและหมู่บ้าน"
+    first = ["Read more", "All rights reserved.", "12 / 34", "-----", chinese, thai, "", "  ", "one two three four", "河", "3-4"]
+    second = [
+        "READ more!", "all rights reserved", "12 / 34", "-----", chinese.replace("老", "旧"), thai, "", "  ", "one two three five", "河。", "4-3",
+        "hao 你好 hao",
+    ]
+    rows = [(1, "\n".join(first)), (2, "\n".join(second)), (None, "Read more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc, r.line, r.keep_doc, r.keep_line) for r in line_dedup.repeated_lines(df, k=None).collect()}
+    assert found == {(2, at, 1, at) for at in (0, 1, 2, 3, 4, 5, 9)}
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, k=None).collect()}
+    assert left == {1: rows[0][1], 2: "\n  \none two three five\n4-3\nhao 你好 hao", None: "Read more"}
+
+
 def similar_roots(lines, similarity=0.8):
     """The smallest line that each is linked to, by edits of words between all pairs."""
 
