@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import os
 import re
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from hushframe.llm.tokens import public_path
 
 SPACE = "▁"
 # Words kept with their ids, in two halves: when the newer one is full, the older one goes.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 # Texts are taken together up to so many characters; longer ones are read by so many words at a time.
-CHARS_AT_ONCE, WORDS_AT_ONCE = 2_000_000, 200_000
+CHARS_AT_ONCE, WORDS_AT_ONCE = 500_000, 100_000
 # No pair of symbols: a rank behind all others.
 NONE = np.iinfo(np.int32).max
 # Symbols that are no piece are numbered behind all code points.
@@ -82,25 +83,31 @@ class PieceModel:
             elif t == kinds.UNKNOWN:
                 self.unknown, self.text[at] = at, kind.unk_surface.encode()
         self.silent = np.array([not text for text in self.text])
-        # Equal scores share a rank; within a rank the leftmost pair goes first.
-        order = {score: rank for rank, score in enumerate(sorted({s for _, s, t in pieces if t == kinds.NORMAL}, reverse=True))}
+        self.normal = [(piece, at, pieces[at][1]) for piece, at in normal.items()]
+        inner = {char for piece in normal for char in piece}
+        breaks = "".join(re.escape(char) for char in "\n\r\t" if char not in inner)
+        self.words = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of symbols that make a piece, in ascending order, with rank and piece; only encoding needs them.
+
+        Equal scores share a rank; within a rank the leftmost pair goes first.
+        """
+        order = {score: rank for rank, score in enumerate(sorted({score for *_, score in self.normal}, reverse=True))}
+        normal = {piece: at for piece, at, _ in self.normal}
         keys, ranks, made = [], [], []
-        for piece, at in normal.items():
+        for piece, at, score in self.normal:
             for cut in range(1, len(piece)):
                 left, right = (self._symbol(x, normal) for x in (piece[:cut], piece[cut:]))
                 if left is not None and right is not None:
                     keys.append((left << int(SHIFT)) | right)
-                    ranks.append(order[pieces[at][1]])
+                    ranks.append(order[score])
                     made.append(at)
         by_key = np.argsort(np.array(keys, np.uint64))
-        self.keys = np.array(keys, np.uint64)[by_key]
-        self.ranks = np.array(ranks, np.int32)[by_key]
-        self.made = np.array(made, np.int32)[by_key]
-        inner = {char for piece in normal for char in piece}
-        breaks = "".join(re.escape(char) for char in "\n\r\t" if char not in inner)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        return np.array(keys, np.uint64)[by_key], np.array(ranks, np.int32)[by_key], np.array(made, np.int32)[by_key]
 
     def _symbol(self, text: str, normal: dict[str, int]) -> int | None:
         if len(text) == 1:
@@ -111,10 +118,10 @@ class PieceModel:
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of pairs of symbols; rank ``NONE`` where no piece is made."""
+        known, ranks, made = self.pairs
         keys = (left.astype(np.uint64) << SHIFT) | right.astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return np.where(found, self.ranks[at], NONE).astype(np.int32), self.made[at]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, ranks[at], NONE).astype(np.int32), made[at]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merge all words (none empty) until no pair is left: their numbers as they finish, sizes, and symbols in a row.
@@ -334,9 +341,9 @@ def worker_model(path: str) -> PieceModel:
     return kept[key]
 
 
-def _with_column(df: DataFrame, source: str, target: str, kind: str, make) -> DataFrame:
-    """``df`` and a column ``target`` of ``make(Arrow array of source)``; a column of that name is replaced."""
-    others = [c for c in df.columns if c != target]
+def _with_column(df: DataFrame, source: str, target: str, kind: str, make, keep: Sequence[str] | None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all by default) and a column ``target``; one of that name is replaced."""
+    others = [c for c in (df.columns if keep is None else keep) if c != target]
     names = [f"_{n}" for n in range(len(others))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)], F.col(f"`{source}`").alias("_in"))
     types_ = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(others, names, strict=True))
@@ -350,19 +357,21 @@ def _with_column(df: DataFrame, source: str, target: str, kind: str, make) -> Da
     return done.select(*[F.col(n).alias(c) for c, n in zip(others, names, strict=True)], F.col("_out").alias(target))
 
 
-def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+def encode_pieces(
+    df: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", keep: Sequence[str] | None = None
+) -> DataFrame:
     """``df`` and its texts' piece ids as ``array<int>``, without begin or end ids.
 
     A null or empty text has an empty array.  Rows are worked on one by one, so
     repeated rows stay and an empty table gives an empty one; all other columns
-    are kept, but for one named ``ids_col``, which is replaced.  Words met before
+    are kept (or those of ``keep``), but for one named ``ids_col``, which is replaced.  Words met before
     are looked up in a bounded cache of the worker; a text of any length is read a
     bounded number of words at a time.
     """
 
     def make(batch: pa.RecordBatch):
         pieces = worker_model(model)
-        step = 1_000
+        step = 200
         for first in range(0, batch.num_rows, step):
             part = batch.slice(first, step)
             found = pieces.encode(part.column(part.num_columns - 1).to_pylist())
@@ -370,10 +379,12 @@ def encode_pieces(df: DataFrame, model: str, text_col: str = "text", ids_col: st
             flat = np.frombuffer(b"".join(found), "<i4").astype(np.int32)
             yield part, pa.ListArray.from_arrays(offsets, pa.array(flat))
 
-    return _with_column(df, text_col, ids_col, "array<int>", make)
+    return _with_column(df, text_col, ids_col, "array<int>", make, keep)
 
 
-def decode_pieces(df: DataFrame, model: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
+def decode_pieces(
+    df: DataFrame, model: str, ids_col: str = "piece_ids", text_col: str = "decoded", keep: Sequence[str] | None = None
+) -> DataFrame:
     """``df`` and the texts of its id arrays; a null array gives a null text, an empty one an empty text.
 
     An id that is null or no piece of the model is an error.  Repeated rows stay, an
@@ -382,7 +393,7 @@ def decode_pieces(df: DataFrame, model: str, ids_col: str = "piece_ids", text_co
 
     def make(batch: pa.RecordBatch):
         pieces = worker_model(model)
-        step = 1_000
+        step = 200
         for first in range(0, batch.num_rows, step):
             part = batch.slice(first, step)
             lists = part.column(part.num_columns - 1)
@@ -392,14 +403,14 @@ def decode_pieces(df: DataFrame, model: str, ids_col: str = "piece_ids", text_co
             ]
             yield part, pa.array(texts, pa.string())
 
-    return _with_column(df, ids_col, text_col, "string", make)
+    return _with_column(df, ids_col, text_col, "string", make, keep)
 
 
 @query("op12_sentencepiece")
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again, with digests of both."""
     model = public_path("piece_bpe_32k.model")
-    ids = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    ids = encode_pieces(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
     return decode_pieces(ids, model).select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_tokens"),
