@@ -54,6 +54,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
+def with_row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` and ``_row``, the id with a key of the text (null without an id): rows that share an id but not the text differ."""
+    key = F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text"))
+    return df.withColumn("_row", F.when(F.col(id_col).isNotNull(), key))
+
+
+def without_rows(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` without the rows whose key stands in the column ``_row`` of ``dropped``."""
+    gone = dropped.select(F.col("_row.id").alias("_gone_id"), F.col("_row.text").alias("_gone_text")).distinct()
+    same = (F.col(f"`{id_col}`") == F.col("_gone_id")) & (text_key(F.col(f"`{text_col}`")) == F.col("_gone_text"))
+    return df.join(gone, same, "left_anti")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -66,4 +84,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "query", "stored", "table", "word_bytes"]
+__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "query", "stored", "table", "text_key", "with_row_key", "without_rows", "word_bytes"]

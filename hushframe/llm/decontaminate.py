@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import query, table, word_bytes
+from hushframe.llm.common import query, table, with_row_key, without_rows, word_bytes
 
 # Items handled in one pass over the documents; a larger benchmark takes several passes.
 ITEMS_AT_ONCE = 256
@@ -296,7 +296,7 @@ def benchmark_blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[
     known = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     block: list[Item] = []
     for row in known.orderBy(F.length("text"), "item_id", "text").toLocalIterator():
-        words = tuple(word_bytes(row["text"].lower()))
+        words = tuple(word_bytes(row["text"]))
         if not words:
             continue
         sizes = [len(words), *(len(item.words) for item in block)]
@@ -335,9 +335,12 @@ def find_leaks(
 def drop_contaminated(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None
 ) -> DataFrame:
-    """``df`` without the documents that hold a benchmark item; rows without an id stay."""
-    leaks = find_leaks(df, benchmark, id_col, text_col, settings).select(id_col).distinct()
-    return df.join(leaks, id_col, "left_anti")
+    """``df`` without the documents that hold a benchmark item; rows without an id stay.
+
+    Rows that share an id but not the text are told apart, so a clean one stays.
+    """
+    keyed = with_row_key(df.select(id_col, text_col), id_col, text_col)
+    return without_rows(df, find_leaks(keyed, benchmark, "_row", text_col, settings), id_col, text_col)
 
 
 @query("op8_decontaminate")

@@ -1,11 +1,13 @@
 """Fuzzy line dedup: candidates by shared word pairs or by SimHash, edit similarity, connected groups.
 
-Equal normalised lines are one node, known by a digest.
+Equal normalised lines are one node, known by a digest; what follows works on one line of each node.
 
 Without a limit on fingerprint bits (``k`` None) every pair of the asked similarity is
 found.  Lines of n and m <= n words within d edits have n - 1 - 2d pairs of neighbouring
 words in common, so in any order of all word pairs they share one of the first few
 (prefix filter).  The order is rarest first by a sample; a poor sample costs time only.
+Lines under a common key are compared by a few bits of their words first, which lie
+apart only as far as the words do.
 
 With ``k``, nodes whose fingerprints agree in all but ``k`` of ``k + 2`` blocks share a key.
 Under each key all nodes are first compared with the key's smallest node; what that and
@@ -25,9 +27,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage, query, stored, table
+from hushframe.llm.common import cut_lineage, query, stored, table, text_key
 from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
+from hushframe.operators.skew import ROWS_PER_SALT, heavy_keys, salted_lookup
 
 LANE = 31
 BITS = 2 * LANE
@@ -36,6 +39,10 @@ SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{
 # Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
 SAMPLE_DOCS = 4_000
 KNOWN_GRAMS = 200_000
+# Lines under one key that are compared with each other at once; of more, only those that heads leave in different groups.
+PAIRWISE_KEY = 256
+# Bits that stand for the words of a line.
+BAG_WORDS = 2
 
 
 def normalised(line: Column) -> Column:
@@ -43,24 +50,8 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}]+", " "))
 
 
-def eligible_lines(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(doc, line, norm, digest)`` of every line with at least ``min_words`` words, in rows with an id.
-
-    Lines are normalised before they become rows, so that it happens once a line
-    whatever the filters after it ask.
-    """
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), normalised)
-    return (
-        df.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("line", "norm"))
-        .filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1)
-        .filter(F.col("norm") != "")
-        .withColumn("digest", F.substring(F.unhex(F.sha2("norm", 256)), 1, 16))
-    )
-
-
 def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, line, norm, digest)`` of every line that is not blank, in rows with an id.
+    """``(doc, line, norm, digest)`` of every line that is not blank, in rows with an id; ``doc`` is (id, key of the text).
 
     Characters of scripts without spaces are words.  A line without letters has an
     empty ``norm`` and the digest of itself.
@@ -72,7 +63,7 @@ def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     return (
         df.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.posexplode(lines).alias("line", "parts"))
+        .select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text")).alias("doc"), F.posexplode(lines).alias("line", "parts"))
         .select("doc", "line", "parts.norm", F.when(F.col("parts.norm") == "", F.col("parts.raw")).alias("raw"))
         .filter(F.col("raw").isNull() | F.col("raw").rlike(r"\S"))
         .withColumn("norm", F.when(F.length("norm") < F.octet_length("norm"), spaced).otherwise(F.col("norm")))
@@ -81,8 +72,8 @@ def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """``(doc, line, digest, fp)``: per bit, whether it is set in over half of the words' hashes (62 bits).
+def with_simhash(nodes: DataFrame) -> DataFrame:
+    """``(node, fp)`` of lines (node, norm): per bit, whether it is set in over half of the words' hashes (62 bits).
 
     Bits ``i`` and ``i + 31`` are counted in one long, in lanes of 31 bits, which hold
     any line of up to half a billion words.  A majority is read off both lanes at once:
@@ -90,17 +81,15 @@ def with_simhash(lines: DataFrame) -> DataFrame:
     more than half of the n words.
     """
     pair = (1 << LANE) | 1
-    words = lines.select("doc", "line", "digest", F.explode(F.split("norm", " ")).alias("word")).select(
-        "doc", "line", "digest", F.xxhash64("word").alias("h")
-    )
-    sums = words.groupBy("doc", "line", "digest").agg(
+    words = nodes.select("node", F.explode(F.split("norm", " ")).alias("word")).select("node", F.xxhash64("word").alias("h"))
+    sums = words.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.expr(f"shiftrightunsigned(h, {bit}) & {pair}L")).alias(f"s{bit}") for bit in range(LANE)],
     )
     top = LANE - 1
     offset = f"({(1 << top) - 1}L - n) * {pair}L"
     parts = [f"shiftleft(shiftrightunsigned(shiftleft(s{bit}, 1) + k, {top}) & {pair}L, {bit})" for bit in range(LANE)]
-    return sums.withColumn("k", F.expr(offset)).select("doc", "line", "digest", F.expr(" | ".join(parts)).alias("fp"))
+    return sums.withColumn("k", F.expr(offset)).select("node", F.expr(" | ".join(parts)).alias("fp"))
 
 
 def block_keys(fp: Column, k: int) -> Column:
@@ -127,19 +116,6 @@ def common_prefix(a: Column, b: Column) -> Column:
     )
 
 
-def word_codes(norm: Column) -> Column:
-    """A string with one character per word, so that edits of it are edits of words.
-
-    The character is a hash of the word in 20 bits, beyond the basic plane: two
-    different words look alike once in a million.
-    """
-    code = F.transform(
-        F.split(norm, " "),
-        lambda word: F.lpad(F.hex(F.pmod(F.xxhash64(word), F.lit(1 << 20)) + F.lit(1 << 16)), 8, "0"),
-    )
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
-
-
 def trimmed_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` (a_text, b_text) with ``a_rest, b_rest`` after the common start and end are cut, and ``longer``."""
     longer = F.greatest(F.length("a_text"), F.length("b_text"))
@@ -193,25 +169,26 @@ def let_through(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def line_codes(asked: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(digest, codes)`` of the lines asked for; only their texts are shuffled."""
-    found = lines.select("digest", "norm")
-    bits = bitmap(asked, F.xxhash64("digest"))
+def line_codes(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, codes)`` of the nodes asked for; only their texts (node, norm) are shuffled."""
+    bits = bitmap(asked, F.xxhash64("node"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pa.array(let_through(bits, batch.column(2).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["digest", "norm"])
+            kept = batch
+            if bits is not None:
+                kept = batch.filter(pa.array(let_through(bits, batch.column(2).to_numpy(zero_copy_only=False))))
+            codes = _word_codes(*word_hashes(kept.column(1))) if kept.num_rows else []
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(codes, pa.string())], names=["node", "codes"])
 
-    if bits is not None:
-        found = found.withColumn("key", F.xxhash64("digest")).mapInArrow(cut, "digest binary, norm string")
-    coded = found.join(asked, "digest", "left_semi").select("digest", word_codes(F.col("norm")).alias("codes"))
-    return coded.groupBy("digest").agg(F.min("codes").alias("codes"))
+    coded = texts.select("node", "norm", F.xxhash64("node").alias("key")).mapInArrow(code, "node long, codes string")
+    return coded.join(asked, "node", "left_semi")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) of digests whose lines are similar enough: 1 - edited words / words of the longer line."""
-    left, right = (texts.select(F.col("digest").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
+    """The pairs (x, y) of nodes whose lines are similar enough: 1 - edited words / words of the longer line."""
+    texts = cut_lineage(texts)
+    left, right = (texts.select(F.col("node").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
     # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = trimmed_pairs(pairs.join(left, "x").join(right, "y").repartition(tasks, "x", "y")).withColumn(
@@ -223,27 +200,70 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     )
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """``similar_pairs`` with the texts of the lines asked for."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``similar_pairs`` with the codes of the lines (node, norm) asked for."""
     pairs = cut_lineage(pairs.distinct())
-    asked = cut_lineage(pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct())
-    return similar_pairs(pairs, cut_lineage(line_codes(asked, lines)), similarity)
+    asked = cut_lineage(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
+    return similar_pairs(pairs, line_codes(asked, texts), similarity)
+
+
+def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some lines (words between single spaces), and the number of words of each line."""
+    lines = lines.cast(pa.large_binary())
+    _, offsets, data = lines.buffers()
+    ends = np.frombuffer(offsets, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    filled = ends[1:] > ends[:-1]
+    if not filled.any():
+        return np.zeros(0, np.uint64), np.zeros(len(lines), np.int64)
+    spaces = np.flatnonzero(raw == 32)
+    starts = np.sort(np.concatenate([ends[:-1][filled], spaces + 1]))
+    sizes = np.diff(np.searchsorted(starts, ends))
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    powers = np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    values = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(31)
+    values *= np.multiply.accumulate(powers)[place]
+    values[spaces] = 0
+    hashes = np.add.reduceat(values, starts)
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return hashes ^ (hashes >> np.uint64(31)), sizes
+
+
+def grams_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of every pair of neighbouring words."""
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    inside = line[1:] == line[:-1]
+    grams = (words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams ^= grams >> np.uint64(29)
+    return line[:-1][inside], grams[inside]
 
 
-def word_hashes(norm: Column) -> Column:
-    """The hash of each word."""
-    return F.transform(F.split(norm, " "), lambda word: F.xxhash64(word))
+def bags_of(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each line ``BAG_WORDS`` longs of bits, one bit per word: a word that two lines share sets it in both."""
+    bags = np.zeros((BAG_WORDS, len(sizes)), np.int64)
+    filled = sizes > 0
+    if filled.any():
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        at = words >> np.uint64(58)
+        own = (words >> np.uint64(40)) % np.uint64(BAG_WORDS)
+        for part in range(BAG_WORDS):
+            bits = np.where(own == part, np.uint64(1) << at, np.uint64(0))
+            bags[part, filled] = np.bitwise_or.reduceat(bits, starts).view(np.int64)
+    return bags
 
 
-def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of words of each line (a list of word hashes), and line and hash of every pair of neighbouring words."""
-    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    sizes = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    inside = line[1:] == line[:-1]
-    grams = (flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    grams ^= grams >> np.uint64(29)
-    return sizes, line[:-1][inside], grams[inside]
+def _word_codes(words: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """For each line a string with one character per word, so that edits of it are edits of words.
+
+    The character is a hash of the word in 20 bits, beyond the basic plane: two
+    different words look alike once in a million.
+    """
+    text = ((words >> np.uint64(44)) + np.uint64(1 << 16)).astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.cumsum(sizes).tolist()
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def prefix_size(n_words: int, similarity: float) -> int:
@@ -262,169 +282,213 @@ def common_grams(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, n = np.unique(grams_of(batch.column(0))[2], return_counts=True)
+            grams, n = np.unique(grams_of(*word_hashes(batch.column(0)))[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     n_docs = df.count()
     some = df.sample(min(1.0, SAMPLE_DOCS / n_docs), 1) if n_docs else df
-    words = every_line(some, id_col, text_col).select(word_hashes(F.col("norm")).alias("words"))
-    counted = words.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    lines = every_line(some, id_col, text_col).select("norm")
+    counted = lines.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     rows = counted.orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
     grams, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
     order = np.argsort(grams.view(np.uint64))
     return grams.view(np.uint64)[order], n[order]
 
 
-def with_grams(lines: DataFrame, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float) -> DataFrame:
-    """``(doc, line, digest, size, keys)``: the words of each line, and its first word pairs, rarest first, as keys.
+def prefix_keys(
+    words: np.ndarray, sizes: np.ndarray, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Line and key of each line's first word pairs, rarest first; lines of fewer than ``min_words`` words have none."""
+    line, grams = grams_of(words, sizes)
+    # A pair that stands in a line again is another one.
+    order = np.lexsort((grams, line))
+    line, grams = line[order], grams[order]
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])])[: len(grams)]
+    heads = np.flatnonzero(new)
+    again = np.arange(len(grams)) - np.repeat(heads, np.diff(np.append(heads, len(grams))))
+    count = np.zeros(len(grams), np.int64)
+    if len(known[0]):
+        at = np.minimum(np.searchsorted(known[0], grams), len(known[0]) - 1)
+        count = np.where(known[0][at] == grams, known[1][at], 0)
+    keys = (grams + again.astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
+    keys ^= keys >> np.uint64(32)
+    order = np.lexsort((keys, count, line))
+    line, keys = line[order], keys[order]
+    per_line = np.bincount(line, minlength=len(sizes))
+    place = np.arange(len(line)) - np.repeat(np.cumsum(per_line) - per_line, per_line)
+    lengths, of = np.unique(sizes, return_inverse=True)
+    most = np.array([prefix_size(int(n), similarity) if n >= min_words else 0 for n in lengths], np.int64)[of]
+    kept = place < most[line]
+    return line[kept], keys[kept].view(np.int64)
+
+
+def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, norm) that connect what all similar pairs would."""
+    texts = nodes.select("node", "norm").filter(F.col("norm") != "")
+
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, keys = prefix_keys(*word_hashes(batch.column(0)), known, min_words, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
-    Lines of fewer than ``min_words`` words have no keys.
-    """
+    counts = texts.select("norm").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(counts.filter(F.col("n") > 1))
+    bits = bitmap(repeated.select("key"), F.col("key"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, line, grams = grams_of(batch.column(3))
-            # A pair that stands in a line again is another one.
-            order = np.lexsort((grams, line))
-            line, grams = line[order], grams[order]
-            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])])[: len(grams)]
-            heads = np.flatnonzero(new)
-            again = np.arange(len(grams)) - np.repeat(heads, np.diff(np.append(heads, len(grams))))
-            count = np.zeros(len(grams), np.int64)
-            if len(known[0]):
-                at = np.minimum(np.searchsorted(known[0], grams), len(known[0]) - 1)
-                count = np.where(known[0][at] == grams, known[1][at], 0)
-            keys = (grams + again.astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
-            keys ^= keys >> np.uint64(32)
-            order = np.lexsort((keys, count, line))
-            line, keys = line[order], keys[order]
-            per_line = np.bincount(line, minlength=len(sizes))
-            place = np.arange(len(line)) - np.repeat(np.cumsum(per_line) - per_line, per_line)
-            lengths, of = np.unique(sizes, return_inverse=True)
-            most = np.array([prefix_size(int(n), similarity) if n >= min_words else 0 for n in lengths], np.int64)[of]
-            kept = place < most[line]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[kept], minlength=len(sizes)))]).astype(np.int32)
+            words, sizes = word_hashes(batch.column(1))
+            line, keys = prefix_keys(words, sizes, known, min_words, similarity)
+            if bits is not None:
+                kept = let_through(bits, keys)
+                line, keys = line[kept], keys[kept]
+            bags = bags_of(words, sizes)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(sizes),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys[kept].view(np.int64))),
-                ],
-                names=["doc", "line", "digest", "size", "keys"],
+                [batch.column(0).take(pa.array(line)), pa.array(keys), pa.array(sizes[line].astype(np.int32)), *[pa.array(b[line]) for b in bags]],
+                names=["node", "key", "size", *[f"bag{n}" for n in range(BAG_WORDS)]],
             )
 
-    id_type = lines.schema["doc"].dataType.simpleString()
-    return lines.select("doc", "line", "digest", word_hashes(F.col("norm")).alias("words")).mapInArrow(
-        cut, f"doc {id_type}, line int, digest binary, size long, keys array<long>"
+    bag_names = [f"bag{n}" for n in range(BAG_WORDS)]
+    # A key that the bits let through by chance stands alone and makes no pair.
+    shared = stored(
+        texts.mapInArrow(members, "node long, key long, size int, " + ", ".join(f"{b} long" for b in bag_names)), "line-keys"
     )
 
-
-def similar_links(seen: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between digests of ``seen`` (digest, size, keys) that connect what all similar pairs would."""
-    points = seen.select("digest", "size", F.explode("keys").alias("key"))
-    repeated = cut_lineage(points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key"))
-    bits = bitmap(repeated, F.col("key"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            n_keys = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            kept = let_through(bits, keys)
-            of = pa.array(np.repeat(np.arange(batch.num_rows), n_keys)[kept])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept])], names=["digest", "size", "key"]
-            )
-
-    if bits is not None:
-        points = seen.select("digest", "size", "keys").mapInArrow(cut, "digest binary, size long, key long")
-    members = cut_lineage(points.join(repeated, "key").distinct())
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
-    shared = stored(members.join(several, "key"), "line-keys")
-    texts = stored(line_codes(cut_lineage(shared.select("digest").distinct()), lines), "line-codes")
+    def may_be_similar(a: str, b: str) -> Column:
+        longer = F.greatest(f"{a}size", f"{b}size")
+        allowed = F.floor(longer * (1 - similarity) + 1e-9)
+        left, right = (
+            sum((F.bit_count(F.col(x + bag).bitwiseAND(F.bitwise_not(F.col(y + bag)))) for bag in bag_names), F.lit(0))
+            for x, y in ((a, b), (b, a))
+        )
+        # Each word of one line that the other has not is an edit of its own.
+        return (F.abs(F.col(f"{a}size") - F.col(f"{b}size")) <= allowed) & (left <= allowed) & (right <= allowed)
+
+    def sided(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", *bag_names)])
+
+    crowded = repeated.filter(F.col("n") > PAIRWISE_KEY).select("key")
+    usual = shared.join(crowded, "key", "left_anti")
+    close = sided(usual, "a").join(sided(usual, "b"), "key").filter((F.col("a_node") > F.col("b_node")) & may_be_similar("a_", "b_"))
+    pairs = cut_lineage(close.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")).distinct())
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        return cut_lineage(similar_pairs(pairs, line_codes(cut_lineage(asked), texts), similarity))
+
+    links = decided(pairs)
+    if crowded.isEmpty():
+        return links
+    bag = F.struct(*bag_names).alias("bag")
+    many = stored(shared.join(crowded, "key", "left_semi").select("key", F.col("node").alias("digest"), F.struct("size", bag).alias("size")), "line-crowds")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        longer = F.greatest("a_size", "b_size")
-        fits = F.abs(F.col("a_size") - F.col("b_size")) <= F.floor(longer * (1 - similarity) + 1e-9)
-        pairs = cut_lineage(pairs.filter(fits).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
-        return cut_lineage(similar_pairs(pairs, texts, similarity))
+        flat = pairs.select(
+            F.col("a").alias("x"), F.col("b").alias("y"),
+            *[F.col(f"{c}_size.size").alias(f"{c}_size") for c in "ab"], *[F.col(f"{c}_size.bag.{b}").alias(f"{c}_{b}") for c in "ab" for b in bag_names],
+        )
+        return decided(cut_lineage(flat.filter(may_be_similar("a_", "b_")).select("x", "y").distinct()))
 
-    return links_under_keys(shared, verified)
+    return links.union(links_under_keys(many, verified))
 
 
-def fuzzy_links(nodes: DataFrame, lines: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Links (a, b) between digests of ``nodes`` (digest, fp) that connect what all similar pairs would."""
-    points = nodes.select("digest", "fp", F.explode(block_keys(F.col("fp"), k)).alias("key"))
+def fuzzy_links(nodes: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, fp) that connect what all similar pairs would."""
+    points = nodes.select("node", "fp", F.explode(block_keys(F.col("fp"), k)).alias("key"))
     repeated = cut_lineage(points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
     shared = stored(prefiltered(points, repeated, "key").join(repeated, "key"), "line-keys")
 
     def near(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
 
-    heads = shared.groupBy("key").agg(F.min(F.struct("digest", "fp")).alias("head"))
+    heads = shared.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"))
     first = (
         shared.join(heads, "key")
-        .filter((F.col("digest") != F.col("head.digest")) & near("fp", "head.fp"))
-        .select(F.col("digest").alias("x"), F.col("head.digest").alias("y"))
+        .filter((F.col("node") != F.col("head.node")) & near("fp", "head.fp"))
+        .select(F.col("node").alias("x"), F.col("head.node").alias("y"))
     )
-    links = cut_lineage(verified(first, lines, similarity))
-    joined = components(links)
-    crowded = shared.filter(F.col("n") > 2).join(joined, shared["digest"] == joined["node"], "left").select(
-        "key", "digest", "fp", F.coalesce("root", "digest").alias("group")
+    links = cut_lineage(verified(first, texts, similarity))
+    joined = components(links).withColumnRenamed("node", "root_of")
+    crowded = shared.filter(F.col("n") > 2).join(joined, shared["node"] == joined["root_of"], "left").select(
+        "key", "node", "fp", F.coalesce("root", "node").alias("group")
     )
     crowded = cut_lineage(crowded)
     split = crowded.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    left, right = (crowded.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("digest", "fp", "group")]) for s in "ab")
+    left, right = (crowded.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "group")]) for s in "ab")
     second = (
         left.join(split.select("key"), "key", "left_semi").join(right, "key")
         .filter((F.col("a_group") > F.col("b_group")) & near("a_fp", "b_fp"))
-        .select(F.col("a_digest").alias("x"), F.col("b_digest").alias("y"))
+        .select(F.col("a_node").alias("x"), F.col("b_node").alias("y"))
     )
-    return links.union(verified(second, lines, similarity))
+    return links.union(verified(second, texts, similarity))
+
+
+def line_nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, digest, first, n, norm)``: every different line once, with its first occurrence (doc, line) and their number.
+
+    Occurrences are combined before the shuffle, so a line that stands in every
+    document is a few rows of each task.
+    """
+    lines = every_line(df, id_col, text_col)
+    found = lines.groupBy("digest").agg(
+        F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("norm")
+    )
+    return stored(found.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "n", "norm"), "line-nodes")
 
 
 def repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int | None = 2, similarity: float = 0.8
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = 5,
+    k: int | None = None,
+    similarity: float = 0.8,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """``(doc, line, keep_doc, keep_line)``: every line to remove, with the occurrence of its group that stays.
 
-    Lines are numbered from 0 and end at line feeds.  The occurrence with the
-    smallest (id, line) stays.  Similar lines are linked if their fingerprints
-    are within ``k`` bits.  With None they are linked whatever their fingerprints,
-    and lines that are not blank but have fewer than ``min_words`` words go if they
-    are equal: once normalised, or, without letters, as they are.  With ``k`` lines of
-    fewer than ``min_words`` words take no part.  Rows without an id never do.  Rows
-    repeated with one id count as one document.
+    ``doc`` and ``keep_doc`` are (``id``, ``text``): the row's id and a key of its text, so
+    rows that share an id but not the text are documents of their own; rows
+    repeated with id and text count as one.  Lines are numbered from 0 and end at line
+    feeds.  The occurrence with the smallest (doc, line) stays.
+
+    Lines that are not blank go if they are equal: once normalised, or, without
+    letters, as they are.  Of ``min_words`` words on they also go if they are similar:
+    edits of words over the words of the longer line are at most 1 - ``similarity``.  All
+    such pairs are linked, or, with ``k``, those whose fingerprints are within ``k`` bits.
+    Rows without an id take no part.
     """
-    node = [F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")]
+    nodes = line_nodes(df, id_col, text_col)
+    texts = nodes.select("node", "norm").filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1)
     if k is None:
-        lines = every_line(df, id_col, text_col)
-        seen = stored(with_grams(lines, common_grams(df, id_col, text_col), min_words, similarity), "lines")
-        nodes = stored(seen.groupBy("digest").agg(*node), "line-nodes")
-        links = similar_links(seen, lines, similarity)
+        links = similar_links(texts, common_grams(df, id_col, text_col), min_words, similarity)
     else:
-        lines = eligible_lines(df, id_col, text_col, min_words)
-        seen = stored(with_simhash(lines), "lines")
-        nodes = stored(seen.groupBy("digest").agg(F.min("fp").alias("fp"), *node), "line-nodes")
-        links = fuzzy_links(nodes.select("digest", "fp"), lines, k, similarity)
-    groups = components(links)
+        long_enough = texts.filter(F.col("norm") != "")
+        links = fuzzy_links(cut_lineage(with_simhash(long_enough)), long_enough, k, similarity)
+    groups = components(links).withColumnRenamed("node", "member")
     grouped = cut_lineage(
-        nodes.join(groups, nodes["digest"] == groups["node"], "left")
+        nodes.select("node", "digest", "first", "n").join(groups, F.col("node") == F.col("member"), "left")
         .filter((F.col("n") > 1) | F.col("root").isNotNull())
-        .select("digest", "first", F.coalesce("root", "digest").alias("group"))
+        .select("digest", "first", "n", F.coalesce("root", "node").alias("group"))
     )
     keep = grouped.groupBy("group").agg(F.min("first").alias("keep"))
+    labels = grouped.join(keep, "group").select("digest", "keep")
+    lines = every_line(df, id_col, text_col).select("doc", "line", "digest")
+    frequent = heavy_keys(grouped, ["digest"], "n", rows_per_salt)
     return (
-        seen.select("doc", "line", "digest").join(grouped.join(keep, "group").select("digest", "keep"), "digest")
+        salted_lookup(lines, labels, ["digest"], frequent, ["digest"], ["doc", "line"], "inner")
         .filter(F.struct("doc", "line") != F.col("keep"))
         .select("doc", "line", F.col("keep.doc").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
     )
 
 
 def drop_repeated_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int | None = 2, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, k: int | None = None, similarity: float = 0.8
 ) -> DataFrame:
     """``df`` without the repeated lines; a document that loses all its lines goes as well.
 
-    Other columns stay as they are.  Texts that lose nothing are unchanged, null and empty ones too.
+    Other columns stay as they are.  Texts that lose nothing are unchanged, null and
+    empty ones too, and rows without an id.  No text goes because another has its id.
     """
     gone = (
         repeated_lines(df, id_col, text_col, min_words, k, similarity)
@@ -435,9 +499,10 @@ def drop_repeated_lines(
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
         F.col(id_col).alias("id"),
+        text_key(F.col(text_col)).alias("text"),
         F.split(F.col(text_col), "\n", -1).alias("parts"),
     )
-    joined = rows.join(gone, rows["id"] == gone["doc"], "left")
+    joined = rows.join(gone, (rows["id"] == gone["doc.id"]) & (rows["text"] == gone["doc.text"]), "left")
     every = F.sequence(F.lit(0), F.size("parts") - 1)
     left = joined.select("row", "parts", F.when(F.col("_gone").isNotNull(), F.array_except(every, F.col("_gone"))).alias("kept"))
     kept = F.transform("kept", lambda i: F.get(F.col("parts"), i))
@@ -450,6 +515,6 @@ def drop_repeated_lines(
 @query("op4_line_dedup")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every repeated line of the documents, with the occurrence that stays for it."""
-    return repeated_lines(table(spark, sf_dir, "documents"), k=None).select(
-        F.col("doc").alias("doc_id"), "line", F.col("keep_doc").alias("keep_doc_id"), "keep_line"
+    return repeated_lines(table(spark, sf_dir, "documents")).select(
+        F.col("doc.id").alias("doc_id"), "line", F.col("keep_doc.id").alias("keep_doc_id"), "keep_line"
     )

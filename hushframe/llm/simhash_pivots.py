@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage, query, stored, table
+from hushframe.llm.common import cut_lineage, query, stored, table, with_row_key, without_rows
 from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.line_dedup import prefiltered
 
@@ -184,10 +184,14 @@ def near_duplicates(
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, k: int = 2) -> DataFrame:
-    """``df`` with the row of the smallest id of each component; rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col, shingle, k)
-    dropped = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return df.join(dropped, id_col, "left_anti")
+    """``df`` with the row of the smallest id of each component; rows without an id stay.
+
+    Rows that share an id but not the text are told apart; rows repeated with id and text
+    stay or go together.
+    """
+    rows = with_row_key(df.select(id_col, text_col), id_col, text_col).filter(F.col("_row").isNotNull())
+    found = near_duplicates(rows, "_row", text_col, shingle, k)
+    return without_rows(df, found.filter(F.col("component_id") != F.col("_row")), id_col, text_col)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -251,7 +255,8 @@ def sets_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
                     names=["digest", "hashes"],
                 )
 
-    texts = prefiltered(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), nodes, "id")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("_key"))
+    texts = prefiltered(texts, nodes.withColumn("_key", F.xxhash64("id")), "_key").drop("_key")
     asked = nodes.join(texts, "id").select("digest", "text")
     return asked.mapInArrow(hashed, "digest binary, hashes array<long>").dropDuplicates(["digest"])
 
@@ -289,21 +294,23 @@ def keep_first_similar(
     average, often in more than 15, and blocks short enough for that fit any text.  So
     candidates share the smallest shingle hashes in one of 24 bands of 4, which a pair
     at 0.8 misses 3 times in a million, and the sets themselves decide.  Equal sets
-    (texts without words, too) are one node; rows without an id stay.
+    (texts without words, too) are one node; rows without an id stay.  Rows that share
+    an id but not the text are told apart; rows repeated with id and text stay or go together.
     """
-    rows = cut_lineage(shingle_sets(df, id_col, text_col, shingle).filter(F.col("id").isNotNull()))
+    keyed = with_row_key(df.select(id_col, text_col), id_col, text_col).filter(F.col("_row").isNotNull())
+    rows = cut_lineage(shingle_sets(keyed, "_row", text_col, shingle))
     nodes = cut_lineage(
         rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     )
-    roots = components(similar_links(nodes, df, id_col, text_col, shingle, similarity))
+    roots = components(similar_links(nodes, keyed, "_row", text_col, shingle, similarity))
     grouped = cut_lineage(
         nodes.join(roots, nodes["digest"] == roots["node"], "left")
         .select("digest", "id", F.coalesce("root", "digest").alias("group"))
     )
     keep = grouped.groupBy("group").agg(F.min("id").alias("keep"))
     labels = grouped.join(keep, "group").select("digest", "keep")
-    dropped = rows.join(labels, "digest").filter(F.col("id") != F.col("keep")).select(F.col("id").alias(id_col)).distinct()
-    return df.join(dropped, id_col, "left_anti")
+    dropped = rows.join(labels, "digest").filter(F.col("id") != F.col("keep")).select(F.col("id").alias("_row"))
+    return without_rows(df, dropped, id_col, text_col)
 
 
 @query("op3_simhash_pivots")

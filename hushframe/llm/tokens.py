@@ -31,6 +31,8 @@ def public_path(name: str) -> str:
 
 # An optional leading space and letters that lower-casing and normal form C map one to one.
 PLAIN_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+# The same with the marks after it: most of what is met for the first time.
+PLAIN_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$#&]*)\Z")
 # The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [byte for byte in range(256) if byte not in _PRINTABLE]
@@ -52,8 +54,9 @@ class ChunkEncoder:
     ``word_ends``: the vocabulary drops white space, so any space cuts.  Otherwise
     (byte-level) a text is cut before each single space between two characters
     that are no white space, where a new piece always begins, and around a single
-    line end between two such characters, which is a piece of its own.  The
-    strings of special tokens in a text are ordinary text.
+    line end between two such characters, which is a piece of its own.  A text that
+    holds the string of a special token goes to the library as it is, which gives
+    that token for it.
 
     The cache holds, per chunk between two spaces, the ids it has after a space;
     under ``" " + part``, those of a part that no space precedes.
@@ -64,23 +67,26 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_ends = word_ends
         self.end = b"" if end_id is None else packed([end_id])
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _word(self, key: str) -> bytes:
+        """Ids of a plain word: it is one piece, so it can go to the model without the cutting."""
+        word = key.lower() if self.word_ends else key if key[0] == " " else " " + key
+        if key[0] == " ":
+            word = word[1:]
+        return packed([token.id for token in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))])
+
     def _encode(self, keys: set[str]) -> None:
-        """Tokenise what is new; a plain word is one piece, so it can go to the model without the cutting."""
-        lead, cache, model = "" if self.word_ends else " ", self.cache, self.tokenizer.model
+        """Tokenise what is new."""
+        lead, cache = "" if self.word_ends else " ", self.cache
         rest = []
         for key in keys:
             if PLAIN_WORD.match(key):
-                word = key.lower() if self.word_ends else key if key[0] == " " else " " + key
-                if key[0] == " ":
-                    word = word[1:]
-                ids = [token.id for token in model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
-                cache[key] = packed(ids)
+                cache[key] = self._word(key)
             else:
                 rest.append(key)
         for at in range(0, len(rest), MISSES_AT_ONCE):
@@ -114,10 +120,21 @@ class ChunkEncoder:
         cache, older = self.cache, self.older
         parts = {}
         for key in missing:
-            if key in older:
-                cache[key] = older[key]
-            else:
-                parts[key] = self._parts(key)
+            ids = older.get(key)
+            if ids is None:
+                match = PLAIN_WORD_AND_MARKS.match(key)
+                if match is None:
+                    parts[key] = self._parts(key)
+                    continue
+                word, marks = match.groups()
+                ids = cache.get(word) or older.get(word) or self._word(word)
+                if marks:
+                    cache[word] = ids
+                    marks = " " + marks
+                    if marks not in cache:
+                        self._encode({marks})
+                    ids += cache[marks]
+            cache[key] = ids
         self._encode({part for found in parts.values() for part in found if part not in cache})
         for key, found in parts.items():
             if len(found) != 1 or found[0] != key:
@@ -149,6 +166,8 @@ class ChunkEncoder:
         """The ids of a whole text (null: empty) and the end id."""
         if not text:
             return self.end
+        if any(special in text for special in self.special):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
         chunks = text.split(" ")
         if self.word_ends:
             return self._look_up([chunk for chunk in chunks if chunk]) + self.end

@@ -250,3 +250,20 @@ def test_cells_are_bounded_by_their_blocks(spark):
     found = divergence_cube.source_divergence(df, min_docs=1, group_block=8, term_block=16)
     assert found.filter("part = 'pair'").count() == 40 * 39
     assert found.filter(F.col("value") < 0).count() == 0
+
+
+# ---- rows that share an id
+
+
+def test_near_dedup_and_decontamination_lose_no_text_of_a_shared_id(spark):
+    from hushframe.llm import decontaminate, simhash_pivots
+
+    rng = random.Random(9)
+    names = ["".join(rng.choice("bcdfglmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    a, b, leak = (" ".join(rng.choices(names, k=60)) for _ in range(3))
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (3, b + " " + leak, 3), (3, a[::-1], 4), (None, a, 5), (4, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row_no int").repartition(3)
+    for kept in (simhash_pivots.keep_first_similar(df), simhash_pivots.keep_first(df)):
+        assert sorted(r["_row_no"] for r in kept.collect()) == [0, 2, 3, 4, 5, 6]
+    items = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    assert sorted(r["_row_no"] for r in decontaminate.drop_contaminated(df, items).collect()) == [0, 1, 2, 4, 5, 6]

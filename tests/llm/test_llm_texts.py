@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -31,12 +32,15 @@ def test_chunks_give_the_tokenizers_ids(monkeypatch, name, word_ends, cache):
     monkeypatch.setattr(tokens_module, "CACHE_CHUNKS", cache)
     encoder = ChunkEncoder(public_path(name), word_ends)
     plain = Tokenizer.from_file(public_path(name))
-    plain.encode_special_tokens = True
     draw = random.Random(2)
     texts = ODD + ["".join(draw.choice("ab é.,'s\n\t 1²|Σ\u0301") for _ in range(draw.randint(1, 40))) for _ in range(1500)]
     for text in texts:
         ids = plain.encode(text, add_special_tokens=False).ids + [0]
         assert encoder.ids(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    for text in ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>z", "<|endof text|>", *texts[::-1]]:
+        ids = plain.encode(text, add_special_tokens=False).ids + [0]
+        assert encoder.ids(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [49407 if word_ends else 50256]
 
 
 # ---- packing
@@ -234,10 +238,47 @@ def test_lines_exact_fuzzy_and_short(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
     got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
     assert got[1] == rows[0][1]
-    assert got[2] == "short one\nown line with enough words here"
+    assert got[2] == "own line with enough words here"
     assert 3 not in got and 6 not in got  # nothing is left of them
     assert got[4] is None and got[5] == "" and got[None] == rows[5][1] and got[7] == "\n\n"
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
+    assert line_dedup.drop_repeated_lines(df.limit(0), k=2).count() == 0
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a, b = "first line of five words", "another line with other words here"
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (2, b, 3), (2, None, 4), (2, a + "\n" + b, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    # The repeated row counts as one document, and both stay; only one text keeps each line.
+    left = sorted((r.row, r.text) for r in line_dedup.drop_repeated_lines(df).collect())
+    kept = [text for _, text in left if text]
+    assert (0, a) in left and (4, None) in left and sum(b in text.split("\n") for text in kept) >= 1
+    assert {line for text in kept for line in text.split("\n")} == {a, b}
+
+
+@pytest.mark.parametrize("pairwise", [1, 256])
+def test_crowded_keys_give_the_same_links(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(line_dedup, "PAIRWISE_KEY", pairwise)
+    monkeypatch.setattr(line_dedup, "KNOWN_GRAMS", 0)
+    draw = random.Random(5)
+    names = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    lines = ["all rights are reserved by " + " ".join(draw.choice(names) for _ in range(draw.choice([1, 1, 2, 8]))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    want = sorted((i, r) for i, r in enumerate(similar_roots(lines)) if i != r)
+    assert sorted((r.doc.id, r.keep_doc.id) for r in line_dedup.repeated_lines(df, rows_per_salt=2).collect()) == want
+
+
+def test_bags_never_part_similar_lines():
+    draw = random.Random(8)
+    names = [f"w{n}" for n in range(300)]
+    for _ in range(300):
+        a = [draw.choice(names) for _ in range(draw.randint(1, 90))]
+        b = [w for w in a if draw.random() > 0.1] or a
+        b += [draw.choice(names) for _ in range(draw.randint(0, 5))]
+        bags = line_dedup.bags_of(*line_dedup.word_hashes(pa.array([" ".join(a), " ".join(b)])))
+        for x, y, own, other in ((0, 1, a, b), (1, 0, b, a)):
+            apart = sum(int(np.bitwise_count((bag[x] & ~bag[y]).astype(np.uint64))) for bag in bags)
+            assert apart <= sum(w not in other for w in own)
 
 
 def test_line_groups_against_all_pairs(spark):
@@ -252,8 +293,10 @@ def test_line_groups_against_all_pairs(spark):
                 changed[draw.randrange(150)] = draw.choice(words)
             lines.append(" ".join(changed))
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    seen = line_dedup.with_simhash(line_dedup.eligible_lines(df, "doc_id", "text", 5)).collect()
-    prints = {r.doc: r.fp for r in seen}
+    nodes = line_dedup.line_nodes(df, "doc_id", "text")
+    found = {r.node: r.fp for r in line_dedup.with_simhash(nodes).collect()}
+    by_norm = {r.norm: found[r.node] for r in nodes.collect()}
+    prints = [by_norm[line] for line in lines]
     for i, line in enumerate(lines[:20]):
         hashes = [xxhash.xxh64_intdigest(word, 42) for word in line.split()]
         assert prints[i] == sum(1 << b for b in range(62) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
@@ -279,7 +322,7 @@ def test_line_groups_against_all_pairs(spark):
             if near and distance(lines[a].split(), lines[b].split()) <= 0.2 * 150:
                 root[max(find(a), find(b))] = min(find(a), find(b))
     want = sorted((i, find(i)) for i in range(len(lines)) if find(i) != i)
-    got = sorted((r.doc, r.keep_doc) for r in line_dedup.repeated_lines(df).collect())
+    got = sorted((r.doc.id, r.keep_doc.id) for r in line_dedup.repeated_lines(df, k=2).collect())
     assert got == want and want
 
 
@@ -292,9 +335,9 @@ def test_short_lines_and_scripts_without_spaces(spark):
     ]
     rows = [(1, "\n".join(first)), (2, "\n".join(second)), (None, "Read more")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r.doc, r.line, r.keep_doc, r.keep_line) for r in line_dedup.repeated_lines(df, k=None).collect()}
+    found = {(r.doc.id, r.line, r.keep_doc.id, r.keep_line) for r in line_dedup.repeated_lines(df).collect()}
     assert found == {(2, at, 1, at) for at in (0, 1, 2, 3, 4, 5, 9)}
-    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, k=None).collect()}
+    left = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df).collect()}
     assert left == {1: rows[0][1], 2: "\n  \none two three five\n4-3\nhao 你好 hao", None: "Read more"}
 
 
@@ -345,9 +388,9 @@ def test_similar_lines_against_all_pairs(spark, monkeypatch, known):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
     roots = similar_roots(lines)
     want = sorted((i, r) for i, r in enumerate(roots) if i != r)
-    assert sorted((r.doc, r.keep_doc) for r in line_dedup.repeated_lines(df, k=None).collect()) == want
+    assert sorted((r.doc.id, r.keep_doc.id) for r in line_dedup.repeated_lines(df).collect()) == want
     # Two bits find few of them.
-    assert line_dedup.repeated_lines(df).count() < len(want) * 0.8
+    assert line_dedup.repeated_lines(df, k=2).count() < len(want) * 0.8
 
 
 # ---- decontamination
