@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe.functions.ambiguity import bounded_groups, too_ambiguous
 from hushframe.functions.catalog import TEMPLATE_EXCLUSIONS, TEMPLATE_RULE, Rule, valid_label
 
 RULE_FILE_SCHEMA = T.StructType([
@@ -45,34 +46,6 @@ _LINE_LOCAL = re.compile(
 )
 
 
-def nested_repeat(pattern: str) -> bool:
-    """Whether an endless repeat stands inside another one, which can take exponential time."""
-    endless = re.compile(r"[+*]|\{\d+,\}")
-    inside = [False]
-    at = 0
-    while at < len(pattern):
-        char = pattern[at]
-        if char == "\\":
-            at += 2
-            continue
-        if char == "[":
-            closing = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(pattern, at)
-            at = closing.end() if closing else at + 1
-            continue
-        if char == "(":
-            inside.append(False)
-        elif char == ")" and len(inside) > 1:
-            repeated = endless.match(pattern, at + 1) is not None
-            had = inside.pop()
-            if had and repeated:
-                return True
-            inside[-1] |= had or repeated
-        elif endless.match(pattern, at):
-            inside[-1] = True
-        at += 1
-    return False
-
-
 def normalise_rules(raw: DataFrame) -> DataFrame:
     """``pattern`` else ``regex``; upper-case ``label`` else ``category`` else ``CUSTOM``.
 
@@ -95,13 +68,19 @@ def read_rule_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def rejection(spark: SparkSession, pattern: str) -> str | None:
     """Why a custom pattern cannot be used, or None."""
-    if nested_repeat(pattern):
-        return "nested_repeat"
+    ambiguous = too_ambiguous(pattern)
+    if ambiguous:
+        return "ambiguous_repeat"
+    if bounded_groups(pattern) is None:
+        return "deep_repeat"
     try:
         if _matches_empty(spark, pattern):
             return "matches_empty"
     except PySparkException:
         return "invalid_regex"
+    if ambiguous is None:
+        # Java can read it, but nothing is known about the time it takes.
+        return "unreadable_regex"
     try:
         return "matches_empty" if _matches_empty(spark, _ZERO_WIDTH.sub("", pattern)) else None
     except PySparkException:
@@ -121,7 +100,8 @@ def check_rules(
 ) -> tuple[list[Rule], list[dict[str, str]]]:
     """Turn ``{"pattern", "label"}`` entries into rules, in order; unusable ones come back with a reason.
 
-    A bad rule never fails the job.  Rule lists are configuration, so they live on the driver.
+    A bad rule never fails the job: what could take too long is rejected, and endless
+    repeats of groups are limited (see ``ambiguity``).  Rule lists are configuration, so they live on the driver.
     """
     accepted: list[Rule] = []
     rejected: list[dict[str, str]] = []
@@ -135,7 +115,7 @@ def check_rules(
             rejected.append({"pattern": pattern, "label": label, "reason": reason})
             continue
         local = _LINE_LOCAL.fullmatch(pattern) is not None
-        accepted.append(Rule(f"custom_{i}", label, pattern, _FIRST_PRIORITY + i, profile="custom", line_local=local))
+        accepted.append(Rule(f"custom_{i}", label, bounded_groups(pattern) or pattern, _FIRST_PRIORITY + i, profile="custom", line_local=local))
     return accepted, rejected
 
 

@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.functions.catalog import Rule
+from hushframe.functions.ambiguity import bounded_groups, too_ambiguous
+from hushframe.functions import columns
+from hushframe.functions.catalog import PROFILES, Rule, base_rules, pack_rules, rules_for
 from hushframe.operators import detect, mask, report, reveal, vault
 from hushframe.sources import rulebook
 
@@ -73,7 +75,7 @@ def test_rule_checks(spark):
         {"pattern": r"(?:[a-z]+\.){2}[a-z]+", "label": "dotted"}, {"pattern": r"((a+))+b", "label": "slow"},
         {"pattern": r"[\x0a]z", "label": "crossing"}, {"pattern": r"q\P{L}q", "label": "crossing"}, {"pattern": r"k\d+", "label": "key"},
     ])
-    assert [r["reason"] for r in rejected] == ["invalid_label"] * 3 + ["nested_repeat"]
+    assert [r["reason"] for r in rejected] == ["invalid_label"] * 3 + ["ambiguous_repeat"]
     assert [(r.entity_type, r.line_local) for r in accepted] == [("DOTTED", True), ("CROSSING", False), ("CROSSING", False), ("KEY", True)]
     with pytest.raises(ValueError):
         Rule("x", "A B", "a", 0)
@@ -154,3 +156,37 @@ def test_columns_share_one_numbering(spark):
     rows = mask.mask_columns(df, ["x", "y", "z"]).collect()
     assert (rows[0].x, rows[0].y, rows[0].z) == ("[EMAIL_8]", None, "[EMAIL_9] [EMAIL_8] [EMAIL_7]")
     assert (rows[1].x, rows[1].y, rows[1].z, rows[1].tokens) == (None, "", None, [])
+
+
+BAD_PATTERNS = (
+    r"(a|aa)+$", r"(a|a)*b", r"(?:a{1,40}){1,40}b", r"(a+)+b", r"(a*)*b", r"(?:a?){30}a{30}", r"\w+\w+x", r".*foo.*bar",
+    r"(?:[a-z]+ ?)+x", r"(?:\s*\w+\s*)*x", r"(?i)(A|a)+y", r"(?:a|aa){30}b", r"(?<n>a|aa)+b", r"\w{1,20}\w{1,20}\w{1,20}\w{1,20}x",
+)
+GOOD_PATTERNS = (
+    r"(?:\w+,)+\w+", r"(?:o+u)+x", r"Project-[A-Z]+", r"\p{Lu}\p{Ll}+", r"(?:\d{4}[- ]?){5}\d{4}", r"[A-Z]{2,40}-\d+", r"(?:a|b)*c",
+    r"\w{1,20}\w{1,20}x", r"(?:[A-Z]{2}\d+,?)+", r"(?i)(?:foo|bar|foobar)-\d+", r"[|]+x|y", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}\d+",
+)
+# What makes a failing match slow: long runs of what the patterns repeat, with an end that does not fit.
+SLOW_TEXTS = tuple(part * (10_000 // len(part)) + "!" for part in ("a", "o", "ou", "aA", "foo", "a,", "1", "AB1,", "12-", "255.", "  a", "|"))
+
+
+def test_ambiguous_patterns_are_refused():
+    assert {p: too_ambiguous(p) for p in BAD_PATTERNS} == dict.fromkeys(BAD_PATTERNS, True)
+    assert {p: too_ambiguous(p) for p in GOOD_PATTERNS} == dict.fromkeys(GOOD_PATTERNS, False)
+    assert too_ambiguous("(") is None
+    assert bounded_groups(r"(?:\w+,)+\w+") == r"(?:\w+,){1,600}\w+" and bounded_groups(r"[(+]+x(a|b){3}") == r"[(+]+x(a|b){3}"
+    assert bounded_groups(r"(?:ab){5000}") is None
+    built_in = [*base_rules(), *(r for p in PROFILES for r in pack_rules(p))]
+    assert [r.rule_id for r in built_in if too_ambiguous(r.pattern)] == []
+
+
+def test_accepted_patterns_are_fast_on_long_texts(spark):
+    rules, rejected = rulebook.check_rules(spark, [{"pattern": p, "label": "X"} for p in GOOD_PATTERNS])
+    assert not rejected and len(rules) == len(GOOD_PATTERNS)
+    texts = spark.createDataFrame([(t,) for t in SLOW_TEXTS], "text string").coalesce(1)
+    hostile = spark.createDataFrame([("a@" + "a." * 10_000 + "com",), ("$1" + ",1" * 10_000,), ("1.2." * 5_000,)], "text string").coalesce(1)
+    assert hostile.select(F.max(F.length(columns.mask("text", rules_for("sales"))))).first()[0] > 0
+    for rule in rules:
+        start = time.perf_counter()
+        texts.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))))).collect()
+        assert time.perf_counter() - start < 20, rule.pattern
