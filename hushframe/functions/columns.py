@@ -23,14 +23,18 @@ from hushframe.functions.catalog import (
 )
 
 
-def detect(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
-    """Disjoint findings in reading order."""
-    return F.expr(spans.resolved_findings(text, chosen_rules(rules), exclusions))
+def detect(
+    text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = (), extra: str | None = None
+) -> Column:
+    """Disjoint findings in reading order; ``extra`` names a column of findings made elsewhere."""
+    return F.expr(spans.resolved_findings(text, chosen_rules(rules), exclusions, extra))
 
 
-def protect(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:
+def protect(
+    text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = (), extra: str | None = None
+) -> Column:
     """``struct<masked_text, tokens>``: the masked text and the tokens that restore it."""
-    return F.expr(spans.protected(text, spans.resolved_findings(text, chosen_rules(rules), exclusions)))
+    return F.expr(spans.protected(text, spans.resolved_findings(text, chosen_rules(rules), exclusions, extra)))
 
 
 def mask(text: str, rules: Sequence[Rule] | None = None, exclusions: Iterable[str] = ()) -> Column:

@@ -163,9 +163,14 @@ def resolve_overlaps(findings: str) -> str:
     return bind(f"sort_array({findings})", "_o", chosen)
 
 
-def resolved_findings(text: str, rules: Sequence[Rule], exclusions: Iterable[str] = ()) -> str:
-    """Disjoint findings of ``text`` in reading order."""
-    return resolve_overlaps(without_values(all_findings(text, rules), exclusions))
+def resolved_findings(
+    text: str, rules: Sequence[Rule], exclusions: Iterable[str] = (), extra: str | None = None
+) -> str:
+    """Disjoint findings of ``text`` in reading order; ``extra`` names a column of findings made elsewhere."""
+    found = all_findings(text, rules)
+    if extra is not None:
+        found = f"concat({found}, coalesce(cast({extra} AS {FINDINGS_TYPE}), {NO_FINDINGS}))"
+    return resolve_overlaps(without_values(found, exclusions))
 
 
 def _key(row: str) -> str:

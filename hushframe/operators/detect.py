@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
-from hushframe.functions.catalog import Rule, chosen_rules
+from hushframe.functions.catalog import MAX_LABEL_CHARS, Rule, chosen_rules
+from hushframe.operators.literals import find_literals
 from hushframe.operators.skew import join_null_safe
 
 
@@ -18,9 +19,10 @@ def with_findings(
     rules: Sequence[Rule] | None = None,
     exclusions: Iterable[str] = (),
     name: str = "findings",
+    extra: str | None = None,
 ) -> DataFrame:
-    """Add the resolved findings of every row."""
-    return df.withColumn(name, columns.detect(text_col, rules, exclusions))
+    """Add the resolved findings of every row; ``extra`` names a column of findings made elsewhere."""
+    return df.withColumn(name, columns.detect(text_col, rules, exclusions, extra))
 
 
 def findings(
@@ -29,9 +31,46 @@ def findings(
     text_col: str = "text",
     rules: Sequence[Rule] | None = None,
     exclusions: Iterable[str] = (),
+    extra: str | None = None,
 ) -> DataFrame:
     """One row per finding with the ``keep`` columns; the text itself is not carried along."""
-    return df.select(*keep, F.inline(columns.detect(text_col, rules, exclusions)))
+    return df.select(*keep, F.inline(columns.detect(text_col, rules, exclusions, extra)))
+
+
+# Phrases of a dictionary come after the built-in rules for names and places.
+DICTIONARY_PRIORITY = 4_000
+
+
+def with_dictionary(
+    df: DataFrame,
+    id_cols: Sequence[str],
+    dictionary: DataFrame,
+    text_col: str = "text",
+    phrase_col: str = "phrase",
+    label_col: str = "label",
+    name: str = "dictionary_findings",
+    priority: int = DICTIONARY_PRIORITY,
+) -> DataFrame:
+    """Add the findings of a table of phrases, of any size, as an array column for ``extra`` parameters.
+
+    ``dictionary`` has a phrase and the label of its placeholders.  A phrase is found
+    where it stands letter for letter and no letter, digit, underscore or non-ASCII
+    character goes on at either end.  ``id_cols`` identify a row.  All places are
+    listed; overlaps are resolved with those of the rules, the longer of two that start
+    together winning.  Only the places found are shuffled, and the rows that have some.
+    """
+    label = F.col(label_col)
+    entries = dictionary.select(F.col(phrase_col).alias("value"), label.alias("entity_type"))
+    usable = F.length("entity_type").between(1, MAX_LABEL_CHARS) & F.col("entity_type").rlike(r"^[^\[\] \t\r\n]+$")
+    entries = entries.withColumn(
+        "entity_type", F.when(usable, F.col("entity_type")).otherwise(F.raise_error(F.lit("a placeholder cannot carry this label")))
+    )
+    places = find_literals(df, id_cols, entries, text_col, "value", word_bounded=True)
+    finding = F.struct(
+        "start", "end", F.lit(priority).alias("priority"), "entity_type", F.lit("dictionary").alias("rule_id"), "value"
+    )
+    found = places.groupBy(*id_cols).agg(F.sort_array(F.collect_list(finding)).alias(name))
+    return join_null_safe(df, found, id_cols, "left")
 
 
 def allowed_values(

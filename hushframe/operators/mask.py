@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
@@ -32,13 +32,16 @@ def sanitize(
     profile: str | None = "general",
     rules: Sequence[Rule] | None = None,
     exclusions: Iterable[str] = (),
+    extra: str | None = None,
 ) -> DataFrame:
     """Mask every row by itself: adds ``masked_text`` and ``tokens``.
 
     One narrow stage: no shuffle, no Python worker.  Works on streams too.
+    ``extra`` names a column of findings from a dictionary or a detector of the
+    user's, which join those of the rules before exclusions and overlaps.
     """
     valid_text_columns(df, [text_col])
-    protected = columns.protect(text_col, chosen_rules(rules, profile), exclusions)
+    protected = columns.protect(text_col, chosen_rules(rules, profile), exclusions, extra)
     return df.withColumn("_protected", protected).select(*df.columns, "_protected.*")
 
 
@@ -160,7 +163,9 @@ def number_values(
     highest = (
         mentions.filter(F.col("taken").isNotNull()).groupBy(*groups).agg(F.max("taken").alias("_start"))
     )
-    return number_within(firsts, groups, ["_first", "value"], "_n", highest).select(
+    numbered = number_within(firsts, groups, ["_first", "value"], "_n", highest)
+    standing = mentions.filter(F.col("taken").isNotNull()).select(*groups, F.col("value").alias("token"))
+    return step_over(numbered, groups, "_n", standing).select(
         *session_cols,
         "entity_type",
         "value",
@@ -169,6 +174,34 @@ def number_values(
     )
 
 
+# Numbers below this count when the next one is looked for; what follows them is stepped over one by one.
+EDGE = 10**18
+FAR_TOKEN = r"_([1-9][0-9]{18})\]$"
+
+
+def step_over(numbered: DataFrame, groups: Sequence[str], name: str, standing: DataFrame) -> DataFrame:
+    """``numbered`` without the numbers from ``EDGE`` on that ``standing`` tokens (group columns, token) already carry.
+
+    Numbers get there only where a text holds a placeholder with one of 18 digits.
+    A number so far on moves up by the standing ones at or below it.
+    """
+    digits = F.regexp_extract("token", FAR_TOKEN, 1)
+    carried = standing.select(*groups, digits.try_cast("bigint").alias("_r")).filter("_r IS NOT NULL").distinct()
+    if carried.isEmpty():
+        return numbered
+    in_order = Window.partitionBy(*groups).orderBy("_r")
+    # How many free numbers come before each standing one.
+    free = carried.select(*groups, (F.col("_r") - EDGE - F.row_number().over(in_order) + 1).alias("_k"), F.lit(0).alias("_kind"))
+    far = numbered.filter(F.col(name) >= EDGE).withColumns({"_k": F.col(name) - EDGE, "_kind": F.lit(1)})
+    up_to = Window.partitionBy(*groups).orderBy("_k", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = (
+        far.unionByName(free, allowMissingColumns=True)
+        .withColumn(name, F.col(name) + F.sum(1 - F.col("_kind")).over(up_to))
+        .filter("_kind = 1").drop("_k", "_kind")
+    )
+    return numbered.filter(F.col(name) < EDGE).unionByName(moved)
+
+
 TOKEN_NUMBER = r"_(\d{1,18})\]$"
 
 
@@ -205,14 +238,21 @@ def number_against(
         .groupBy(*keys).agg(F.max("n").alias("_start"))
     )
     token = F.expr("concat('[', entity_type, '_', n, ']')")
-    fresh = cut_lineage(number_within(unseen, keys, ["_first", "value"], "n", highest).withColumn("token", token))
+    standing = named.filter(F.col("taken").isNotNull()).select(*keys, F.col("value").alias("token"))
+    numbered = number_within(unseen, keys, ["_first", "value"], "n", highest)
+    numbered = step_over(numbered, keys, "n", standing.unionByName(known.select(*keys, "token")))
+    fresh = cut_lineage(numbered.withColumn("token", token))
     columns_out = [*session_cols, "entity_type", "value", "mentions", "token"]
     entries = fresh.select(F.col("_session").alias("session_id"), "token", "entity_type", "value")
     # A placeholder that stood in a text is kept without a value, so its number stays taken.
     taken = reserved.filter("n > 0").select(
         F.col("_session").alias("session_id"), token.alias("token"), "entity_type", F.lit(None).cast("string").alias("value")
     )
-    return fresh.select(*columns_out).unionByName(old.select(*columns_out)), entries.unionByName(taken)
+    # So are the ones too long for that, one by one.
+    far = standing.filter(F.col("token").rlike(FAR_TOKEN)).distinct().select(
+        F.col("_session").alias("session_id"), "token", "entity_type", F.lit(None).cast("string").alias("value")
+    )
+    return fresh.select(*columns_out).unionByName(old.select(*columns_out)), entries.unionByName(taken).unionByName(far)
 
 
 def apply_numbers(
@@ -226,6 +266,7 @@ def apply_numbers(
     name: str = "masked_text",
     rows_per_salt: int = ROWS_PER_SALT,
     broadcast_bytes: int = BROADCAST_BYTES,
+    extra: str | None = None,
 ) -> DataFrame:
     """Write the tokens into the texts.
 
@@ -257,6 +298,8 @@ def apply_numbers(
         joined = join_null_safe(df, F.broadcast(edits), id_cols, "left")
         return joined.withColumn(name, edited).drop("_edits")
     matched = F.expr(spans.any_match(text_col, rules))
+    if extra is not None:
+        matched = matched | F.coalesce(F.size(extra) > 0, F.lit(False))
     clean = df.filter(~matched).withColumn(name, F.col(text_col))
     touched = join_null_safe(df.filter(matched), edits, id_cols, "left").withColumn(name, edited).drop("_edits")
     return clean.unionByName(touched)
@@ -273,6 +316,7 @@ def sanitize_scope(
     rows_per_salt: int = ROWS_PER_SALT,
     broadcast_bytes: int = BROADCAST_BYTES,
     vault: DataFrame | None = None,
+    extra: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask with one numbering per session, or one for the whole table without ``session_cols``.
 
@@ -286,10 +330,11 @@ def sanitize_scope(
 
     Detection runs once, into a small table of mentions (checkpointed).  The texts
     are then read again to be rewritten, with no more than a match test per text.
+    ``extra`` names a column of findings made elsewhere, as in ``sanitize``.
     """
     valid_text_columns(df, [text_col])
     rules = chosen_rules(rules)
-    found = spans.resolved_findings(text_col, rules, exclusions)
+    found = spans.resolved_findings(text_col, rules, exclusions, extra)
     mentions = cut_lineage(value_mentions(df, id_cols, session_cols, order_cols, found, text_col))
     added = None
     if vault is None:
@@ -298,7 +343,7 @@ def sanitize_scope(
         numbers, added = number_against(mentions, session_cols, order_cols, vault)
     masked = apply_numbers(
         df, mentions, numbers, id_cols, session_cols, text_col, rules,
-        rows_per_salt=rows_per_salt, broadcast_bytes=broadcast_bytes,
+        rows_per_salt=rows_per_salt, broadcast_bytes=broadcast_bytes, extra=extra,
     )
     return masked, numbers.select(*session_cols, "token", "entity_type", "value") if added is None else added
 

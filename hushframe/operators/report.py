@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import columns, spans
 from hushframe.functions.catalog import Rule, chosen_rules
+from hushframe.operators.literals import find_literals
+from hushframe.operators.skew import join_null_safe
 
 # Entity types named first in a summary, with their display names.
 SUMMARY_NAMES = {"NAME": "Name", "EMAIL": "Email", "PHONE": "Phone", "ID": "ID", "CUSTOM": "Custom"}
@@ -137,6 +139,52 @@ def vault_leaks(
     return vault.join(left_over, ["session_id", "entity_type", "value"], "left_semi")
 
 
+def vault_value_leaks(
+    masked: DataFrame,
+    vault: DataFrame,
+    keep: Sequence[str],
+    session_col: str | None = None,
+    masked_col: str = "masked_text",
+) -> DataFrame:
+    """``keep``, ``start``, ``end``, ``entity_type``, ``value``: every place of a vault value in a masked text of its session.
+
+    Values are looked for literally, whether or not a rule would find them again; what
+    placeholders are made of does not count.  Without ``session_col`` all values are
+    looked for in all texts (corpus scope).  See ``literals`` for how: values and texts
+    are never paired.
+    """
+    placeholder = spans.TOKEN_PATTERN
+    values = vault.filter(F.col("value").isNotNull()).select(
+        *([F.col("session_id").cast("string").alias("session_id")] if session_col else []), "entity_type", "value"
+    )
+    # A placeholder becomes as many characters that no value holds, so that offsets stay.
+    blanks = F.expr(
+        f"array_join(zip_with(split({masked_col}, {spans.quote(placeholder)}, -1),"
+        f" regexp_extract_all({masked_col}, {spans.quote(placeholder)}, 0),"
+        " (_gap, _t) -> concat(_gap, coalesce(repeat('\\u0000', length(_t)), ''))), '')"
+    )
+    text = F.when(F.col(masked_col).contains("["), blanks).otherwise(F.col(masked_col))
+    rows = masked.select(*keep, *([F.col(session_col).cast("string").alias("session_id")] if session_col else []), text.alias("_text"))
+    on = ["session_id"] if session_col else []
+    return find_literals(rows, [*keep, *on], values, "_text", "value", on).drop(*on)
+
+
+def vault_leak_audit(
+    masked: DataFrame, vault: DataFrame, session_col: str | None = None, masked_col: str = "masked_text"
+) -> DataFrame:
+    """Per label, how many vault values were looked for and how many still stand in a masked text of their session."""
+    on = [session_col] if session_col else []
+    keys = [*(["session_id"] if session_col else []), "entity_type", "value"]
+    found = vault_value_leaks(masked, vault, on, session_col, masked_col)
+    if session_col:
+        found = found.withColumn("session_id", F.col(session_col).cast("string"))
+    left = found.select(*keys).distinct().withColumn("_left", F.lit(1))
+    looked_for = vault.filter(F.col("value").isNotNull() & (F.col("value") != "")).select(*keys).distinct()
+    return join_null_safe(looked_for, left, keys, "left").groupBy("entity_type").agg(
+        F.count(F.lit(1)).alias("checked"), F.count("_left").alias("leaked")
+    )
+
+
 def roundtrip_audit(
     revealed: DataFrame, by: Sequence[str] = (), text_col: str = "text", revealed_col: str = "revealed_text"
 ) -> DataFrame:
