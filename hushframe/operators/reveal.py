@@ -34,9 +34,9 @@ def reveal(
     ``empty_vault`` (the session has no vault entry at all), or ``conflicting_tokens``
     (the vault has two values for some token, which is left as it is).
 
-    Only texts with tokens are shuffled.  Sessions with very many rows are
-    spread over several tasks; their sizes come from a scan of the session
-    column alone.
+    Only texts with tokens are shuffled.  Sessions with very many tokens are
+    spread over several tasks.  ``df`` is read three times, so a caller whose
+    texts are costly to make (masked on the way, say) writes or checkpoints them first.
     """
     pattern = spans.quote(spans.TOKEN_PATTERN)
     has_token = F.expr(f"coalesce(contains({text_col}, '[') AND rlike({text_col}, {pattern}), false)")
@@ -50,7 +50,7 @@ def reveal(
     if list(id_cols) == [session_col]:
         placed = join_null_safe(wanted, entries, ["session_id", "token"], "left")
     else:
-        sizes = df.groupBy(session).agg(F.count(F.lit(1)).alias("_rows"))
+        sizes = wanted.groupBy("session_id").agg(F.count(F.lit(1)).alias("_rows"))
         heavy = heavy_keys(sizes, ["session_id"], "_rows", rows_per_salt)
         placed = salted_lookup(wanted, entries, ["session_id", "token"], heavy, ["session_id"], id_cols)
     is_token = F.col("token") != ""

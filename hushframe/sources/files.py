@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.catalog import Rule
+from hushframe.functions.catalog import MAX_FILE_BYTES, Rule
 from hushframe.operators.guards import is_binary, max_file_size, route_by_format
 from hushframe.operators.mask import mask_columns, sanitize
 from hushframe.sources import office
@@ -18,6 +19,8 @@ from hushframe.sources.office import parse_docx, parse_xlsx
 # Send the parsers themselves to the workers, which then need no copy of this package.
 cloudpickle.register_pickle_by_value(office)
 
+# Paths looked up at the same time.
+PROBES_AT_ONCE = 16
 _TEXT_OUT = "path string, text string, reason string"
 _SHEETS_OUT = "path string, sheet_no int, sheet string, csv string, reason string"
 
@@ -65,14 +68,39 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def probe_paths(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The requested paths that are there (files, folders, patterns with a match), and those that are not.
+
+    Each is looked up through the Hadoop file system of its scheme, several at a
+    time; only the list that the caller gave is held.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        at = hadoop.Path(path)
+        found = at.getFileSystem(conf).globStatus(at)
+        return found is not None and len(found) > 0
+
+    with ThreadPoolExecutor(PROBES_AT_ONCE) as pool:
+        known = list(pool.map(there, paths))
+    return [p for p, ok in zip(paths, known, strict=True) if ok], [p for p, ok in zip(paths, known, strict=True) if not ok]
+
+
+def read_documents(
+    spark: SparkSession, path: str | list[str], max_bytes: int = MAX_FILE_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """Texts of all readable files under ``path``, and a quarantine ``(path, reason)``.
 
-    Files are checked for size, routed by suffix, and plain files for NUL bytes.
-    The size test needs no content, so large files are never read.
+    Requested paths that do not exist are quarantined as ``missing_file``.  Files are
+    checked for size, routed by suffix, and plain files for NUL bytes.  The size
+    test needs no content, so large files are never read.
     """
-    listed = route_by_format(list_files(spark, path))
-    small, large = max_file_size(listed)
+    present, absent = probe_paths(spark, [path] if isinstance(path, str) else list(path))
+    missing = spark.createDataFrame([(p, "missing_file") for p in absent], "path string, reason string")
+    if not present:
+        return spark.createDataFrame([], "path string, text string"), missing
+    listed = route_by_format(list_files(spark, present))
+    small, large = max_file_size(listed, max_bytes)
     plain = small.filter("format = 'text'")
     office = read_docx(small.filter("format = 'docx'")).unionByName(read_xlsx(small.filter("format = 'xlsx'")))
     texts = decode_text(plain.filter(~is_binary())).unionByName(
@@ -86,6 +114,7 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
         .unionByName(plain.filter(is_binary()).select("path", F.lit("binary_file").alias("reason")))
         .unionByName(unsupported)
         .unionByName(office.filter("reason IS NOT NULL").select("path", "reason"))
+        .unionByName(missing)
     )
     return texts, quarantine
 

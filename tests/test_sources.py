@@ -98,7 +98,7 @@ def test_rule_file(spark, tmp_path):
         ("TAG", r"AB-\d+"), ("CUSTOM", "x+"), ("LOOK", "(?<=id=)[0-9]+"),
     ]
     assert [(r["label"], r["reason"]) for r in rejected] == [
-        ("BAD", "invalid_regex"), ("SLOW", "nested_repeat"), ("NONE", "matches_empty"),
+        ("BAD", "invalid_regex"), ("SLOW", "ambiguous_repeat"), ("NONE", "matches_empty"),
         ("AHEAD", "matches_empty"),
     ]
     assert exclusions == ["PORT", "localhost"]
