@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ BITS = 2 * LANE
 # Characters that are words by themselves.
 SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 # Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
-SAMPLE_DOCS = 4_000
-KNOWN_GRAMS = 200_000
+SAMPLE_DOCS = 8_000
+KNOWN_GRAMS = 400_000
 # Lines under one key that are compared with each other at once; of more, only those that heads leave in different groups.
 PAIRWISE_KEY = 256
 # Bits that stand for the words of a line.
@@ -116,22 +116,29 @@ def common_prefix(a: Column, b: Column) -> Column:
     )
 
 
-def trimmed_pairs(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a_text, b_text) with ``a_rest, b_rest`` after the common start and end are cut, and ``longer``."""
-    longer = F.greatest(F.length("a_text"), F.length("b_text"))
-    cut = pairs.select(
-        "x", "y", longer.alias("longer"),
-        F.transform(
-            F.array(F.struct("a_text", "b_text", common_prefix(F.col("a_text"), F.col("b_text")).alias("p"))),
-            lambda t: F.struct(
-                F.substr(t["a_text"], t["p"] + 1).alias("a"), F.substr(t["b_text"], t["p"] + 1).alias("b")
-            ),
-        )[0].alias("left"),
-    ).select("x", "y", "longer", F.col("left.a").alias("a"), F.col("left.b").alias("b"))
-    ends = cut.withColumn("s", common_prefix(F.reverse("a"), F.reverse("b")))
-    return ends.select(
-        "x", "y", "longer", F.expr("left(a, length(a) - s)").alias("a_rest"), F.expr("left(b, length(b) - s)").alias("b_rest")
-    )
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, whatever the optimizer merges."""
+    return F.transform(F.array(value), body)[0]
+
+
+def within_edits(a: Column, b: Column, allowed: Column) -> Column:
+    """Whether two strings are within ``allowed`` edits; what they start and end with in common is cut first."""
+
+    def middle(t: Column) -> Column:
+        start = t["p"] + 1
+        return F.struct(F.substr(t["a"], start).alias("a"), F.substr(t["b"], start).alias("b"))
+
+    def test(t: Column) -> Column:
+        rest_a, rest_b = (F.left(t[c], F.length(t[c]) - t["s"]) for c in "ab")
+        few = F.abs(F.length(t["a"]) - F.length(t["b"])) <= allowed
+        return few & (F.call_function("levenshtein", rest_a, rest_b, allowed) >= 0)
+
+    def ends(t: Column) -> Column:
+        turned = F.struct(t["a"].alias("a"), t["b"].alias("b"), F.reverse(t["a"]).alias("x"), F.reverse(t["b"]).alias("y"))
+        return bound(turned, lambda r: bound(F.struct(r["a"].alias("a"), r["b"].alias("b"), common_prefix(r["x"], r["y"]).alias("s")), test))
+
+    both = F.struct(a.alias("a"), b.alias("b"), common_prefix(a, b).alias("p"))
+    return bound(both, lambda t: bound(middle(t), ends))
 
 
 def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True) -> DataFrame:
@@ -191,13 +198,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     left, right = (texts.select(F.col("node").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
     # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = trimmed_pairs(pairs.join(left, "x").join(right, "y").repartition(tasks, "x", "y")).withColumn(
-        "allowed", F.floor(F.col("longer") * (1 - similarity) + 1e-9).cast("int")
-    )
-    near = F.expr("levenshtein(a_rest, b_rest, allowed) >= 0")
-    return both.filter((F.abs(F.length("a_rest") - F.length("b_rest")) <= F.col("allowed")) & near).select(
-        F.col("x").alias("a"), F.col("y").alias("b")
-    )
+    both = pairs.join(left, "x").join(right, "y").repartition(tasks, "x", "y")
+    longer = F.greatest(F.length("a_text"), F.length("b_text"))
+    allowed = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
+    return both.filter(within_edits(F.col("a_text"), F.col("b_text"), allowed)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -376,7 +380,13 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
         asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
         return cut_lineage(similar_pairs(pairs, line_codes(cut_lineage(asked), texts), similarity))
 
-    links = decided(pairs)
+    # Each line with its first neighbour, then only what that leaves in different groups.
+    first = cut_lineage(pairs.groupBy("x").agg(F.min("y").alias("y")))
+    links = decided(first)
+    groups = components(links)
+    roots = [groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy"]
+    apart = pairs.join(roots[0], "x", "left").join(roots[1], "y", "left").filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
+    links = links.union(decided(cut_lineage(apart.select("x", "y").join(first, ["x", "y"], "left_anti"))))
     if crowded.isEmpty():
         return links
     bag = F.struct(*bag_names).alias("bag")
