@@ -88,6 +88,26 @@ def entity_profile(
     )
 
 
+def entity_sketches(
+    df: DataFrame, by: Sequence[str], text_col: str = "text", rules: Sequence[Rule] | None = None, lg_k: int = 14
+) -> DataFrame:
+    """Per group and entity type the findings and an HLL sketch of their values, to be kept and merged later.
+
+    A sketch holds at most 2 ** ``lg_k`` bytes, whatever the number of values.
+    """
+    found = df.select(*by, F.inline(columns.detect(text_col, rules)))
+    return found.groupBy(*by, "entity_type").agg(
+        F.count(F.lit(1)).alias("findings"), F.hll_sketch_agg("value", lg_k).alias("sketch")
+    )
+
+
+def merged_profile(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Findings and estimated distinct values per entity type for any coarser grouping; no text is read again."""
+    return sketches.groupBy(*by, "entity_type").agg(
+        F.sum("findings").alias("findings"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_values")
+    )
+
+
 def leak_audit(
     masked: DataFrame, by: Sequence[str] = (), masked_col: str = "masked_text", tokens_col: str = "tokens"
 ) -> DataFrame:

@@ -194,6 +194,29 @@ def stream_request_counts(spark, sf_dir):
     return saved.groupBy(F.lit("all").alias("part")).agg(F.sum("requests").alias("requests"), F.sum("texts").alias("texts"))
 
 
+# --- profiles -------------------------------------------------------------
+
+@query(
+    "entity_profile_merged",
+    oracle.found(
+        DOCS, BASE,
+        "SELECT d.lang, a.et AS entity_type, count(*) AS findings, count(DISTINCT a.v) AS exact_values, true AS within_3_percent"
+        " FROM acc a JOIN documents d ON d.doc_id = a.id GROUP BY ALL",
+    ),
+)
+def entity_profile_merged(spark, sf_dir):
+    """Sketches per language and source are written, read and merged by language; the estimates are held against exact counts."""
+    folder = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    report.entity_sketches(docs, ["lang", "source"]).write.parquet(f"{folder}/sketches")
+    merged = report.merged_profile(spark.read.parquet(f"{folder}/sketches"), ["lang"])
+    exact = detect.findings(docs, ["lang"]).groupBy("lang", "entity_type").agg(F.count_distinct("value").alias("exact_values"))
+    close = F.abs(F.col("approx_values") - F.col("exact_values")) <= F.col("exact_values") * 0.03
+    return merged.join(exact, ["lang", "entity_type"]).select(
+        "lang", "entity_type", "findings", "exact_values", close.alias("within_3_percent")
+    )
+
+
 # --- files ----------------------------------------------------------------
 
 _FILE_RULES = (
