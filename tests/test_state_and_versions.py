@@ -206,3 +206,32 @@ def test_absent_paths_are_quarantined(spark, tmp_path):
     assert texts.count() == 0 and bad.count() == 1
     masked, bad = files.sanitize_files(spark, asked)
     assert masked.first()["masked_text"] == "mail [EMAIL_1]" and bad.filter(F.col("reason") == "missing_file").count() == 2
+
+
+# ---- reveal by a join in one plan
+
+
+def test_joined_reveal_equals_reveal(spark):
+    from hushframe.operators.reveal import reveal
+    from hushframe.streaming.joined import reveal_joined
+
+    vault = spark.createDataFrame(
+        [("s", "[A_1]", "A", "x"), ("s", "[A_2]", "A", "y"), ("s", "[A_3]", "A", "p"), ("s", "[A_3]", "A", "q"), ("t", "[A_1]", "A", "z"), ("t", "[A_9]", "A", None)],
+        "session_id string, token string, entity_type string, value string",
+    )
+    texts = ["[A_1] [A_2]", "[A_1] [A_7]", "[A_7]", "no token", None, "", "[A_1] [A_3]", "[x] http://http://a [A_1]"]
+    rows = [(f"{s}{i}", s, text) for s in ("s", "t", "u", None) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, session string, text string")
+    one = reveal(df, vault, ["id"], "text", "session")
+    two = reveal_joined(df, vault, "text", "session")
+    columns_ = ["id", "revealed_text", "status"]
+    assert rows_of(two.select(columns_)) == rows_of(one.select(columns_))
+    with pytest.raises(Exception, match="too many tokens"):
+        reveal_joined(df, vault, "text", "session", max_session_tokens=2).collect()
+
+
+def test_reveal_reads_the_documents_once(spark):
+    import __spark_entry__ as entry_point
+
+    plan = entry_point.queries()["reveal_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 0
