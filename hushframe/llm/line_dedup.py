@@ -121,8 +121,12 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Strings from this length on are cut before they are compared; shorter ones cost less as they are.
+LONG_LINE = 500
+
+
 def within_edits(a: Column, b: Column, allowed: Column) -> Column:
-    """Whether two strings are within ``allowed`` edits; what they start and end with in common is cut first."""
+    """Whether two strings are within ``allowed`` edits; what long ones start and end with in common is cut first."""
 
     def middle(t: Column) -> Column:
         start = t["p"] + 1
@@ -138,7 +142,8 @@ def within_edits(a: Column, b: Column, allowed: Column) -> Column:
         return bound(turned, lambda r: bound(F.struct(r["a"].alias("a"), r["b"].alias("b"), common_prefix(r["x"], r["y"]).alias("s")), test))
 
     both = F.struct(a.alias("a"), b.alias("b"), common_prefix(a, b).alias("p"))
-    return bound(both, lambda t: bound(middle(t), ends))
+    plain = (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.call_function("levenshtein", a, b, allowed) >= 0)
+    return F.when(F.greatest(F.length(a), F.length(b)) < LONG_LINE, plain).otherwise(bound(both, lambda t: bound(middle(t), ends)))
 
 
 def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -256,6 +257,29 @@ def test_rows_that_share_an_id_lose_no_text(spark):
     assert {line for text in kept for line in text.split("\n")} == {a, b}
 
 
+@pytest.mark.parametrize("long_line", [0, 500])
+def test_edits_of_long_and_short_lines(spark, monkeypatch, long_line):
+    monkeypatch.setattr(line_dedup, "LONG_LINE", long_line)
+    draw = random.Random(4)
+    pairs = []
+    for _ in range(80):
+        a = "".join(draw.choice("ab\U00012345\U00054321") for _ in range(draw.randint(1, 12)))
+        b = "".join(c for c in a if draw.random() > 0.2) + draw.choice(["", "a", "\U00054321"])
+        pairs.append((a, b, draw.randint(0, 4)))
+    df = spark.createDataFrame(pairs, "a string, b string, allowed int")
+    got = df.select(line_dedup.within_edits(F.col("a"), F.col("b"), F.col("allowed")).alias("near")).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    assert [r["near"] for r in got] == [distance(a, b) <= n for a, b, n in pairs]
+
+
 @pytest.mark.parametrize("pairwise", [1, 256])
 def test_crowded_keys_give_the_same_links(spark, monkeypatch, pairwise):
     monkeypatch.setattr(line_dedup, "PAIRWISE_KEY", pairwise)
