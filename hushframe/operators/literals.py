@@ -9,6 +9,7 @@ a literal comparison do the rest, so neither texts nor strings are ever paired.
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -28,7 +29,11 @@ BITMAP_BITS = 23
 # Rows of a bitmap as Spark builds it.
 _ROW_BITS = 15
 # Texts are searched together up to so many bytes; a longer one is searched in overlapping parts.
-BYTES_AT_ONCE = 2 << 20
+# The arrays of a search take some 60 times that, in every task.
+BYTES_AT_ONCE = 1 << 18
+# Rows held as Python strings, and candidates held as Python tuples, at a time.
+ROWS_AT_ONCE = 200
+CANDIDATES_AT_ONCE = 10_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
@@ -191,17 +196,19 @@ def find_literals(
         for batch in batches:
             if not shared.value:
                 return
-            texts = [text.encode() for text in batch.column(len(names)).to_pylist()]
-            found = list(_candidates(texts, shared.value, word_bounded))
-            at, start, width, hashes, shown = zip(*found, strict=True) if found else ((),) * 5
-            taken = [column.take(pa.array(at, pa.int64())) for column in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *taken, pa.array(start, pa.int32()), pa.array(width, pa.int32()),
-                    pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(shown, pa.binary()).cast(pa.string()),
-                ],
-                names=[*names, *schema],
-            )
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                found = _candidates([text.encode() for text in part.column(len(names)).to_pylist()], shared.value, word_bounded)
+                while some := list(itertools.islice(found, CANDIDATES_AT_ONCE)):
+                    at, start, width, hashes, shown = zip(*some, strict=True)
+                    taken = [column.take(pa.array(at, pa.int64())) for column in part.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *taken, pa.array(start, pa.int32()), pa.array(width, pa.int32()),
+                            pa.array(np.array(hashes, np.uint64).astype(np.int64)), pa.array(shown, pa.binary()).cast(pa.string()),
+                        ],
+                        names=[*names, *schema],
+                    )
 
     typed = ", ".join(f"{n} {kind}" for n, kind in zip(names, kinds, strict=True))
     places = rows.mapInArrow(search, f"{typed + ', ' if typed else ''}_start int, _width int, _hash long, _shown string")
