@@ -45,12 +45,12 @@ def decode_text(files: DataFrame) -> DataFrame:
 
 def read_docx(files: DataFrame) -> DataFrame:
     """Text of word-processor files: (path, text, reason)."""
-    return files.select("path", "content").mapInPandas(parse_docx, _TEXT_OUT)
+    return files.select("path", "content").mapInArrow(parse_docx, _TEXT_OUT)
 
 
 def read_xlsx_sheets(files: DataFrame) -> DataFrame:
     """One row per sheet: (path, sheet_no, sheet, csv, reason)."""
-    return files.select("path", "content").mapInPandas(parse_xlsx, _SHEETS_OUT)
+    return files.select("path", "content").mapInArrow(parse_xlsx, _SHEETS_OUT)
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
