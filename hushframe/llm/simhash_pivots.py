@@ -217,24 +217,29 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(id, digest, size, keys)``: each text's set of shingles by digest, its size and its band keys (none without words)."""
+    """``(id, digest, size, fp, keys)``: each text's set of shingles by digest, its size, its fingerprint and its band keys (none without words)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py() or "", shingle)) for text in batch.column(1)]
+            sets, prints = [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py() or "", shingle)
+                sets.append(np.unique(hashes))
+                prints.append(majority(hashes))
             keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([set_digest(x) for x in sets], pa.binary()),
                     pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(np.array(prints, np.uint64).astype(np.int64)),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "digest", "size", "keys"],
+                names=["id", "digest", "size", "fp", "keys"],
             )
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(hashed, f"id {id_type}, digest binary, size long, keys array<long>")
+    return df.select(id_col, text_col).mapInArrow(hashed, f"id {id_type}, digest binary, size long, fp long, keys array<long>")
 
 
 def sets_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -261,13 +266,31 @@ def sets_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle
     return asked.mapInArrow(hashed, "digest binary, hashes array<long>").dropDuplicates(["digest"])
 
 
+def fingerprint_pairs(nodes: DataFrame, k: int = 2) -> DataFrame:
+    """Pairs (a, a_size, b, b_size) of ``nodes`` (digest, size, fp) by the pivots: one for each set whose fingerprint another has, and the links of the fingerprints."""
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min(F.struct("digest", "size")).alias("head")))
+    heads = heads.select("fp", F.col("head.digest").alias("node"), F.col("head.size").alias("node_size"))
+    same = nodes.join(heads, "fp").filter(F.col("digest") != F.col("node")).select(
+        F.col("digest").alias("a"), F.col("size").alias("a_size"), F.col("node").alias("b"), F.col("node_size").alias("b_size")
+    )
+    a, b = (heads.select(F.col("node").alias(c), F.col("node_size").alias(f"{c}_size")) for c in "ab")
+    near = near_links(heads.select("node", "fp"), k).join(a, "a").join(b, "b").select("a", "a_size", "b", "b_size")
+    return same.union(near)
+
+
 def similar_links(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of digests of ``nodes`` (digest, id, size, keys) that connect what all pairs of similar sets with a common key would."""
+    """Links (a, b) of digests of ``nodes`` (digest, id, size, fp, keys) that connect what all pairs of similar sets with a common key would.
+
+    Sets whose fingerprints the pivots bring together are candidates first; the keys
+    find those that two bits do not reach.  The sets decide on both.
+    """
+    near = cut_lineage(fingerprint_pairs(nodes))
     points = cut_lineage(nodes.select("digest", "size", F.explode("keys").alias("key")))
     repeated = points.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key")
     shared = cut_lineage(points.join(repeated, "key"))
+    asked = shared.select("digest").union(near.select("a")).union(near.select("b")).distinct()
     sets = stored(
-        sets_of(nodes.join(shared.select("digest").distinct(), "digest").select("digest", "id"), df, id_col, text_col, shingle),
+        sets_of(nodes.join(asked, "digest").select("digest", "id"), df, id_col, text_col, shingle),
         "shingle-sets",
     )
 
@@ -282,7 +305,7 @@ def similar_links(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, s
             pairs.join(left, "a").join(right, "b").filter(common >= either * similarity - 1e-9).select("a", "b")
         )
 
-    return links_under_keys(shared, verified)
+    return verified(near).union(links_under_keys(shared, verified))
 
 
 def keep_first_similar(
@@ -292,15 +315,16 @@ def keep_first_similar(
 
     Fingerprints of 64 bits do not reach that far: at 0.8 they differ in 9 bits on
     average, often in more than 15, and blocks short enough for that fit any text.  So
-    candidates share the smallest shingle hashes in one of 24 bands of 4, which a pair
-    at 0.8 misses 3 times in a million, and the sets themselves decide.  Equal sets
+    the pivots give the candidates within 2 bits, and for the others candidates share
+    the smallest shingle hashes in one of 24 bands of 4, which a pair at 0.8 misses 3
+    times in a million; the sets themselves decide on all.  Equal sets
     (texts without words, too) are one node; rows without an id stay.  Rows that share
     an id but not the text are told apart; rows repeated with id and text stay or go together.
     """
     keyed = with_row_key(df.select(id_col, text_col), id_col, text_col).filter(F.col("_row").isNotNull())
     rows = cut_lineage(shingle_sets(keyed, "_row", text_col, shingle))
     nodes = cut_lineage(
-        rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys"))
     )
     roots = components(similar_links(nodes, keyed, "_row", text_col, shingle, similarity))
     grouped = cut_lineage(
