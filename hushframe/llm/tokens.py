@@ -37,6 +37,7 @@ PLAIN_WORD_AND_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$#&]*
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHERS = [byte for byte in range(256) if byte not in _PRINTABLE]
 BYTE_CHARS = {byte: byte for byte in _PRINTABLE} | {byte: 256 + n for n, byte in enumerate(_OTHERS)}
+SPACE_CHAR = chr(BYTE_CHARS[32])
 
 
 def packed(ids: list[int]) -> bytes:
@@ -67,6 +68,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_ends = word_ends
         self.end = b"" if end_id is None else packed([end_id])
@@ -78,7 +80,11 @@ class ChunkEncoder:
         word = key.lower() if self.word_ends else key if key[0] == " " else " " + key
         if key[0] == " ":
             word = word[1:]
-        return packed([token.id for token in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))])
+        if word.isascii():  # letters stand for themselves
+            word = word.replace(" ", SPACE_CHAR)
+        else:
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return packed([token.id for token in self.tokenize(word)])
 
     def _encode(self, keys: set[str]) -> None:
         """Tokenise what is new."""
@@ -127,8 +133,10 @@ class ChunkEncoder:
                     parts[key] = self._parts(key)
                     continue
                 word, marks = match.groups()
-                ids = cache.get(word) or older.get(word) or self._word(word)
-                if marks:
+                if not marks:
+                    ids = self._word(key)
+                else:
+                    ids = cache.get(word) or older.get(word) or self._word(word)
                     cache[word] = ids
                     marks = " " + marks
                     if marks not in cache:
@@ -144,7 +152,7 @@ class ChunkEncoder:
         try:
             return b"".join(map(self.cache.__getitem__, keys))
         except KeyError:
-            missing = {key for key in keys if key not in self.cache}
+            missing = set(keys).difference(self.cache)
             if len(self.cache) + len(missing) > CACHE_CHUNKS // 2:
                 self.older, self.cache = self.cache, {}
                 missing = set(keys)
