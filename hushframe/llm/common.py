@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import llm
-from hushframe.operators.skew import cut_lineage, shared_folder
+from hushframe.operators.skew import cut_lineage, shared_folder, shuffles_dropped
 
 # Executors get the code of this subpackage with each task; they need no copy of it.
 cloudpickle.register_pickle_by_value(llm)
@@ -80,7 +80,8 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there, compressed and with its size known."""
     path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,9 +10,16 @@ chosen so that most suffixes fall out of the sort early and in bulk:
 2. The second digit is the run's whole text.  Of equal runs all but the first are repeated
    in every window; a run that shares its digit with no other text has nothing more to lose.
 3. What is left are first runs of different texts under one digit, and runs that may hold
-   a window twice.  Their windows are sorted one by one, by all their bytes.
-
-Digits stand for bytes by hashes: 64 bits for the first, 64 more for a run, 128 for a window.
+   a window twice.  They are cut into blocks: windows in a row that begin up to ``BLOCK`` - 1
+   places apart, counted from the place of their smallest gram.  Equal windows lie in blocks
+   with the same core, the bytes that every window of such a block has.  The third digit is
+   the core, the fourth the block's whole text, and blocks are settled as runs are.  No
+   block holds a window twice.
+4. First blocks of different texts under one core are left.  Their windows are sorted one
+   by one, by all their bytes.
+
+Digits stand for bytes by hashes: 64 bits for the first, 64 more for a run, as much for a
+block, 128 for a window.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from hushframe.llm.common import query, stored, table
 from hushframe.operators.skew import number_within
 
 GRAM = 24
+BLOCK = 8
 BYTES_AT_ONCE = 4 << 20
 RUNS_AT_ONCE = 2_000
 
@@ -89,12 +97,12 @@ def runs_of(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     return first, size, digit.view(np.int64), many[high] > many[low]
 
 
-def text_hash(data: bytes) -> int:
-    """A signed 64-bit hash of a run's text."""
-    from xxhash import xxh3_64_intdigest
+def text_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signed 64-bit hashes of parts of a text."""
+    from xxhash import xxh3_64_digest
 
-    value = xxh3_64_intdigest(data)
-    return value - (1 << 64) if value >> 63 else value
+    digests = [xxh3_64_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), "<i8")
 
 
 def run_table(docs: DataFrame, threshold: int, with_text: bool) -> DataFrame:
@@ -111,8 +119,7 @@ def run_table(docs: DataFrame, threshold: int, with_text: bool) -> DataFrame:
                 first, size, digit, again = runs_of(np.frombuffer(raw, np.uint8), threshold)
                 hashes = None
                 if with_text:
-                    ends = (first + size - 1 + threshold).tolist()
-                    hashes = np.array([text_hash(raw[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], np.int64)
+                    hashes = text_hashes(raw, first, first + size - 1 + threshold)
                 rows.append((doc, first, size, digit, hashes, again))
                 held += len(raw)
                 if held > BYTES_AT_ONCE:
@@ -138,24 +145,68 @@ def run_table(docs: DataFrame, threshold: int, with_text: bool) -> DataFrame:
     return docs.mapInArrow(cut, schema)
 
 
-def open_windows(docs: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
-    """``(h1, h2, doc, first)``: every window of the runs (doc, first), with 128 bits of its text."""
-    still = open_runs.groupBy("doc").agg(F.collect_set("first").alias("firsts"))  # of one text
-    joined = docs.join(still, docs["_id"] == still["doc"]).select("_id", "_text", "firsts")
+def with_parts(docs: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
+    """``(_id, _text)`` and lists ``columns`` of the texts that have ``parts`` (doc and these columns)."""
+    listed = parts.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("parts"))  # of one text
+    return docs.join(listed, docs["_id"] == listed["doc"]).select("_id", "_text", *[f"parts.{c}" for c in columns])
+
+
+def blocks_of(raw: bytes, grams: np.ndarray, first: np.ndarray, size: np.ndarray, digit: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows and start of the core of each block of the given runs of a text."""
+
+    def places(more: int) -> tuple[np.ndarray, np.ndarray]:
+        """Run and place of all that begins in a run's first ``size + more`` places."""
+        run = np.repeat(np.arange(len(first)), size + more)
+        return run, np.arange(len(run)) - np.repeat(np.cumsum(size + more) - size - more - first, size + more)
+
+    # The leftmost place of the smallest gram in each window depends on the window's bytes alone.
+    run, at = places(threshold - GRAM)
+    least = grams[at].view(np.int64) == digit[run]
+    run, at = run[least], at[least]
+    of, window = places(0)
+    gram = at[np.searchsorted(run * len(raw) + at, of * len(raw) + window)]
+    core = gram - (gram - window) // BLOCK * BLOCK
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (gram[1:] != gram[:-1]) | (core[1:] != core[:-1])])
+    begin = np.flatnonzero(new)
+    return window[begin], np.diff(np.append(begin, len(window))), core[begin]
+
+
+def block_table(docs: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+    """``(digit, text, doc, first, size)``: the blocks of the runs (doc, first, size, digit)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, *runs in zip(*batch.columns, strict=True):
+                raw = text.as_py().encode()
+                grams = gram_hashes(np.frombuffer(raw, np.uint8))
+                all_runs = [run.values.to_numpy() for run in runs]
+                for part in range(0, len(all_runs[0]), RUNS_AT_ONCE):
+                    first, size, core = blocks_of(raw, grams, *[x[part : part + RUNS_AT_ONCE] for x in all_runs], threshold)
+                    cores = text_hashes(raw, core, core + threshold - BLOCK + 1)
+                    texts = text_hashes(raw, first, first + size - 1 + threshold)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cores), pa.array(texts), pa.array(np.full(len(first), doc.as_py())), pa.array(first), pa.array(size)],
+                        names=["digit", "text", "doc", "first", "size"],
+                    )
+
+    joined = with_parts(docs, open_runs, "first", "size", "digit")
+    return joined.mapInArrow(cut, "digit long, text long, doc long, first long, size long")
+
+
+def open_windows(docs: DataFrame, open_blocks: DataFrame, threshold: int) -> DataFrame:
+    """``(h1, h2, doc, first)``: every window of the blocks (doc, first, size), with 128 bits of its text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for doc, text, firsts in zip(*(batch.column(i) for i in range(3)), strict=True):
-                raw = (text.as_py() or "").encode()
-                first, size, _, _ = runs_of(np.frombuffer(raw, np.uint8), threshold)
-                run = np.flatnonzero(np.isin(first, firsts.values.to_numpy()))
-                for part in range(0, len(run), RUNS_AT_ONCE):
-                    at = run[part : part + RUNS_AT_ONCE]
-                    windows = np.concatenate([np.arange(first[r], first[r] + size[r]) for r in at])
-                    view = memoryview(raw)
-                    digests = b"".join([xxh3_128_digest(view[w : w + threshold]) for w in windows.tolist()])
+            for doc, text, firsts, sizes in zip(*batch.columns, strict=True):
+                raw = text.as_py().encode()
+                first, size = firsts.values.to_numpy(), sizes.values.to_numpy()
+                for part in range(0, len(first), RUNS_AT_ONCE):
+                    at, n = first[part : part + RUNS_AT_ONCE], size[part : part + RUNS_AT_ONCE]
+                    windows = np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)
+                    digests = b"".join([xxh3_128_digest(raw[w : w + threshold]) for w in windows.tolist()])
                     halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -167,7 +218,27 @@ def open_windows(docs: DataFrame, open_runs: DataFrame, threshold: int) -> DataF
                         names=["h1", "h2", "doc", "first"],
                     )
 
-    return joined.mapInArrow(cut, "h1 long, h2 long, doc long, first long")
+    return with_parts(docs, open_blocks, "first", "size").mapInArrow(cut, "h1 long, h2 long, doc long, first long")
+
+
+def settled(parts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of runs or blocks (digit, text, doc, first, size, periodic): those (doc, first, size) that are equal to an earlier one,
+    and those (doc, first, size, digit) that are still open."""
+    place = F.struct("doc", "first")
+    texts = stored(
+        parts.groupBy("digit", "text").agg(
+            F.min(F.struct("doc", "first", "size")).alias("head"), F.count(F.lit(1)).alias("n"), F.max("periodic").alias("periodic")
+        ),
+        name,
+    )
+    later = (
+        parts.join(texts.filter(F.col("n") > 1).select("digit", "text", "head"), ["digit", "text"])
+        .filter(place != F.struct("head.doc", "head.first")).select("doc", "first", "size")
+    )
+    undecided = texts.groupBy("digit").agg(F.count(F.lit(1)).alias("texts"), F.max("periodic").alias("any_periodic")).filter(
+        (F.col("texts") > 1) | F.col("any_periodic")
+    )
+    return later, texts.join(undecided, "digit").select("head.doc", "head.first", "head.size", "digit")
 
 
 def repeated_windows(docs: DataFrame, threshold: int) -> DataFrame:
@@ -178,26 +249,17 @@ def repeated_windows(docs: DataFrame, threshold: int) -> DataFrame:
         .filter((F.col("n") > 1) | F.col("periodic")).select("digit")
     )
     runs = stored(run_table(docs, threshold, with_text=True).join(repeated, "digit", "left_semi"), "runs")
+    later_runs, open_runs = settled(runs, "run-texts")
+    blocks = stored(block_table(docs, open_runs, threshold), "blocks").withColumn("periodic", F.lit(False))
+    later_blocks, open_blocks = settled(blocks, "block-texts")
+    windows = stored(open_windows(docs, open_blocks, threshold), "windows")
     place = F.struct("doc", "first")
-    texts = runs.groupBy("digit", "text").agg(
-        F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.max("periodic").alias("periodic")
-    )
-    texts = stored(texts, "run-texts")
-    later = (
-        runs.join(texts.filter(F.col("n") > 1).select("digit", "text", "head"), ["digit", "text"])
-        .filter(place != F.col("head")).select("doc", "first", "size")
-    )
-    undecided = texts.groupBy("digit").agg(F.count(F.lit(1)).alias("texts"), F.max("periodic").alias("any_periodic")).filter(
-        (F.col("texts") > 1) | F.col("any_periodic")
-    )
-    open_runs = texts.join(undecided, "digit").select("head.doc", "head.first")
-    windows = stored(open_windows(docs, open_runs, threshold), "windows")
     heads = windows.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     again = (
         windows.join(heads, ["h1", "h2"]).filter(place != F.col("head"))
         .select("doc", "first", F.lit(1).cast("long").alias("size"))
     )
-    return later.union(again)
+    return later_runs.union(later_blocks).union(again)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,6 +302,8 @@ def remove_repeats(df: DataFrame, threshold: int = 100, id_col: str = "doc_id",
     rows = keyed(df, id_col, text_col).select(F.col(id_col).alias("_own"), "_id", F.col(text_col).alias("_text"))
     docs = rows.select("_id", "_text").filter(F.octet_length("_text") >= threshold)
     gone = repeated_windows(docs, threshold).groupBy("doc").agg(F.collect_list(F.struct("first", "size")).alias("gone"))  # of one text
+    # Written first, so that what it shuffled is off the disks when the texts are shuffled.
+    gone = stored(gone, "gone")
     joined = rows.join(gone, rows["_id"] == gone["doc"], "left").select("_own", "_text", "gone.first", "gone.size")
     own_type = df.schema[id_col].dataType.simpleString()
 
