@@ -199,7 +199,7 @@ def line_codes(asked: DataFrame, texts: DataFrame) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) of nodes whose lines are similar enough: 1 - edited words / words of the longer line."""
-    texts = cut_lineage(texts)
+    texts = stored(texts, "line-codes")
     left, right = (texts.select(F.col("node").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
     # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -341,7 +341,7 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
             yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
     counts = texts.select("norm").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut_lineage(counts.filter(F.col("n") > 1))
+    repeated = stored(counts.filter(F.col("n") > 1), "line-key-counts")
     bits = bitmap(repeated.select("key"), F.col("key"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,19 +379,19 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
     crowded = repeated.filter(F.col("n") > PAIRWISE_KEY).select("key")
     usual = shared.join(crowded, "key", "left_anti")
     close = sided(usual, "a").join(sided(usual, "b"), "key").filter((F.col("a_node") > F.col("b_node")) & may_be_similar("a_", "b_"))
-    pairs = cut_lineage(close.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")).distinct())
+    pairs = stored(close.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")).distinct(), "line-pairs")
 
     def decided(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        return cut_lineage(similar_pairs(pairs, line_codes(cut_lineage(asked), texts), similarity))
+        return cut_lineage(similar_pairs(pairs, line_codes(stored(asked, "line-asked"), texts), similarity))
 
     # Each line with its first neighbour, then only what that leaves in different groups.
-    first = cut_lineage(pairs.groupBy("x").agg(F.min("y").alias("y")))
+    first = stored(pairs.groupBy("x").agg(F.min("y").alias("y")), "line-pairs")
     links = decided(first)
     groups = components(links)
     roots = [groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy"]
     apart = pairs.join(roots[0], "x", "left").join(roots[1], "y", "left").filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
-    links = links.union(decided(cut_lineage(apart.select("x", "y").join(first, ["x", "y"], "left_anti"))))
+    links = links.union(decided(stored(apart.select("x", "y").join(first, ["x", "y"], "left_anti"), "line-pairs")))
     if crowded.isEmpty():
         return links
     bag = F.struct(*bag_names).alias("bag")
@@ -402,7 +402,7 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
             F.col("a").alias("x"), F.col("b").alias("y"),
             *[F.col(f"{c}_size.size").alias(f"{c}_size") for c in "ab"], *[F.col(f"{c}_size.bag.{b}").alias(f"{c}_{b}") for c in "ab" for b in bag_names],
         )
-        return decided(cut_lineage(flat.filter(may_be_similar("a_", "b_")).select("x", "y").distinct()))
+        return decided(stored(flat.filter(may_be_similar("a_", "b_")).select("x", "y").distinct(), "line-pairs"))
 
     return links.union(links_under_keys(many, verified))
 
@@ -448,7 +448,7 @@ def line_nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = lines.groupBy("digest").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("norm")
     )
-    return stored(found.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "n", "norm"), "line-nodes")
+    return stored(found.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "n", "norm"), "line-nodes", "zstd")
 
 
 def repeated_lines(
