@@ -34,20 +34,28 @@ from hushframe.operators.skew import ROWS_PER_SALT, heavy_keys, salted_lookup
 
 LANE = 31
 BITS = 2 * LANE
-# Characters that are words by themselves.
-SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+# Characters that are words by themselves; the range first, as looking up a script is slow.
+SPACELESS = r"[\u0E00-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
 # Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
 SAMPLE_DOCS = 8_000
 KNOWN_GRAMS = 400_000
 # Lines under one key that are compared with each other at once; of more, only those that heads leave in different groups.
 PAIRWISE_KEY = 256
+# Rows under keys whose pairs are made at once.
+PAIRED_AT_ONCE = 4_000
 # Bits that stand for the words of a line.
 BAG_WORDS = 2
 
 
 def normalised(line: Column) -> Column:
     """Lower case, and everything but letters turned into single spaces."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}]+", " "))
+    low = F.lower(line)
+
+    def spaced(others: str) -> Column:
+        # A single space between letters is not replaced by itself.
+        return F.regexp_replace(low, f"{others}(?:{others}+|(?<! ))", " ")
+
+    return F.trim(F.when(F.length(low) == F.octet_length(low), spaced("[^a-z]")).otherwise(spaced(r"[^\p{L}\p{M}]")))
 
 
 def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,7 +74,7 @@ def every_line(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .select(F.struct(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text")).alias("doc"), F.posexplode(lines).alias("line", "parts"))
         .select("doc", "line", "parts.norm", F.when(F.col("parts.norm") == "", F.col("parts.raw")).alias("raw"))
         .filter(F.col("raw").isNull() | F.col("raw").rlike(r"\S"))
-        .withColumn("norm", F.when(F.length("norm") < F.octet_length("norm"), spaced).otherwise(F.col("norm")))
+        .withColumn("norm", F.when((F.length("norm") < F.octet_length("norm")) & F.col("norm").rlike(SPACELESS), spaced).otherwise(F.col("norm")))
         .withColumn("digest", F.substring(F.unhex(F.sha2(F.coalesce("raw", "norm"), 256)), 1, 16))
         .select("doc", "line", "norm", "digest")
     )
@@ -216,6 +224,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return similar_pairs(pairs, line_codes(asked, texts), similarity)
 
 
+def _byte_values() -> np.ndarray:
+    """What each byte adds to a word's hash; a space is no part of a word."""
+    values = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(31)
+    values[32] = 0
+    return values
+
+
+BYTE_VALUES = _byte_values()
+
+
+def powers_of(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists whose products, at ``i >> 12`` of the first and ``i & 4095`` of the second, are ``factor ** i`` for i < ``n``."""
+    low = np.full(4096, factor, np.uint64)
+    high = np.full((n >> 12) + 1, pow(factor, 4096, 1 << 64), np.uint64)
+    low[0] = high[0] = 1
+    return np.multiply.accumulate(high), np.multiply.accumulate(low)
+
+
 def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of some lines (words between single spaces), and the number of words of each line."""
     lines = lines.cast(pa.large_binary())
@@ -226,17 +253,16 @@ def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     filled = ends[1:] > ends[:-1]
     if not filled.any():
         return np.zeros(0, np.uint64), np.zeros(len(lines), np.int64)
-    spaces = np.flatnonzero(raw == 32)
-    starts = np.sort(np.concatenate([ends[:-1][filled], spaces + 1]))
+    begins = np.concatenate([[False], raw == 32])
+    begins[ends[:-1][filled]] = True
+    starts = np.flatnonzero(begins[:-1])
     sizes = np.diff(np.searchsorted(starts, ends))
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    powers = np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
-    powers[0] = 1
-    values = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    values ^= values >> np.uint64(31)
-    values *= np.multiply.accumulate(powers)[place]
-    values[spaces] = 0
-    hashes = np.add.reduceat(values, starts)
+    # Polynomials in the place within the word, from those in the place within the batch: the factor is odd, so its powers divide.
+    high, low = powers_of(0x9E3779B97F4A7C15, len(raw))
+    values = (high[:, None] * low).ravel()[: len(raw)]
+    values *= BYTE_VALUES[raw]
+    high, low = powers_of(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(raw))
+    hashes = np.add.reduceat(values, starts) * high[starts >> 12] * low[starts & 4095]
     hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
     return hashes ^ (hashes >> np.uint64(31)), sizes
 
@@ -304,13 +330,29 @@ def common_grams(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray,
     return grams.view(np.uint64)[order], n[order]
 
 
+def sorted_within(line: np.ndarray, n_lines: int, keys: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """The order by line, count and key, by one number of as many of their bits as it holds; if that is too few, by all of them."""
+    line_bits = n_lines.bit_length()
+    count_bits = 0 if count is None or not len(count) else int(count.max()).bit_length()
+    if line_bits + count_bits < 32:
+        packed = line.astype(np.uint64) << np.uint64(64 - line_bits)
+        if count_bits:
+            packed |= count.astype(np.uint64) << np.uint64(64 - line_bits - count_bits)
+        packed |= keys >> np.uint64(line_bits + count_bits)
+        order = np.argsort(packed)
+        packed, ordered = packed[order], keys[order]
+        if not ((packed[1:] == packed[:-1]) & (ordered[1:] != ordered[:-1])).any():
+            return order
+    return np.lexsort((keys, line) if count is None else (keys, count, line))
+
+
 def prefix_keys(
     words: np.ndarray, sizes: np.ndarray, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Line and key of each line's first word pairs, rarest first; lines of fewer than ``min_words`` words have none."""
     line, grams = grams_of(words, sizes)
     # A pair that stands in a line again is another one.
-    order = np.lexsort((grams, line))
+    order = sorted_within(line, len(sizes), grams)
     line, grams = line[order], grams[order]
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (line[1:] != line[:-1])])[: len(grams)]
     heads = np.flatnonzero(new)
@@ -321,7 +363,7 @@ def prefix_keys(
         count = np.where(known[0][at] == grams, known[1][at], 0)
     keys = (grams + again.astype(np.uint64)) * np.uint64(0x165667B19E3779F9)
     keys ^= keys >> np.uint64(32)
-    order = np.lexsort((keys, count, line))
+    order = sorted_within(line, len(sizes), keys, count)
     line, keys = line[order], keys[order]
     per_line = np.bincount(line, minlength=len(sizes))
     place = np.arange(len(line)) - np.repeat(np.cumsum(per_line) - per_line, per_line)
@@ -331,6 +373,52 @@ def prefix_keys(
     return line[kept], keys[kept].view(np.int64)
 
 
+def pairs_under_keys(rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y), x above y, of the rows (node, key, size, bags) under one key that may be similar; some more than once."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[np.ndarray] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = [column.to_numpy() for column in batch.columns]
+                columns = [np.concatenate(both) for both in zip(columns, new, strict=True)] if columns else new
+            if not columns or not len(columns[0]):
+                continue
+            keys = columns[0]
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            # The last key's rows may go on in the next batch.
+            done = edges[-1] if batch is None else edges[-2]
+            edges = edges[edges <= done]
+            here, columns = [column[:done] for column in columns], [column[done:] for column in columns]
+            ends = np.repeat(edges[1:], np.diff(edges))
+            for first in range(0, done, PAIRED_AT_ONCE):
+                last = min(first + PAIRED_AT_ONCE, done)
+                after = ends[first:last] - np.arange(first, last) - 1
+                a = np.repeat(np.arange(first, last), after)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+                a, b = close_enough(here, a, b, similarity)
+                nodes = here[1][a], here[1][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*nodes)), pa.array(np.minimum(*nodes))], names=["x", "y"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "node", "size", *[c for c in rows.columns if c.startswith("bag")]).repartition(tasks, "key")
+    return dealt.sortWithinPartitions("key").mapInArrow(pair, "x long, y long")
+
+
+def close_enough(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places ``a`` and ``b`` in ``rows`` (key, node, size, bags) whose sizes and bags lie no further apart than edits allow."""
+    sizes = rows[2]
+    allowed = np.floor(np.maximum(sizes[a], sizes[b]) * (1 - similarity) + 1e-9)
+    kept = (np.abs(sizes[a] - sizes[b]) <= allowed) & (rows[1][a] != rows[1][b])
+    a, b, allowed = a[kept], b[kept], allowed[kept]
+    bags = [bag.view(np.uint64) for bag in rows[3:]]
+    # Each word of one line that the other has not is an edit of its own.
+    for _ in range(2):
+        kept = sum(np.bitwise_count(bag[a] & ~bag[b]).astype(np.int64) for bag in bags) <= allowed
+        b, a, allowed = a[kept], b[kept], allowed[kept]
+    return a, b
+
+
 def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_words: int, similarity: float) -> DataFrame:
     """Links (a, b) between ``nodes`` (node, norm) that connect what all similar pairs would."""
     texts = nodes.select("node", "norm").filter(F.col("norm") != "")
@@ -343,25 +431,38 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
     counts = texts.select("norm").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(counts.filter(F.col("n") > 1), "line-key-counts")
     bits = bitmap(repeated.select("key"), F.col("key"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, sizes = word_hashes(batch.column(1))
-            line, keys = prefix_keys(words, sizes, known, min_words, similarity)
-            if bits is not None:
-                kept = let_through(bits, keys)
+    crowded = repeated.filter(F.col("n") > PAIRWISE_KEY).select("key")
+    crowd_bits = bitmap(crowded, F.col("key"))
+
+    def members(let: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, sizes = word_hashes(batch.column(1))
+                line, keys = prefix_keys(words, sizes, known, min_words, similarity)
+                kept = let(keys)
                 line, keys = line[kept], keys[kept]
-            bags = bags_of(words, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(line)), pa.array(keys), pa.array(sizes[line].astype(np.int32)), *[pa.array(b[line]) for b in bags]],
-                names=["node", "key", "size", *[f"bag{n}" for n in range(BAG_WORDS)]],
-            )
+                bags = bags_of(words, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(line)), pa.array(keys), pa.array(sizes[line].astype(np.int32)), *[pa.array(b[line]) for b in bags]],
+                    names=["node", "key", "size", *bag_names],
+                )
+
+        return texts.mapInArrow(list_keys, "node long, key long, size int, " + ", ".join(f"{b} long" for b in bag_names))
+
+    def repeats(keys: np.ndarray) -> np.ndarray:
+        # A key that the bits let through by chance stands alone and makes no pair.
+        return np.ones(len(keys), bool) if bits is None else let_through(bits, keys)
+
+    def crowds(keys: np.ndarray) -> np.ndarray:
+        return np.ones(len(keys), bool) if crowd_bits is None else let_through(crowd_bits, keys)
 
     bag_names = [f"bag{n}" for n in range(BAG_WORDS)]
-    # A key that the bits let through by chance stands alone and makes no pair.
-    shared = stored(
-        texts.mapInArrow(members, "node long, key long, size int, " + ", ".join(f"{b} long" for b in bag_names)), "line-keys"
-    )
+    # The rows of the usual keys are many: they are shuffled once and not written before.  Those that may be of crowded keys are.
+    usual, many = members(repeats if crowd_bits is None else lambda keys: repeats(keys) & ~crowds(keys)), None
+    if not crowded.isEmpty():
+        many = stored(members(lambda keys: repeats(keys) & crowds(keys)), "line-crowds")
+        few = many.join(crowded, "key", "left_anti")
+        usual = few if crowd_bits is None else usual.union(few.select(usual.columns))
 
     def may_be_similar(a: str, b: str) -> Column:
         longer = F.greatest(f"{a}size", f"{b}size")
@@ -373,13 +474,7 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
         # Each word of one line that the other has not is an edit of its own.
         return (F.abs(F.col(f"{a}size") - F.col(f"{b}size")) <= allowed) & (left <= allowed) & (right <= allowed)
 
-    def sided(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", *bag_names)])
-
-    crowded = repeated.filter(F.col("n") > PAIRWISE_KEY).select("key")
-    usual = shared.join(crowded, "key", "left_anti")
-    close = sided(usual, "a").join(sided(usual, "b"), "key").filter((F.col("a_node") > F.col("b_node")) & may_be_similar("a_", "b_"))
-    pairs = stored(close.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")).distinct(), "line-pairs")
+    pairs = stored(pairs_under_keys(usual, similarity).distinct(), "line-pairs")
 
     def decided(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
@@ -392,10 +487,10 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
     roots = [groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy"]
     apart = pairs.join(roots[0], "x", "left").join(roots[1], "y", "left").filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
     links = links.union(decided(stored(apart.select("x", "y").join(first, ["x", "y"], "left_anti"), "line-pairs")))
-    if crowded.isEmpty():
+    if many is None:
         return links
     bag = F.struct(*bag_names).alias("bag")
-    many = stored(shared.join(crowded, "key", "left_semi").select("key", F.col("node").alias("digest"), F.struct("size", bag).alias("size")), "line-crowds")
+    many = stored(many.join(crowded, "key", "left_semi").select("key", F.col("node").alias("digest"), F.struct("size", bag).alias("size")), "line-crowds")
 
     def verified(pairs: DataFrame) -> DataFrame:
         flat = pairs.select(
