@@ -11,10 +11,10 @@ import re
 import struct
 import sys
 import types
+from collections.abc import Callable
 
 # Chunks kept, in two halves: when the newer one is full, the older one goes.
 CACHE_CHUNKS = 1_000_000
-MISSES_AT_ONCE = 2_000
 
 WORD_CUT = re.compile(r"[ \n\t\r]+")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -40,15 +40,30 @@ BYTE_CHARS = {byte: byte for byte in _PRINTABLE} | {byte: 256 + n for n, byte in
 SPACE_CHAR = chr(BYTE_CHARS[32])
 
 
+_FORMATS = [f"<{n}I" for n in range(32)]
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return struct.pack(_FORMATS[n] if n < len(_FORMATS) else f"<{n}I", *ids)
 
 
 class OddSpace(Exception):
     """A chunk between two spaces that is empty or touches more white space."""
 
 
+class Chunks(dict):
+    """Ids of chunks; those of a chunk that is not in here are worked out as it is looked up, so a text is gone through once."""
+
+    def __init__(self, new: Callable[[str], bytes]):
+        self.new = new
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.new(key)
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, chunk by chunk.
 
@@ -72,7 +87,7 @@ class ChunkEncoder:
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.word_ends = word_ends
         self.end = b"" if end_id is None else packed([end_id])
-        self.cache: dict[str, bytes] = {}
+        self.cache = Chunks(self.new)
         self.older: dict[str, bytes] = {}
 
     def _word(self, key: str) -> bytes:
@@ -86,20 +101,17 @@ class ChunkEncoder:
             word = word.encode().decode("latin-1").translate(BYTE_CHARS)
         return packed([token.id for token in self.tokenize(word)])
 
-    def _encode(self, keys: set[str]) -> None:
-        """Tokenise what is new."""
-        lead, cache = "" if self.word_ends else " ", self.cache
-        rest = []
-        for key in keys:
+    def _piece(self, key: str) -> bytes:
+        """Ids of a chunk that is not cut any further, from the cache or new."""
+        ids = self.cache.get(key)
+        if ids is None:
             if PLAIN_WORD.match(key):
-                cache[key] = self._word(key)
+                ids = self._word(key)
             else:
-                rest.append(key)
-        for at in range(0, len(rest), MISSES_AT_ONCE):
-            part = rest[at : at + MISSES_AT_ONCE]
-            texts = [key[1:] if key[0] == " " else lead + key for key in part]
-            for key, found in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                cache[key] = packed(found.ids)
+                text = key[1:] if key[0] == " " else key if self.word_ends else " " + key
+                ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            self.cache[key] = ids
+        return ids
 
     def _parts(self, key: str) -> list[str]:
         """The keys whose ids in a row are those of ``key``."""
@@ -122,42 +134,28 @@ class ChunkEncoder:
             out.extend([start + match[1], " " + match[2]] if match else [start + line])
         return out
 
-    def _fill(self, missing: set[str]) -> None:
-        cache, older = self.cache, self.older
-        parts = {}
-        for key in missing:
-            ids = older.get(key)
-            if ids is None:
-                match = PLAIN_WORD_AND_MARKS.match(key)
-                if match is None:
-                    parts[key] = self._parts(key)
-                    continue
-                word, marks = match.groups()
-                if not marks:
-                    ids = self._word(key)
-                else:
-                    ids = cache.get(word) or older.get(word) or self._word(word)
-                    cache[word] = ids
-                    marks = " " + marks
-                    if marks not in cache:
-                        self._encode({marks})
-                    ids += cache[marks]
-            cache[key] = ids
-        self._encode({part for found in parts.values() for part in found if part not in cache})
-        for key, found in parts.items():
-            if len(found) != 1 or found[0] != key:
-                cache[key] = b"".join([cache[part] for part in found])
+    def new(self, key: str) -> bytes:
+        """Ids of a chunk that is not in the newer half of the cache."""
+        ids = self.older.get(key)
+        if ids is not None:
+            return ids
+        if key.isalpha() and key.isascii():  # most of them; letters stand for themselves
+            return packed([token.id for token in self.tokenize(key.lower() if self.word_ends else SPACE_CHAR + key)])
+        match = PLAIN_WORD_AND_MARKS.match(key)
+        if match is None:
+            parts = self._parts(key)
+            return b"".join(map(self._piece, parts))
+        word, marks = match.groups()
+        if not marks:
+            return self._word(key)
+        ids = self.cache.get(word) or self.older.get(word) or self._word(word)
+        self.cache[word] = ids
+        return ids + self._piece(" " + marks)
 
     def _look_up(self, keys: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.cache.__getitem__, keys))
-        except KeyError:
-            missing = set(keys).difference(self.cache)
-            if len(self.cache) + len(missing) > CACHE_CHUNKS // 2:
-                self.older, self.cache = self.cache, {}
-                missing = set(keys)
-            self._fill(missing)
-            return b"".join(map(self.cache.__getitem__, keys))
+        if len(self.cache) > CACHE_CHUNKS // 2:
+            self.older, self.cache = self.cache, Chunks(self.new)
+        return b"".join(map(self.cache.__getitem__, keys))
 
     def _odd(self, text: str) -> bytes:
         """Ids of a text with other white space than single spaces and line ends; only what is safe is cached."""
