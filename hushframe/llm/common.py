@@ -6,6 +6,7 @@ import string
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def powers_of(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists whose products, at ``i >> 12`` of the first and ``i & 4095`` of the second, are ``factor ** i`` for i < ``n``."""
+    low = np.full(4096, factor, np.uint64)
+    high = np.full((n >> 12) + 1, pow(factor, 4096, 1 << 64), np.uint64)
+    low[0] = high[0] = 1
+    return np.multiply.accumulate(high), np.multiply.accumulate(low)
+
+
 def text_key(text: Column) -> Column:
     """Tells the texts of rows that share an id apart."""
     return F.xxhash64(text)
@@ -85,4 +94,4 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "query", "stored", "table", "text_key", "with_row_key", "without_rows", "word_bytes"]
+__all__ = ["ORACLES", "QUERIES", "ascii_lower", "cut_lineage", "fresh_folder", "powers_of", "query", "stored", "table", "text_key", "with_row_key", "without_rows", "word_bytes"]

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage, query, stored, table, text_key
+from hushframe.llm.common import cut_lineage, powers_of, query, stored, table, text_key
 from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
 from hushframe.operators.skew import ROWS_PER_SALT, heavy_keys, salted_lookup
@@ -235,14 +235,6 @@ def _byte_values() -> np.ndarray:
 BYTE_VALUES = _byte_values()
 
 
-def powers_of(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two lists whose products, at ``i >> 12`` of the first and ``i & 4095`` of the second, are ``factor ** i`` for i < ``n``."""
-    low = np.full(4096, factor, np.uint64)
-    high = np.full((n >> 12) + 1, pow(factor, 4096, 1 << 64), np.uint64)
-    low[0] = high[0] = 1
-    return np.multiply.accumulate(high), np.multiply.accumulate(low)
-
-
 def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of some lines (words between single spaces), and the number of words of each line."""
     lines = lines.cast(pa.large_binary())

@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import query, stored, table
+from hushframe.llm.common import powers_of, query, stored, table
 from hushframe.operators.skew import number_within
 
 GRAM = 24
 BLOCK = 8
 BYTES_AT_ONCE = 4 << 20
 RUNS_AT_ONCE = 2_000
+# Bytes of texts whose windows are hashed at once.
+HASHED_AT_ONCE = 1 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -193,30 +195,54 @@ def block_table(docs: DataFrame, open_runs: DataFrame, threshold: int) -> DataFr
     return joined.mapInArrow(cut, "digit long, text long, doc long, first long, size long")
 
 
+def window_hashes(data: np.ndarray, places: np.ndarray, threshold: int) -> list[np.ndarray]:
+    """Two mixed 64-bit hashes of the ``threshold`` bytes at each of the places.
+
+    Each is a polynomial in the place within the window, from sums over all bytes: its odd
+    factor has an inverse.
+    """
+    out = []
+    for factor, seed in ((0x9E3779B97F4A7C15, 11), (0xD1342543DE82EF95, 12)):
+        values = np.random.default_rng(seed).integers(1 << 64, size=256, dtype=np.uint64)
+        high, low = powers_of(factor, len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((high[:, None] * low).ravel()[: len(data)] * values[data], out=sums[1:])
+        high, low = powers_of(pow(factor, -1, 1 << 64), len(data))
+        found = (sums[places + threshold] - sums[places]) * high[places >> 12] * low[places & 4095]
+        found ^= found >> np.uint64(32)
+        found *= np.uint64(0xD6E8FEB86659FD93)
+        found ^= found >> np.uint64(32)
+        out.append(found.view(np.int64))
+    return out
+
+
 def open_windows(docs: DataFrame, open_blocks: DataFrame, threshold: int) -> DataFrame:
     """``(h1, h2, doc, first)``: every window of the blocks (doc, first, size), with 128 bits of its text."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+    def hashed(docs: list[int], raws: list[bytes], blocks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        counts = [len(first) for first, _ in blocks]
+        begins = np.repeat(np.cumsum([0, *map(len, raws[:-1])]), counts)
+        of = np.repeat(np.array(docs, np.int64), counts)
+        first, size = (np.concatenate(column) for column in zip(*blocks, strict=True))
+        own = np.repeat(np.arange(len(first)), size)
+        windows = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - first, size)
+        h1, h2 = window_hashes(data, windows + begins[own], threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, of[own], windows)], names=["h1", "h2", "doc", "first"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, firsts, sizes in zip(*batch.columns, strict=True):
-                raw = text.as_py().encode()
-                first, size = firsts.values.to_numpy(), sizes.values.to_numpy()
-                for part in range(0, len(first), RUNS_AT_ONCE):
-                    at, n = first[part : part + RUNS_AT_ONCE], size[part : part + RUNS_AT_ONCE]
-                    windows = np.arange(n.sum()) + np.repeat(at - np.cumsum(n) + n, n)
-                    digests = b"".join([xxh3_128_digest(raw[w : w + threshold]) for w in windows.tolist()])
-                    halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.ascontiguousarray(halves[:, 0])),
-                            pa.array(np.ascontiguousarray(halves[:, 1])),
-                            pa.array(np.full(len(windows), doc.as_py())),
-                            pa.array(windows),
-                        ],
-                        names=["h1", "h2", "doc", "first"],
-                    )
+            ids, raws, blocks, held = [], [], [], 0
+            for doc, text, first, size in zip(*batch.columns, strict=True):
+                ids.append(doc.as_py())
+                raws.append(text.as_py().encode())
+                blocks.append((first.values.to_numpy(), size.values.to_numpy()))
+                held += len(raws[-1])
+                if held > HASHED_AT_ONCE:
+                    yield from hashed(ids, raws, blocks)
+                    ids, raws, blocks, held = [], [], [], 0
+            if ids:
+                yield from hashed(ids, raws, blocks)
 
     return with_parts(docs, open_blocks, "first", "size").mapInArrow(cut, "h1 long, h2 long, doc long, first long")
 
