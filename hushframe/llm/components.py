@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut_lineage
+from hushframe.llm.common import cut_lineage, stored
 
 MAX_ROUNDS = 100
 
@@ -74,7 +74,7 @@ def links_under_keys(shared: DataFrame, verified: Callable[[DataFrame], DataFram
         members = shared.join(joined, shared["digest"] == joined["node"], "left").select(
             "key", F.coalesce("root", "digest").alias("group"), "digest", "size"
         )
-        members = cut_lineage(members)
+        members = stored(members, "members")
         mixed = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
         return members.join(mixed.select("key"), "key", "left_semi")
 
@@ -90,7 +90,7 @@ def links_under_keys(shared: DataFrame, verified: Callable[[DataFrame], DataFram
     links = links.union(
         verified(with_head(members, F.max(F.struct("group", "digest", "size"))).filter(F.col("group") != F.col("head.group")))
     )
-    members = cut_lineage(split(links))
+    members = stored(split(links), "members")
     left, right = (
         members.select("key", F.col("group").alias(f"{c}_group"), F.col("digest").alias(c), F.col("size").alias(f"{c}_size"))
         for c in "ab"

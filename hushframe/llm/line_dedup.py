@@ -17,6 +17,7 @@ nodes of different groups.  The links of both passes give the groups that all pa
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from hushframe.llm.common import cut_lineage, powers_of, query, stored, table, text_key
 from hushframe.llm.components import components, links_under_keys
 from hushframe.llm.url_filter import MAX_LEVEL_BYTES, bloom
-from hushframe.operators.skew import ROWS_PER_SALT, heavy_keys, salted_lookup
+from hushframe.operators.skew import ROWS_PER_SALT, heavy_keys, salted_lookup, shuffles_dropped
 
 LANE = 31
 BITS = 2 * LANE
@@ -39,12 +40,24 @@ SPACELESS = r"[\u0E00-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p
 # Documents looked at for the order of word pairs, and the pairs whose counts are sent to every task.
 SAMPLE_DOCS = 8_000
 KNOWN_GRAMS = 400_000
-# Lines under one key that are compared with each other at once; of more, only those that heads leave in different groups.
+# Lines under one key that are compared with each other at once. Of more, only those that heads leave in different groups, if
+# more than so many pairs a line may be similar, or if there are more lines than any task should compare.
 PAIRWISE_KEY = 256
-# Rows under keys whose pairs are made at once.
-PAIRED_AT_ONCE = 4_000
-# Bits that stand for the words of a line.
-BAG_WORDS = 2
+FEW_PAIRS = 8
+MOST_ROWS = 1 << 14
+# Pairs of rows under keys that are made at once.
+PAIRED_AT_ONCE = 500_000
+# Longs of bits that stand for the words of a line: with two, lines of 140 words and more set most of the bits, which told few of them apart.
+BAG_WORDS = 4
+# Bytes of a row under a key when it is shuffled. Keys are gone through in parts whose rows take no more than the lines themselves
+# or these bytes.
+ROW_BYTES = 50
+LEAST_BYTES = 64 << 20
+# Repeated keys of a part, for which a bitmap has some bits each, and its largest size in bits.
+KEYS_AT_ONCE = 1 << 25
+BITMAP_BITS = 1 << 28
+# Pairs whose lines are shuffled at once, if there are no more lines than that.
+PAIRS_AT_ONCE = 500_000
 
 
 def normalised(line: Column) -> Column:
@@ -170,14 +183,15 @@ def prefiltered(rows: DataFrame, asked: DataFrame, key: str, plain: bool = True)
 def bitmap(asked: DataFrame, key: Column) -> np.ndarray | None:
     """Bits that let every asked key (a long) through and few others; None where they would be too large to send around."""
     n = asked.count()
-    bits = 1 << max(10, (16 * n).bit_length())
-    if bits // 8 > MAX_LEVEL_BYTES:
+    bits = min(1 << max(10, (16 * n).bit_length()), BITMAP_BITS)
+    if n > bits // 2:
         return None
     bit = key.bitwiseAND(F.lit(bits - 1).cast("long"))
-    words = (
-        asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("value")).toArrow()
-    )
+    with shuffles_dropped(asked.sparkSession):
+        words = (
+            asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("value")).toArrow()
+        )
     out = np.zeros(bits // 64, np.uint64)
     out[words.column("word").to_numpy()] = words.column("value").to_numpy().view(np.uint64)
     return out
@@ -206,15 +220,25 @@ def line_codes(asked: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) of nodes whose lines are similar enough: 1 - edited words / words of the longer line."""
-    texts = stored(texts, "line-codes")
+    """The pairs (x, y) of nodes whose lines are similar enough: 1 - edited words / words of the longer line.
+
+    No more pairs than lines (or ``PAIRS_AT_ONCE``) are joined with the lines at once,
+    so that what is shuffled at a time grows with the lines and not with their pairs.
+    """
+    texts = stored(texts, "line-codes", "zstd")
     left, right = (texts.select(F.col("node").alias(c), F.col("codes").alias(f"{t}_text")) for c, t in (("x", "a"), ("y", "b")))
-    # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(left, "x").join(right, "y").repartition(tasks, "x", "y")
+    parts = math.ceil(pairs.count() / max(texts.count(), PAIRS_AT_ONCE)) or 1
     longer = F.greatest(F.length("a_text"), F.length("b_text"))
     allowed = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    return both.filter(within_edits(F.col("a_text"), F.col("b_text"), allowed)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = []
+    for part in range(parts):
+        some = pairs if parts == 1 else pairs.filter(F.pmod(F.xxhash64("x", "y"), F.lit(parts)) == part)
+        # Pairs are few bytes and much work, so they are dealt over all tasks by number, not by size.
+        both = some.join(right, "y").repartition(tasks, "x").join(left.repartition(tasks, "x"), "x")
+        similar = both.filter(within_edits(F.col("a_text"), F.col("b_text"), allowed))
+        links.append(stored(similar.select(F.col("x").alias("a"), F.col("y").alias("b")), "line-links"))
+    return functools.reduce(DataFrame.union, links)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -316,7 +340,8 @@ def common_grams(df: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray,
     some = df.sample(min(1.0, SAMPLE_DOCS / n_docs), 1) if n_docs else df
     lines = every_line(some, id_col, text_col).select("norm")
     counted = lines.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    rows = counted.orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
+    with shuffles_dropped(df.sparkSession):
+        rows = counted.orderBy(F.desc("n"), "gram").limit(KNOWN_GRAMS).toArrow()
     grams, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
     order = np.argsort(grams.view(np.uint64))
     return grams.view(np.uint64)[order], n[order]
@@ -366,7 +391,26 @@ def prefix_keys(
 
 
 def pairs_under_keys(rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y), x above y, of the rows (node, key, size, bags) under one key that may be similar; some more than once."""
+    """The pairs (x, y), x above y, of the rows (node, key, size, bags) under one key that may be similar; some more than once.
+
+    A key of more than ``PAIRWISE_KEY`` rows and ``FEW_PAIRS`` such pairs a row gives no pairs but itself, as x without y.
+    """
+
+    def chunks(here: list[np.ndarray], after: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs of each row from ``low`` to ``high`` with as many next ones as ``after`` says."""
+        upto = np.concatenate([[0], np.cumsum(after[low:high])])
+        first = 0
+        while first < high - low:
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + PAIRED_AT_ONCE, "right")) - 1)
+            n = after[low + first : low + last]
+            if n.any():
+                a = np.repeat(np.arange(low + first, low + last), n)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+                yield close_enough(here, a, b, similarity)
+            first = last
+
+    def as_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["x", "y"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[np.ndarray] = []
@@ -379,22 +423,31 @@ def pairs_under_keys(rows: DataFrame, similarity: float) -> DataFrame:
             keys = columns[0]
             edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             # The last key's rows may go on in the next batch.
-            done = edges[-1] if batch is None else edges[-2]
-            edges = edges[edges <= done]
+            edges = edges if batch is None else edges[:-1]
+            done = edges[-1]
             here, columns = [column[:done] for column in columns], [column[done:] for column in columns]
-            ends = np.repeat(edges[1:], np.diff(edges))
-            for first in range(0, done, PAIRED_AT_ONCE):
-                last = min(first + PAIRED_AT_ONCE, done)
-                after = ends[first:last] - np.arange(first, last) - 1
-                a = np.repeat(np.arange(first, last), after)
-                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
-                a, b = close_enough(here, a, b, similarity)
-                nodes = here[1][a], here[1][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*nodes)), pa.array(np.minimum(*nodes))], names=["x", "y"])
+            nodes, sizes, counts = here[1], here[2].astype(np.int64), np.diff(edges)
+            # Rows of a key are in the order of their sizes: those that are too long for a row come after those that are not.
+            group = np.repeat(np.arange(len(counts)), counts) << 32
+            longest = np.floor((sizes + 1e-6) / similarity).astype(np.int64)
+            after = np.searchsorted(group + sizes, group + longest, "right") - np.arange(done) - 1
+            large = counts > PAIRWISE_KEY
+            for a, b in chunks(here, np.where(np.repeat(large, counts), 0, after), 0, done):
+                yield as_batch(nodes[a], nodes[b])
+            for at in np.flatnonzero(large):
+                found, n = [], 0
+                for a, b in chunks(here, after, edges[at], edges[at + 1]):
+                    found.append((nodes[a], nodes[b]))
+                    n += len(a)
+                    if n > FEW_PAIRS * counts[at]:
+                        found = []
+                        yield pa.RecordBatch.from_arrays([pa.array(here[0][edges[at] : edges[at] + 1]), pa.nulls(1, pa.int64())], names=["x", "y"])
+                        break
+                yield from itertools.starmap(as_batch, found)
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("key", "node", "size", *[c for c in rows.columns if c.startswith("bag")]).repartition(tasks, "key")
-    return dealt.sortWithinPartitions("key").mapInArrow(pair, "x long, y long")
+    return dealt.sortWithinPartitions("key", "size").mapInArrow(pair, "x long, y long")
 
 
 def close_enough(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -422,9 +475,11 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
 
     counts = texts.select("norm").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     repeated = stored(counts.filter(F.col("n") > 1), "line-key-counts")
-    bits = bitmap(repeated.select("key"), F.col("key"))
-    crowded = repeated.filter(F.col("n") > PAIRWISE_KEY).select("key")
-    crowd_bits = bitmap(crowded, F.col("key"))
+    huge = repeated.filter(F.col("n") > MOST_ROWS).select("key")
+    huge_keys = huge.toArrow().column("key").to_numpy()
+    n_keys, n_rows = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("norm")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(n_rows * ROW_BYTES / max(n_bytes, LEAST_BYTES)), math.ceil(n_keys / KEYS_AT_ONCE))
 
     def members(let: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,20 +496,29 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
 
         return texts.mapInArrow(list_keys, "node long, key long, size int, " + ", ".join(f"{b} long" for b in bag_names))
 
-    def repeats(keys: np.ndarray) -> np.ndarray:
-        # A key that the bits let through by chance stands alone and makes no pair.
-        return np.ones(len(keys), bool) if bits is None else let_through(bits, keys)
+    def in_part(rows: DataFrame, part: int) -> DataFrame:
+        # By bits that the bitmaps do not go by.
+        return rows.filter(F.pmod(F.shiftright("key", 40), F.lit(parts)) == part)
+
+    def usual_rows(part: int) -> DataFrame:
+        bits = bitmap(in_part(repeated, part).select("key"), F.col("key"))
+
+        def let(keys: np.ndarray) -> np.ndarray:
+            # A key that the bits let through by chance stands alone and makes no pair.
+            kept = (keys >> 40) % parts == part
+            if bits is not None:
+                kept &= let_through(bits, keys)
+            return kept & ~np.isin(keys, huge_keys) if len(huge_keys) else kept
 
-    def crowds(keys: np.ndarray) -> np.ndarray:
-        return np.ones(len(keys), bool) if crowd_bits is None else let_through(crowd_bits, keys)
+        return members(let)
 
     bag_names = [f"bag{n}" for n in range(BAG_WORDS)]
-    # The rows of the usual keys are many: they are shuffled once and not written before.  Those that may be of crowded keys are.
-    usual, many = members(repeats if crowd_bits is None else lambda keys: repeats(keys) & ~crowds(keys)), None
-    if not crowded.isEmpty():
-        many = stored(members(lambda keys: repeats(keys) & crowds(keys)), "line-crowds")
-        few = many.join(crowded, "key", "left_anti")
-        usual = few if crowd_bits is None else usual.union(few.select(usual.columns))
+    # The rows of the usual keys are many: they are shuffled once and not written before.  Those of crowded keys are.
+    found = [stored(pairs_under_keys(usual_rows(part), similarity).distinct(), "line-pairs") for part in range(parts)]
+    both = functools.reduce(DataFrame.union, found)
+    crowded = stored(both.filter(F.col("y").isNull()).select(F.col("x").alias("key")).union(huge), "line-crowded-keys")
+    pairs = both.filter(F.col("y").isNotNull())
+    pairs = pairs if parts == 1 else stored(pairs.distinct(), "line-pairs")
 
     def may_be_similar(a: str, b: str) -> Column:
         longer = F.greatest(f"{a}size", f"{b}size")
@@ -466,11 +530,9 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
         # Each word of one line that the other has not is an edit of its own.
         return (F.abs(F.col(f"{a}size") - F.col(f"{b}size")) <= allowed) & (left <= allowed) & (right <= allowed)
 
-    pairs = stored(pairs_under_keys(usual, similarity).distinct(), "line-pairs")
-
     def decided(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        return cut_lineage(similar_pairs(pairs, line_codes(stored(asked, "line-asked"), texts), similarity))
+        return similar_pairs(pairs, line_codes(stored(asked, "line-asked"), texts), similarity)
 
     # Each line with its first neighbour, then only what that leaves in different groups.
     first = stored(pairs.groupBy("x").agg(F.min("y").alias("y")), "line-pairs")
@@ -479,8 +541,10 @@ def similar_links(nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], min_wo
     roots = [groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "xy"]
     apart = pairs.join(roots[0], "x", "left").join(roots[1], "y", "left").filter(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
     links = links.union(decided(stored(apart.select("x", "y").join(first, ["x", "y"], "left_anti"), "line-pairs")))
-    if many is None:
+    if crowded.isEmpty():
         return links
+    crowd_bits = bitmap(crowded, F.col("key"))
+    many = members(lambda keys: np.ones(len(keys), bool) if crowd_bits is None else let_through(crowd_bits, keys))
     bag = F.struct(*bag_names).alias("bag")
     many = stored(many.join(crowded, "key", "left_semi").select("key", F.col("node").alias("digest"), F.struct("size", bag).alias("size")), "line-crowds")
 
@@ -568,10 +632,11 @@ def repeated_lines(
         long_enough = texts.filter(F.col("norm") != "")
         links = fuzzy_links(cut_lineage(with_simhash(long_enough)), long_enough, k, similarity)
     groups = components(links).withColumnRenamed("node", "member")
-    grouped = cut_lineage(
+    grouped = stored(
         nodes.select("node", "digest", "first", "n").join(groups, F.col("node") == F.col("member"), "left")
         .filter((F.col("n") > 1) | F.col("root").isNotNull())
-        .select("digest", "first", "n", F.coalesce("root", "node").alias("group"))
+        .select("digest", "first", "n", F.coalesce("root", "node").alias("group")),
+        "line-groups",
     )
     keep = grouped.groupBy("group").agg(F.min("first").alias("keep"))
     labels = grouped.join(keep, "group").select("digest", "keep")
